@@ -23,6 +23,7 @@ _MODULES = (
     "textlens.plans.q_text",
     "textlens.plans.q_triples",
     "textlens.plans.q_entities",
+    "textlens.plans.q_kb",
     "textlens.plans.q_graph",
     "textlens.plans.q_sources",
     "textlens.plans.q_vectors",
