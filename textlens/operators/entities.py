@@ -78,16 +78,21 @@ def lookup_explanations(ents: DataFrame, terms: DataFrame, ent_col: str = "entit
 
 
 # ---------------------------------------------------------------- J07
-def insert_ignore(existing: DataFrame, new: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """``INSERT OR IGNORE``: rows of ``new`` whose key is absent from
-    ``existing`` are added; inside the batch the first row (by ``order``)
-    of each key wins."""
+def new_keys(existing: DataFrame, new: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Rows of ``new`` to add: first row (by ``order``) of each key that is
+    absent from ``existing``."""
     cols = existing.columns
     first = new.groupBy(key).agg(F.min_by(F.struct(*[c for c in cols if c != key]),
                                           F.struct(*order)).alias("_r"))
     first = first.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols if c != key])
-    fresh = first.join(broadcast_if_small(existing.select(key)), key, "left_anti")
-    return existing.unionByName(fresh.select(*cols))
+    return first.join(broadcast_if_small(existing.select(key)), key, "left_anti").select(*cols)
+
+
+def insert_ignore(existing: DataFrame, new: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """``INSERT OR IGNORE``: rows of ``new`` whose key is absent from
+    ``existing`` are added; inside the batch the first row (by ``order``)
+    of each key wins."""
+    return existing.unionByName(new_keys(existing, new, key, order))
 
 
 # ---------------------------------------------------------------- P15
