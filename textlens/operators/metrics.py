@@ -185,7 +185,8 @@ def request_stats(log: DataFrame, by: Sequence[str] = ("worker_id",), ok: str =
     aggs = [
         F.count(F.lit(1)).alias("total_requests"),
         _cnt(~F.col(ok)).alias("failed_requests"),
-        F.round(F.avg(seconds), 2).alias("avg_response_sec"),
+        # Exact decimal mean rounded half-up, independent of summation order.
+        F.round(F.avg(F.col(seconds).cast("decimal(20,4)")), 2).cast("double").alias("avg_response_sec"),
         (F.lit(1.0) - _div0(_cnt(~F.col(ok)), F.count(F.lit(1)))).alias("success_rate"),
     ]
     if key_col:

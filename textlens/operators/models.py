@@ -16,7 +16,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NUM_FEATURES = 1 << 18
+# Hashed term space.  The optimiser aggregates a dense gradient of this width
+# every iteration, so it is sized to the vocabulary, not to the data volume.
+NUM_FEATURES = 1 << 14
 
 
 def feature_stages(text_col: str = "text", extra_cols: Sequence[str] = (), num_features: int = NUM_FEATURES):
@@ -35,11 +37,17 @@ def feature_stages(text_col: str = "text", extra_cols: Sequence[str] = (), num_f
 
 
 def train_classifier(train: DataFrame, text_col: str = "text", label_col: str = "label",
-                     extra_cols: Sequence[str] = (), max_iter: int = 50, reg: float = 0.01) -> PipelineModel:
+                     extra_cols: Sequence[str] = (), max_iter: int = 50, reg: float = 0.01,
+                     num_features: int = NUM_FEATURES) -> PipelineModel:
     """Fit features + binary logistic regression; save with ``model.write()``."""
     lr = LogisticRegression(featuresCol="features", labelCol=label_col, maxIter=max_iter, regParam=reg)
     data = train.where(F.col(label_col).isNotNull()).withColumn(label_col, F.col(label_col).cast("double"))
-    return Pipeline(stages=[*feature_stages(text_col, extra_cols), lr]).fit(data)
+    cols = [text_col, label_col, *extra_cols]
+    data = data.select(*cols).persist()  # several passes: IDF fit, then the optimiser
+    try:
+        return Pipeline(stages=[*feature_stages(text_col, extra_cols, num_features), lr]).fit(data)
+    finally:
+        data.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -50,15 +58,20 @@ def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFra
 
 
 def train_multitask(train: DataFrame, label_cols: Mapping[str, str], text_col: str = "text",
-                    extra_cols: Sequence[str] = (), max_iter: int = 50, reg: float = 0.01):
+                    extra_cols: Sequence[str] = (), max_iter: int = 50, reg: float = 0.01,
+                    num_features: int = NUM_FEATURES):
     """Shared features fitted once, one logistic head per task.  Returns
     ``(feature_model, {task: head})``."""
-    feats = Pipeline(stages=feature_stages(text_col, extra_cols)).fit(train)
-    x = feats.transform(train)
+    feats = Pipeline(stages=feature_stages(text_col, extra_cols, num_features)).fit(train)
+    # Every head reads the same features: compute them once.
+    x = feats.transform(train).select("features", *label_cols.values()).persist()
     heads = {}
-    for task, col in label_cols.items():
-        lr = LogisticRegression(featuresCol="features", labelCol="_y", maxIter=max_iter, regParam=reg)
-        heads[task] = lr.fit(x.where(F.col(col).isNotNull()).withColumn("_y", F.col(col).cast("double")))
+    try:
+        for task, col in label_cols.items():
+            lr = LogisticRegression(featuresCol="features", labelCol="_y", maxIter=max_iter, regParam=reg)
+            heads[task] = lr.fit(x.where(F.col(col).isNotNull()).withColumn("_y", F.col(col).cast("double")))
+    finally:
+        x.unpersist()
     return feats, heads
 
 

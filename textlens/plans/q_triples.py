@@ -58,7 +58,10 @@ def t01(spark, sf):
     return parsed(spark, sf)
 
 
-@query("w03_first_n_distinct", with_views("WITH" + _W03_CTES + "\nSELECT * FROM k", "v_triple_lines"))
+W03_ORACLE = with_views("WITH" + _W03_CTES + "\nSELECT * FROM k", "v_triple_lines")
+
+
+@query("w03_first_n_distinct", W03_ORACLE)
 def w03(spark, sf):
     return T.first_n_distinct(parsed(spark, sf), ORDER, N_TARGET)
 
