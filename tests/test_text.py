@@ -79,4 +79,5 @@ def test_quarantine(spark):
     assert sorted((r.id, r.k) for r in good.collect()) == [(1, 12), (3, None), (4, 7)]
     assert sorted(r.id for r in bad.collect()) == [2, 5]
     good2, bad2 = P.quarantine_rows(df, {"k": "int"}, default={"k": -1})
-    assert bad2.count() == 0 and sorted(r.k for r in good2.collect() if r.k is not None) == [-1, -1, 7, 12]
+    # with a default, failed and missing values are both replaced
+    assert bad2.count() == 0 and sorted(r.k for r in good2.collect()) == [-1, -1, -1, 7, 12]

@@ -149,7 +149,8 @@ def safe_cast(col, to: str) -> Column:
 def quarantine_rows(df: DataFrame, rules: Mapping[str, str], default: Mapping[str, object] | None = None
                     ) -> tuple[DataFrame, DataFrame]:
     """Cast each ruled column; rows where a non-NULL input fails are ``bad``.
-    With ``default`` a failed value is replaced instead of quarantined."""
+    With ``default`` a failed or missing value is replaced instead (the
+    inference path: a missing label becomes -1)."""
     default = dict(default or {})
     cast = df.select("*", *[safe_cast(c, t).alias(f"_q_{c}") for c, t in rules.items()])
     fails = [F.col(c).isNotNull() & F.col(f"_q_{c}").isNull() for c in rules if c not in default]

@@ -30,6 +30,14 @@ def p01(spark, sf):
     return P.dialogues_from_turns(view(spark, sf, "v_dialog_turns"))
 
 
+@query("p02_binarize_label", with_views("""
+SELECT conv_id, turn, label, CASE WHEN label = 'SARCASM' THEN 1 ELSE 0 END AS label_int FROM v_dialog_turns
+""", "v_dialog_turns"))
+def p02(spark, sf):
+    t = view(spark, sf, "v_dialog_turns")
+    return t.select("conv_id", "turn", "label", P.binarize_label("label").alias("label_int"))
+
+
 # ---------------------------------------------------------------- P03 + P04
 def _clean_sql(e: str) -> str:
     e = rf"regexp_replace({e}, '[@#][\p{{L}}\p{{N}}_]+', '', 'g')"
