@@ -53,5 +53,5 @@ def test_entry_smoke(spark):
     import __spark_entry__ as E
 
     df = E.entry(spark)
-    assert df.columns == ["doc_id", "positive", "negative", "n_slang", "n_emoji", "processed_text"]
+    assert df.columns == ["doc_id", "positive", "negative", "n_slang", "n_emoji"]
     assert df.count() > 0

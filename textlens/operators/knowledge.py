@@ -122,24 +122,36 @@ def emoji_expand(df: DataFrame, emoji: DataFrame, text_col: str = "text", emoji_
 
 
 # ---------------------------------------------------------------- A10
-def knowledge_features(df: DataFrame, lexicon: DataFrame, slang: DataFrame, emoji: DataFrame,
-                       id_col: str = "doc_id", text_col: str = "text", count: str = "codepoint") -> DataFrame:
-    """``(id, positive, negative, n_slang, n_emoji, processed_text)``.
-
-    Scores and counts come from the lower-cased stripped text before any
-    replacement; ``processed_text`` is slang-expanded, then emoji-expanded.
-    """
+def preprocess_text(df: DataFrame, slang: DataFrame, emoji: DataFrame, id_col: str = "doc_id",
+                    text_col: str = "text", count: str = "codepoint") -> DataFrame:
+    """Per text, as one projection (no shuffle): the slang count and emoji
+    count of the lower-cased stripped text, and ``processed_text`` =
+    slang-expanded, then emoji-expanded text."""
     rows = _emoji_rows(emoji, "emoji", "meaning")
     norm = df.select(F.col(id_col), normalized(text_col).alias("_t"))
     expanded = slang_expand(norm, slang, id_col=id_col, text_col="_t", out_col="_x", count_col="n_slang")
-    feats = expanded.select(
+    return expanded.select(
         id_col, "_t", "n_slang",
         emoji_count_expr(F.col("_t"), rows, count).alias("n_emoji"),
         emoji_replace_expr(F.col("_x"), rows).alias("processed_text"),
     )
-    carry = ("n_slang", "n_emoji", "processed_text")
-    sent = lexicon_sentiment(feats, lexicon, id_col=id_col, text_col="_t", carry=carry)
-    return sent.select(id_col, "positive", "negative", *carry)
+
+
+def knowledge_features(df: DataFrame, lexicon: DataFrame, slang: DataFrame, emoji: DataFrame,
+                       id_col: str = "doc_id", text_col: str = "text", count: str = "codepoint") -> DataFrame:
+    """``(id, positive, negative, n_slang, n_emoji)``, all from the lower-cased
+    stripped text before any replacement.
+
+    One scan: the two counts are computed per row and ride through the
+    token explode as fixed-width columns, so the only aggregate is a hash
+    aggregate whose partial step (in the task that exploded the text)
+    already reduces the tokens to one row per text.  The processed text is
+    deliberately not carried through the explode (that would copy the whole
+    text once per token); get it from :func:`preprocess_text`.
+    """
+    feats = preprocess_text(df, slang, emoji, id_col, text_col, count).drop("processed_text")
+    sent = lexicon_sentiment(feats, lexicon, id_col=id_col, text_col="_t", carry=("n_slang", "n_emoji"))
+    return sent.select(id_col, "positive", "negative", "n_slang", "n_emoji")
 
 
 def knowledge_vector(features: DataFrame, out_col: str = "knowledge", size: int = KNOWLEDGE_DIM) -> DataFrame:

@@ -81,8 +81,7 @@ toks AS (SELECT doc_id, unnest({_TOKS}) AS tok FROM v_social),
 hits AS (SELECT t.doc_id, sum(l.positive) AS p, sum(l.negative) AS n
          FROM toks t JOIN v_lexicon l ON t.tok = l.word GROUP BY t.doc_id)
 SELECT v.doc_id, round(coalesce(h.p, 0.0), 6) AS positive, round(coalesce(h.n, 0.0), 6) AS negative,
-       coalesce(a.n_slang, 0) AS n_slang, {_sql_emoji_count(_NORM.replace('text', 'v.text'))} AS n_emoji,
-       {_sql_replace_chain("coalesce(a.expanded, '')")} AS processed_text
+       coalesce(a.n_slang, 0) AS n_slang, {_sql_emoji_count(_NORM.replace('text', 'v.text'))} AS n_emoji
 FROM v_social v LEFT JOIN agg a ON v.doc_id = a.doc_id LEFT JOIN hits h ON v.doc_id = h.doc_id
 """, "v_social", "v_slang", "v_emoji", "v_lexicon")
 
@@ -91,8 +90,19 @@ def a10_frame(spark, sf):
     out = K.knowledge_features(view(spark, sf, "v_social"), view(spark, sf, "v_lexicon"),
                                view(spark, sf, "v_slang"), view(spark, sf, "v_emoji"))
     return out.select("doc_id", F.round("positive", 6).alias("positive"), F.round("negative", 6).alias("negative"),
-                      F.col("n_slang").cast("long").alias("n_slang"), F.col("n_emoji").cast("int").alias("n_emoji"),
-                      "processed_text")
+                      F.col("n_slang").cast("long").alias("n_slang"), F.col("n_emoji").cast("int").alias("n_emoji"))
 
 
 query("a10_knowledge_features", _A10)(a10_frame)
+
+
+_A10P = with_views(_SLANG_BODY + f"""
+SELECT v.doc_id, {_sql_replace_chain("coalesce(a.expanded, '')")} AS processed_text
+FROM v_social v LEFT JOIN agg a ON v.doc_id = a.doc_id
+""", "v_social", "v_slang")
+
+
+@query("a10_preprocess_text", _A10P)
+def a10p(spark, sf):
+    out = K.preprocess_text(view(spark, sf, "v_social"), view(spark, sf, "v_slang"), view(spark, sf, "v_emoji"))
+    return out.select("doc_id", "processed_text")
