@@ -58,11 +58,18 @@ def sample_description(entities: DataFrame, key: str = "qid", desc: str = "descr
 def property_lists(props: DataFrame, config=RELATION_CONFIG, key: str = "qid", prop: str = "prop",
                    val: str = "value") -> DataFrame:
     """Entity rows with one ``' | '`` list column per configured property
-    (``p31s`` ...; ``''`` when the entity has none)."""
+    (``p31s`` ...; ``''`` when the entity has none).  One distinct on
+    (entity, prop, value), one grouping per entity; the per-property lists
+    are cut out of the grouped pairs by a projection (no pivot pass)."""
     ids = [p for p, _, _ in config]
-    lists = grouped_distinct_concat(props.where(F.col(prop).isin(ids)), [key, prop], val)
-    wide = lists.groupBy(key).pivot(prop, ids).agg(F.first("vals"))
-    return wide.select(key, *[F.coalesce(F.col(p), F.lit("")).alias(f"{p.lower()}s") for p in ids])
+    d = props.where(F.col(prop).isin(ids) & F.col(val).isNotNull()).select(key, prop, val).distinct()
+    g = d.groupBy(key).agg(F.collect_list(F.struct(F.col(prop).alias("p"), F.col(val).alias("v"))).alias("_pv"))
+
+    def one(p: str) -> Column:
+        vals = F.transform(F.filter("_pv", lambda x: x["p"] == F.lit(p)), lambda x: x["v"])
+        return F.array_join(F.array_sort(vals), SEP).alias(f"{p.lower()}s")
+
+    return g.select(key, *[one(p) for p in ids])
 
 
 # ---------------------------------------------------------------- J06 + L02
