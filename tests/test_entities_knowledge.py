@@ -36,10 +36,11 @@ SPANS = [
 def test_merge_spans_matches_python(spark):
     df = spark.createDataFrame([(s["doc"], s["start"], s["end"], s["word"], s["score"]) for s in SPANS],
                                "doc_id int, span_start int, span_end int, word string, score double")
-    got = E.merge_spans(df).collect()
-    for doc in (1, 2, 3):
-        mine = {r.phrase for r in got if r.doc_id == doc}
-        assert mine == py_merge([s for s in SPANS if s["doc"] == doc]), doc
+    for fn in (E.merge_spans, E.merge_spans_windowed):
+        got = fn(df).collect()
+        for doc in (1, 2, 3):
+            mine = {r.phrase for r in got if r.doc_id == doc}
+            assert mine == py_merge([s for s in SPANS if s["doc"] == doc]), (fn.__name__, doc)
 
 
 def test_slang_and_emoji(spark):

@@ -24,18 +24,58 @@ N_SLOTS = 5
 
 
 # ---------------------------------------------------------------- W01
+def _kept_phrases(g: DataFrame, doc: str) -> DataFrame:
+    kept = g.where((F.col("mean_score") > MIN_MEAN_SCORE) & (F.col("n_parts") <= MAX_PARTS)
+                   & F.length("phrase").between(MIN_PHRASE_CHARS, MAX_PHRASE_CHARS))
+    return kept.groupBy(doc, "phrase").agg(F.max("mean_score").alias("score"))
+
+
 def merge_spans(spans: DataFrame, doc: str = "doc_id", start: str = "span_start", end: str = "span_end",
                 word: str = "word", score: str = "score") -> DataFrame:
     """Adjacent spans (start == previous end) form one phrase; ``##`` word
     pieces are joined; a phrase is kept when its mean score > 0.85, it has
     at most 3 parts and its text is 3..40 characters.  Output: distinct
-    ``(doc, phrase)`` with the best mean score of that phrase in the text."""
+    ``(doc, phrase)`` with the best mean score of that phrase in the text.
+
+    Built from equi-joins keyed by ``(doc, position)``, never by the text
+    alone, so one huge text is spread over many tasks: island heads are the
+    spans no other span ends at (left anti join); from each head three link
+    hops (``next.start == this.end``) collect parts 2-3 and detect a 4th
+    part (too long).  The mean is the left fold of the part scores in text
+    order.  Spans of one text must not overlap (tagger output); for
+    overlapping spans use :func:`merge_spans_windowed`.
+    """
+    s = spans.select(F.col(doc).alias("_d"), F.col(start).alias("_s"), F.col(end).alias("_e"),
+                     F.replace(F.col(word), F.lit("##"), F.lit("")).alias("_w"), F.col(score).cast("double").alias("_p"))
+    ends = s.select("_d", F.col("_e").alias("_s"))
+    heads = s.join(ends, ["_d", "_s"], "left_anti")
+
+    def hop(cur: DataFrame, i: int) -> DataFrame:
+        nxt = s.select("_d", F.col("_s").alias(f"_e{i - 1}"), F.col("_e").alias(f"_e{i}"),
+                       F.col("_w").alias(f"_w{i}"), F.col("_p").alias(f"_p{i}"))
+        return cur.join(nxt, ["_d", f"_e{i - 1}"], "left")
+
+    p = heads.select("_d", F.col("_e").alias("_e1"), F.col("_w").alias("_w1"), F.col("_p").alias("_p1"))
+    p = hop(hop(p, 2), 3)
+    more = s.select("_d", F.col("_s").alias("_e3")).distinct().withColumn("_more", F.lit(True))
+    p = p.join(more, ["_d", "_e3"], "left")
+    n = 1 + F.col("_w2").isNotNull().cast("int") + F.col("_w3").isNotNull().cast("int") \
+        + F.coalesce(F.col("_more"), F.lit(False)).cast("int")
+    total = F.col("_p1") + F.coalesce(F.col("_p2"), F.lit(0.0)) + F.coalesce(F.col("_p3"), F.lit(0.0))
+    g = p.select(F.col("_d").alias(doc), n.alias("n_parts"), (total / n).alias("mean_score"),
+                 F.concat_ws(" ", "_w1", "_w2", "_w3").alias("phrase"))
+    return _kept_phrases(g, doc)
+
+
+def merge_spans_windowed(spans: DataFrame, doc: str = "doc_id", start: str = "span_start", end: str = "span_end",
+                         word: str = "word", score: str = "score") -> DataFrame:
+    """Same result as :func:`merge_spans`, also for overlapping spans (the
+    break test is against the immediately preceding span), as a
+    gaps-and-islands window per text: one shuffle, but a text is one task."""
     w = Window.partitionBy(doc).orderBy(F.col(start), F.col(end))
     brk = F.when(F.lag(end).over(w).isNull() | (F.col(start) != F.lag(end).over(w)), 1).otherwise(0)
     marked = spans.select(doc, start, end, word, score, brk.alias("_brk"))
     isl = marked.withColumn("_isl", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # The parts of one phrase in text order; the mean is a left fold in that
-    # order, so it equals a sequential sum bit for bit at the 0.85 boundary.
     g = isl.groupBy(doc, "_isl").agg(F.array_sort(F.collect_list(F.struct(
         F.col(start).alias("s"), F.replace(F.col(word), F.lit("##"), F.lit("")).alias("w"),
         F.col(score).cast("double").alias("p")))).alias("_parts"))
@@ -45,9 +85,7 @@ def merge_spans(spans: DataFrame, doc: str = "doc_id", start: str = "span_start"
         F.size("_parts").alias("n_parts"),
         F.array_join(F.transform("_parts", lambda x: x["w"]), " ").alias("phrase"),
     )
-    kept = g.where((F.col("mean_score") > MIN_MEAN_SCORE) & (F.col("n_parts") <= MAX_PARTS)
-                   & F.length("phrase").between(MIN_PHRASE_CHARS, MAX_PHRASE_CHARS))
-    return kept.groupBy(doc, "phrase").agg(F.max("mean_score").alias("score"))
+    return _kept_phrases(g, doc)
 
 
 # ---------------------------------------------------------------- L01
