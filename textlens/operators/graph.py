@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlens.operators.prep import GRAPH_RELATIONS, relation_filter
-from textlens.plans.sizing import broadcast_if_small
 
 
 def edges_from(df: DataFrame, start: str = "src", relation: str = "rel", end: str = "dst") -> DataFrame:
@@ -45,7 +44,9 @@ def concept_neighbours(words: DataFrame, labels: DataFrame, edges: DataFrame,
     from 1, with the end concept's label."""
     top = top_concept(labels.join(words.select("text", "lang").distinct(), ["text", "lang"], "left_semi"), edges)
     e = relation_filter(edges, allowed, "relation")
-    j = e.join(broadcast_if_small(top.select("text", "lang", F.col("concept").alias("start"))), "start", "inner")
+    # ``top`` is an aggregate output (one row per word): AQE sees its real
+    # size and broadcasts it, so a hub concept's edges are never shuffled.
+    j = e.join(top.select("text", "lang", F.col("concept").alias("start")), "start", "inner")
     w = Window.partitionBy("text", "lang").orderBy(F.col("uri").asc())
     first = j.withColumn("idx", F.row_number().over(w)).where(F.col("idx") <= limit)
     end_label = labels.groupBy(F.col("concept").alias("end")).agg(F.min("text").alias("end_label"))

@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlens.functions.text import py_strip
-from textlens.plans.sizing import broadcast_if_small
 
 SEP = " | "
 GRAM = 3
@@ -93,9 +92,9 @@ def candidate_matches(terms: DataFrame, names: DataFrame, term: str = "term", ke
     tg = tg.join(freq, ["_n", "_g"], "inner")
     w = Window.partitionBy("term").orderBy(F.col("_f").asc(), F.col("_g").asc())
     rarest = tg.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select("term", "_lt", "_n", "_g")
-    # The term side is broadcast when small, so a common n-gram on the name
-    # side is never shuffled into one partition.
-    hits = ngrams.join(broadcast_if_small(rarest), ["_n", "_g"], "inner").where(F.contains("_ln", "_lt"))
+    # ``rarest`` has one row per term; AQE broadcasts it at runtime when
+    # small, else the skew-join split handles a common n-gram on the name side.
+    hits = ngrams.join(rarest, ["_n", "_g"], "inner").where(F.contains("_ln", "_lt"))
     return hits.select("term", F.col("_key").alias(key), F.col("_name").alias(name)).distinct()
 
 

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlens.plans.prefix import running_sums
-from textlens.plans.sizing import broadcast_if_small
 
 
 def _div0(a: Column, b: Column) -> Column:
@@ -85,7 +84,7 @@ def confusion_matrix(df: DataFrame, classes: Sequence[int] = (0, 1), y: str = "y
         grid = groups.select(*by, F.explode(cls).alias("true_label")).select(
             *by, "true_label", F.explode(cls).alias("predicted_label"))
     keys = [*by, "true_label", "predicted_label"]
-    return grid.join(broadcast_if_small(counts, 100_000), keys, "left").select(
+    return grid.join(counts, keys, "left").select(
         *keys, F.coalesce(F.col("count"), F.lit(0)).alias("n"))
 
 
@@ -140,7 +139,7 @@ def _roc_points(df: DataFrame, score: str, label: str, by: Sequence[str]) -> Dat
         _cnt(F.col(label) == 1).alias("tp"), _cnt(F.col(label) != 1).alias("fp"))
     cum = running_sums(g, "threshold", ["tp", "fp"], by=keys, descending=True)
     totals = g.groupBy(*keys).agg(F.sum("tp").alias("P"), F.sum("fp").alias("N"))
-    out = cum.join(broadcast_if_small(totals, 100_000), keys, "inner")
+    out = cum.join(totals, keys, "inner")  # one row per group; AQE broadcasts it at runtime
     return out if by else out.drop("_tl_all")
 
 

@@ -23,7 +23,6 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlens.plans.sizing import broadcast_if_small
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -73,7 +72,10 @@ def running_sums(
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
     local = tagged.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_tl_l_{v}") for v in value_cols])
-    out = local.join(broadcast_if_small(offsets, 100_000), [*by, "_tl_b"], "inner")
+    # Without groups the offset table has at most ``nb`` rows by construction,
+    # a proven bound; with groups its size is left to AQE's runtime choice.
+    offs = F.broadcast(offsets) if not by else offsets
+    out = local.join(offs, [*by, "_tl_b"], "inner")
     return out.select(
         *[c for c in df.columns],
         *[(F.col(f"_tl_o_{v}") + F.col(f"_tl_l_{v}")).alias(f"{prefix}{v}") for v in value_cols],
