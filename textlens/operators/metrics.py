@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlens.plans.prefix import running_sums
+from textlens.session import materialize
 
 
 def _div0(a: Column, b: Column) -> Column:
@@ -137,6 +138,8 @@ def _roc_points(df: DataFrame, score: str, label: str, by: Sequence[str]) -> Dat
     src = df if by else df.withColumn("_tl_all", F.lit(0))
     g = src.groupBy(*keys, F.col(score).cast("double").alias("threshold")).agg(
         _cnt(F.col(label) == 1).alias("tp"), _cnt(F.col(label) != 1).alias("fp"))
+    # One pass over the predictions; the per-score table feeds three branches.
+    g = materialize(g)
     cum = running_sums(g, "threshold", ["tp", "fp"], by=keys, descending=True)
     totals = g.groupBy(*keys).agg(F.sum("tp").alias("P"), F.sum("fp").alias("N"))
     out = cum.join(totals, keys, "inner")  # one row per group; AQE broadcasts it at runtime

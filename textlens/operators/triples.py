@@ -17,6 +17,7 @@ from textlens.functions.text import WS, WORD, py_strip
 from textlens.operators.prep import TRIPLE_RELATIONS, safe_cast
 from textlens.plans.prefix import running_sums
 from textlens.plans.sizing import broadcast_if_small
+from textlens.session import materialize
 
 # Generator target, weight range and minimum lengths of T01/W03.
 TARGET_COUNT = 10_000
@@ -98,6 +99,7 @@ def ingest_progress(triples: DataFrame, batch_col: str, order_cols: Sequence[str
     added = kept.groupBy(batch_col).agg(F.count(F.lit(1)).alias("added"))
     per = parsed.join(added, batch_col, "left").select(batch_col, "parsed",
                                                         F.coalesce("added", F.lit(0)).alias("added"))
+    per = materialize(per)  # one row per batch; parsed once, read by three branches
     run = running_sums(per, batch_col, ["added"])
     return run.select(batch_col, "parsed", "added", F.col("cum_added").alias("total"),
                       (F.col("cum_added") >= n).alias("target_reached"))

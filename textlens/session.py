@@ -56,6 +56,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+
+    Used for small aggregated tables that several branches of a plan read,
+    so the expensive input is not recomputed per branch; a reliable
+    checkpoint survives executor loss (unlike a local one)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh, never reused sub-folder of the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
