@@ -41,19 +41,17 @@ def get_session(master: str | None = None, app: str = "textlens", **conf) -> Spa
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared (distributed) folder
-    and is used as is.  Only when it is unset (local runs, tests) is a fresh
-    local folder created and registered.
+    On a cluster ``spark.checkpoint.dir`` names a shared (distributed)
+    folder and is used as is.  Only when neither it nor a context checkpoint
+    folder is set (local runs, tests) is a fresh local folder created.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = jdir.get() if jdir.isDefined() else None
-    if not path:
-        path = tempfile.mkdtemp(prefix="textlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textlens-ckpt-")
+    sc.setCheckpointDir(path)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def materialize(df):
