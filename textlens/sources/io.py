@@ -20,7 +20,9 @@ from textlens.operators.triples import TRIPLE_COLS, append_new_triples
 PANDAS_NA = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
-_CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+_CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
+        # the CSV writer trims values unless told not to
+        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
@@ -45,8 +47,12 @@ def read_dialogues(spark: SparkSession, path: str, positive: str = "SARCASM",
     """Dialogue JSON lines (``context[]``, ``response``, ``label``) ->
     ``(text, label)``.  Malformed lines are kept aside in PERMISSIVE mode
     (``with_corrupt=True`` returns them in ``_corrupt_record``)."""
-    raw = (spark.read.schema(DIALOGUE_SCHEMA).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+    # Lines are parsed with from_json (PERMISSIVE, corrupt text kept), so the
+    # malformed-line output can be queried on its own.
+    lines = spark.read.text(path)
+    raw = lines.select(F.from_json("value", DIALOGUE_SCHEMA, {"mode": "PERMISSIVE",
+                                                              "columnNameOfCorruptRecord": "_corrupt_record"})
+                       .alias("r")).select("r.*")
     good = raw.where(F.col("_corrupt_record").isNull())
     out = good.select(dialogue_text(F.coalesce("context", F.array().cast("array<string>")), F.col("response"))
                       .alias("text"), binarize_label("label", positive).alias("label"))
@@ -58,7 +64,8 @@ def read_dialogues(spark: SparkSession, path: str, positive: str = "SARCASM",
 # ---------------------------------------------------------------- S03 / S05
 def read_labeled_csv(spark: SparkSession, path: str, extra_labels: Sequence[str] = ()) -> DataFrame:
     """Headered RFC-4180 CSV (quotes doubled, embedded newlines) ->
-    ``(text, label, *extra_labels)`` with an explicit schema."""
+    ``(text, label, *extra_labels)`` with an explicit schema.  An empty
+    field is NULL, as in pandas' reader."""
     ddl = ", ".join(["text STRING", "label INT", *[f"{c} INT" for c in extra_labels]])
     return spark.read.options(**_CSV).schema(ddl).csv(path)
 
