@@ -79,7 +79,7 @@ _TOKS = rf"list_filter(regexp_split_to_array(text, '{WS_RE2}+'), lambda x: x <>
 
 
 @query("m07_token_attribution", f"""
-WITH u AS (SELECT conv_id, turn, {_TOKS} AS toks FROM conversations WHERE role = 'user'),
+WITH u AS (SELECT conv_id, turn, {_TOKS} AS toks FROM conversations),
 x AS (SELECT conv_id, turn, toks, unnest(generate_series(1, len(toks))) AS i FROM u),
 v AS (SELECT conv_id, turn, i - 1 AS pos, toks[i] AS token, array_to_string(toks, ' ') AS full_text,
              array_to_string(list_concat(toks[1:i - 1], toks[i + 1:]), ' ') AS variant FROM x),
@@ -89,12 +89,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(abs
 SELECT conv_id, turn, pos, token, round(weight, 6) AS weight, rank FROM r WHERE rank <= 10
 """)
 def m07(spark, sf):
-    c = table(spark, sf, "conversations").where(F.col("role") == "user")
+    c = table(spark, sf, "conversations")
     a = S.loo_attribution(c, S.vowel_length_predictor, ["conv_id", "turn"], "text", k=10)
     return a.select("conv_id", "turn", "pos", "token", F.round("weight", 6).alias("weight"), "rank")
 
 
 @query("m07_sampled_attribution")
 def m07s(spark, sf):
-    c = table(spark, sf, "conversations").where(F.col("role") == "user")
+    c = table(spark, sf, "conversations")
     return S.sampled_attribution(c, S.vowel_length_predictor, ["conv_id", "turn"], "text", n_samples=32, k=10)
