@@ -155,8 +155,8 @@ def a12(spark, sf):
 
 
 @query("a14_vector_profile", """
-SELECT vec_id, len(embedding) AS dim, round(list_min(embedding)::DOUBLE, 6) AS vmin,
-       round(list_max(embedding)::DOUBLE, 6) AS vmax,
+SELECT vec_id, len(embedding) AS dim, round(list_min(embedding)::DOUBLE, 6) + 0.0 AS vmin,
+       round(list_max(embedding)::DOUBLE, 6) + 0.0 AS vmax,
        round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm
 FROM embeddings
 """)

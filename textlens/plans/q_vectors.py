@@ -17,7 +17,7 @@ _NORM = "sqrt(list_sum(list_transform({a}, lambda x: x::DOUBLE * x::DOUBLE)))"
 @query("j08_cosine_pairs", f"""
 SELECT a.vec_id AS left_id, b.vec_id AS right_id,
        round({_DOT.format(a='a.embedding', b='b.embedding')} /
-             ({_NORM.format(a='a.embedding')} * {_NORM.format(a='b.embedding')}), 6) AS cosine
+             ({_NORM.format(a='a.embedding')} * {_NORM.format(a='b.embedding')}), 6) + 0.0 AS cosine
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
 """)
 def j08(spark, sf):
@@ -31,8 +31,9 @@ def j08(spark, sf):
 @query("m02_pool_features", """
 WITH t AS (SELECT vec_id, embedding, CAST(vec_id % 8 AS INTEGER) AS last_idx FROM embeddings)
 SELECT vec_id, last_idx AS idx,
-       round(list_sum(list_transform(embedding[last_idx * 8 + 1: last_idx * 8 + 8], lambda x: x::DOUBLE)), 6) AS p_sum,
-       round(embedding[last_idx * 8 + 1]::DOUBLE, 6) AS p_first
+       round(list_sum(list_transform(embedding[last_idx * 8 + 1: last_idx * 8 + 8], lambda x: x::DOUBLE)), 6) + 0.0
+         AS p_sum,
+       round(embedding[last_idx * 8 + 1]::DOUBLE, 6) + 0.0 AS p_first
 FROM t
 """)
 def m02(spark, sf):
@@ -48,7 +49,7 @@ def m02(spark, sf):
 
 @query("m03_fuse_features", """
 SELECT vec_id, len(embedding) + 2 AS dim,
-       round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) + label + len(embedding), 6) AS vsum
+       round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) + label + len(embedding), 6) + 0.0 AS vsum
 FROM embeddings
 """)
 def m03(spark, sf):
@@ -86,7 +87,7 @@ v AS (SELECT conv_id, turn, i - 1 AS pos, toks[i] AS token, array_to_string(toks
 w AS (SELECT conv_id, turn, pos, token, {_p_sql('full_text')} - {_p_sql('variant')} AS weight FROM v),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(abs(weight), 9) DESC, pos) AS rank
       FROM w)
-SELECT conv_id, turn, pos, token, round(weight, 6) AS weight, rank FROM r WHERE rank <= 10
+SELECT conv_id, turn, pos, token, round(weight, 6) + 0.0 AS weight, rank FROM r WHERE rank <= 10
 """)
 def m07(spark, sf):
     c = table(spark, sf, "conversations")
