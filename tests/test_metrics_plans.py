@@ -30,6 +30,15 @@ def test_running_sums_equal_window(spark):
     assert sorted(desc.collect()) == sorted(ref2.collect())
 
 
+def test_running_sums_with_nulls(spark):
+    df = spark.createDataFrame([(None, 1), (1.0, 2), (None, 3), (2.0, 4)], "k double, v int")
+    asc = {(r.k, r.v): r.cum_v for r in running_sums(df, "k", ["v"], tie_cols=["v"], buckets=3).collect()}
+    assert asc == {(None, 1): 1, (None, 3): 4, (1.0, 2): 6, (2.0, 4): 10}
+    desc = {(r.k, r.v): r.cum_v for r in running_sums(df, "k", ["v"], descending=True, tie_cols=["v"],
+                                                      buckets=3).collect()}
+    assert desc == {(2.0, 4): 4, (1.0, 2): 6, (None, 1): 7, (None, 3): 10}
+
+
 def test_global_rank(spark):
     df = spark.range(0, 1000).select(((F.col("id") * 7919) % 1000).alias("k"))
     r = global_rank(df, "k", buckets=9).collect()

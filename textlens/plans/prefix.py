@@ -56,7 +56,10 @@ def running_sums(
     splits = [float("-inf")] + sorted({q for q in qs if q == q}) + [float("inf")]
     tagged = Bucketizer(splits=splits, inputCol=ordd, outputCol="_tl_b", handleInvalid="keep").transform(base)
     bkt = F.col("_tl_b").cast("int")
-    tagged = tagged.withColumn("_tl_b", -bkt if descending else bkt).drop(ordd)
+    # NULL order values form their own bucket where Spark's default null
+    # ordering puts them: first when ascending, last when descending.
+    bkt = F.when(bkt.isNull(), F.lit(1 if descending else -1)).otherwise(-bkt if descending else bkt)
+    tagged = tagged.withColumn("_tl_b", bkt).drop(ordd)
 
     totals = tagged.groupBy(*by, "_tl_b").agg(*[F.sum(v).alias(f"_tl_t_{v}") for v in value_cols])
     before = Window.partitionBy(*by).orderBy("_tl_b").rowsBetween(Window.unboundedPreceding, -1)
