@@ -52,13 +52,20 @@ def rows_of(columns, records):
 def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--plain", action="store_true", help="use a bare SparkSession, as an outside caller would")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
 
     from textlens.plans.registry import oracles, queries
     from textlens.session import get_session
 
-    spark = get_session()
+    if a.plain:
+        from pyspark.sql import SparkSession
+
+        spark = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+                 .config("spark.ui.enabled", "false").getOrCreate())
+    else:
+        spark = get_session()
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{a.sf}/{t}.parquet')")
