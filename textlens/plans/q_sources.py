@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textlens.operators import metrics as M
-from textlens.operators import prep as P
 from textlens.plans import q_kb, q_triples
 from textlens.plans.fixtures import view, with_views
 from textlens.plans.registry import query

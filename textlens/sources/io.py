@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +27,12 @@ _CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    """Whether a dataset folder exists (the reader lists it eagerly)."""
+    try:
+        spark.read.format("text").load(path)
+        return True
+    except AnalysisException:
+        return False
 
 
 # ---------------------------------------------------------------- S01
@@ -79,7 +83,9 @@ def write_labeled_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None
 def read_text_column(spark: SparkSession, path: str, col: str = "text", na: Sequence[str] = PANDAS_NA) -> DataFrame:
     """Only the text column of a headered CSV; pandas missing-value tokens
     become NULL and missing texts are dropped."""
-    raw = spark.read.options(**_CSV).option("emptyValue", "").schema(f"{col} STRING").csv(path)
+    # Column chosen by header name (no inference: every column is a string),
+    # and the CSV parser prunes the others.
+    raw = spark.read.options(**_CSV).option("inferSchema", "false").csv(path).select(col)
     c = F.when(F.col(col).isin(list(na)), None).otherwise(F.col(col))
     return raw.select(c.alias(col)).where(F.col(col).isNotNull())
 
