@@ -69,3 +69,19 @@ def test_term_table_insert_ignore(spark):
     t.merge_ignore(a, ["o"])
     t.merge_ignore(a.withColumn("explanation", F.lit("late")), ["o"])
     assert sorted(map(tuple, t.read().collect())) == [("x", "first"), ("y", "why")]
+
+
+def test_concept_graph_round_trip(spark):
+    from textlens.operators import graph as G
+
+    root = scratch_dir(spark, "t-graph")
+    labels = spark.createDataFrame([("apple", "en", "c1"), ("apple", "en", "c2"), ("pie", "en", "c3")],
+                                   IO.LABEL_SCHEMA)
+    edges = G.edges_from(spark.createDataFrame([("c2", "related_to", "c3"), ("c2", "is_a", "c1"),
+                                                ("c1", "smells", "c3")], "src string, rel string, dst string"))
+    labels.write.parquet(f"{root}/labels")
+    edges.write.parquet(f"{root}/edges")
+    lab, edg = IO.read_concept_graph(spark, f"{root}/labels", f"{root}/edges")
+    out = G.concept_neighbours(lab.where("text = 'apple'"), lab, edg).orderBy("idx").collect()
+    # c2 has two outgoing edges, c1 one, so c2 is the busiest concept of "apple"; edges ordered by uri
+    assert [(r.start, r.relation, r.end_label) for r in out] == [("c2", "is_a", "apple"), ("c2", "related_to", "pie")]

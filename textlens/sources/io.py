@@ -162,6 +162,22 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(**_CSV).schema(ddl).csv(path).select(*TRIPLE_COLS)
 
 
+# ---------------------------------------------------------------- S09
+LABEL_SCHEMA = "text STRING, lang STRING, concept STRING"
+EDGE_SCHEMA = "start STRING, relation STRING, end STRING, uri STRING"
+
+
+def read_concept_graph(spark: SparkSession, labels_path: str, edges_path: str, fmt: str = "parquet",
+                       **options) -> tuple[DataFrame, DataFrame]:
+    """The concept graph as two tables: labels ``(text, lang, concept)`` and
+    edges ``(start, relation, end, uri)``, read with explicit schemas (any
+    file format Spark reads; ``spark.read.jdbc`` gives the same shape for a
+    graph held in a database)."""
+    labels = spark.read.format(fmt).options(**options).schema(LABEL_SCHEMA).load(labels_path)
+    edges = spark.read.format(fmt).options(**options).schema(EDGE_SCHEMA).load(edges_path)
+    return labels, edges
+
+
 # ---------------------------------------------------------------- S10
 def read_entity_bindings(spark: SparkSession, path: str, props: Sequence[str] = ("p31s", "p279s", "p527s", "p361s"),
                          multiline: bool = False) -> DataFrame:
