@@ -46,12 +46,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder is set (local runs, tests) is a fresh local folder created.
     """
     sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+    current = sc.getCheckpointDir()
+    if current:
+        return current
     path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textlens-ckpt-")
     sc.setCheckpointDir(path)
-    return sc._jsc.sc().getCheckpointDir().get()
+    return sc.getCheckpointDir()
 
 
 def materialize(df):
