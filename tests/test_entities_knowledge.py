@@ -64,3 +64,18 @@ def test_lookup_modes(spark):
     ex = {r.entity: r.explanation for r in E.lookup_explanations(ents, terms, mode="exact").collect()}
     assert cf == {"Apple": "fruit", "btc": "coin", "pear": "[UNK]"}
     assert ex == {"Apple": "fruit", "btc": "[UNK]", "pear": "[UNK]"}
+
+
+def test_candidate_matches_equal_brute_force(spark):
+    import random
+
+    from textlens.operators import kb as KB
+
+    rnd = random.Random(3)
+    alphabet = "abcÄäé xyz"
+    names = [(f"Q{i}", "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 12)))) for i in range(300)]
+    terms = sorted({"".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 4))) for _ in range(80)} | {"ä", "Ä", "x"})
+    got = KB.candidate_matches(spark.createDataFrame([(t,) for t in terms], "term string"),
+                               spark.createDataFrame(names, "qid string, name string")).collect()
+    want = {(t, q, n) for t in terms for q, n in names if t.lower() in n.lower()}
+    assert {(r.term, r.qid, r.name) for r in got} == want
