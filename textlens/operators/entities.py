@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlens.plans.sizing import broadcast_if_small
+from textlens.session import materialize
 
 # Phrase filters of the span merger and the slot layout.
 MIN_MEAN_SCORE = 0.85
@@ -47,6 +48,9 @@ def merge_spans(spans: DataFrame, doc: str = "doc_id", start: str = "span_start"
     """
     s = spans.select(F.col(doc).alias("_d"), F.col(start).alias("_s"), F.col(end).alias("_e"),
                      F.replace(F.col(word), F.lit("##"), F.lit("")).alias("_w"), F.col(score).cast("double").alias("_p"))
+    # Read five times below; spans usually come from a costly tagger, so they
+    # are computed once (reliable checkpoint) rather than once per branch.
+    s = materialize(s)
     ends = s.select("_d", F.col("_e").alias("_s"))
     heads = s.join(ends, ["_d", "_s"], "left_anti")
 
