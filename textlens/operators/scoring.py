@@ -106,28 +106,68 @@ def score_texts(df: DataFrame, make_predictor: Callable[[], Predictor], text_col
 
 
 # ---------------------------------------------------------------- M07
+def _softmax_np(logits: np.ndarray) -> np.ndarray:
+    z = logits - logits.max(axis=1, keepdims=True)
+    e = np.exp(z)
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _loo_batches(make_predictor, ids: Sequence[str], k: int, batch_size: int, positive: int):
+    def run(batches):
+        predictor = make_predictor()
+        for pdf in batches:
+            texts, owner = [], []
+            for row, toks in enumerate(pdf["_toks"]):
+                toks = list(toks) if toks is not None else []
+                if not toks:
+                    continue
+                texts.append(" ".join(toks))
+                owner.append((row, -1))
+                for i in range(len(toks)):
+                    texts.append(" ".join(toks[:i] + toks[i + 1:]))
+                    owner.append((row, i))
+            probs = np.empty(len(texts))
+            for lo in range(0, len(texts), batch_size):
+                chunk = np.asarray(predictor(texts[lo:lo + batch_size]), dtype=float)
+                probs[lo:lo + len(chunk)] = _softmax_np(chunk)[:, positive]
+            out = {c: [] for c in [*ids, "pos", "token", "weight", "rank"]}
+            j = 0
+            while j < len(owner):
+                row = owner[j][0]
+                toks = list(pdf["_toks"].iloc[row])
+                p_full, n = probs[j], len(toks)
+                w = p_full - probs[j + 1:j + 1 + n]
+                order = sorted(range(n), key=lambda i: (-round(abs(float(w[i])), 9), i))[:k]
+                for r, i in enumerate(order, 1):
+                    for c in ids:
+                        out[c].append(pdf[c].iloc[row])
+                    out["pos"].append(i)
+                    out["token"].append(toks[i])
+                    out["weight"].append(float(w[i]))
+                    out["rank"].append(r)
+                j += 1 + n
+            yield pd.DataFrame(out)
+    return run
+
+
 def loo_attribution(df: DataFrame, make_predictor, id_cols: Sequence[str], text_col: str = "text",
-                    k: int = 10, batch_size: int = 64) -> DataFrame:
+                    k: int = 10, batch_size: int = 64, positive: int = 1) -> DataFrame:
     """Leave-one-out attribution: weight of token i = p(full) - p(text
     without token i); the ``k`` largest ``|weight|`` per text (ties: earlier
-    token).  Costs one variant per token, so it suits short texts; use
-    :func:`sampled_attribution` for long ones."""
+    token).
+
+    One ``mapInPandas`` pass with no shuffle: each text's token array goes
+    in, its variants are built and scored inside the task (the predictor is
+    created once per task), and only the top ``k`` rows come out.  A text of
+    T tokens costs T variant texts, so this suits short texts; use
+    :func:`sampled_attribution` for long ones.
+    """
     ids = list(id_cols)
     toks = df.select(*ids, ws_tokens(text_col).alias("_toks"))
-    full = toks.select(*ids, F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("token"),
-                       F.array_join("_toks", " ").alias("_variant"))
-    each = toks.select(*ids, "_toks", F.posexplode("_toks").alias("pos", "token")).select(
-        *ids, "pos", "token",
-        F.array_join(F.filter("_toks", lambda t, j: j != F.col("pos")), " ").alias("_variant"))
-    scored = score_texts(full.unionByName(each), make_predictor, "_variant", keep=[*ids, "pos", "token"],
-                         batch_size=batch_size)
-    w = Window.partitionBy(*ids)
-    withp = scored.select(*ids, "pos", "token", "p_positive",
-                          F.max(F.when(F.col("pos") == -1, F.col("p_positive"))).over(w).alias("_p_full"))
-    att = withp.where(F.col("pos") >= 0).select(*ids, "pos", "token",
-                                                (F.col("_p_full") - F.col("p_positive")).alias("weight"))
-    r = Window.partitionBy(*ids).orderBy(F.round(F.abs("weight"), 9).desc(), F.col("pos").asc())
-    return att.withColumn("rank", F.row_number().over(r)).where(F.col("rank") <= k)
+    schema = T.StructType([*[df.schema[c] for c in ids],
+                           T.StructField("pos", T.IntegerType()), T.StructField("token", T.StringType()),
+                           T.StructField("weight", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+    return toks.mapInPandas(_loo_batches(make_predictor, ids, k, batch_size, positive), schema)
 
 
 def _fit_surrogate(ids: Sequence[str], k: int, kernel_width: float, alpha: float):
