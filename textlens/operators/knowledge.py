@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlens.functions.text import py_strip, ws_tokens
-from textlens.plans.sizing import DICT_MAX_ROWS, broadcast_if_small, collect_small, row_count_at_most
+from textlens.plans.sizing import DICT_MAX_ROWS, broadcast_if_small, collect_small, row_count_at_most, spread
 
 KNOWLEDGE_DIM = 192  # fixed value: width of the knowledge feature vector
 
@@ -41,8 +41,8 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
     ``carry`` columns (constant per id) ride along the same single pass, so a
     caller needs no second scan and no join back.
     """
-    toks = df.select(F.col(id_col), *carry,
-                     F.posexplode_outer(ws_tokens(normalized(text_col))).alias("_i", "_tok"))
+    toks = spread(df).select(F.col(id_col), *carry,
+                             F.posexplode_outer(ws_tokens(normalized(text_col))).alias("_i", "_tok"))
     lex = broadcast_if_small(
         lexicon.select(F.col(word_col).alias("_tok"), F.col(pos_col).alias("_p"), F.col(neg_col).alias("_n"))
     )
@@ -128,7 +128,7 @@ def preprocess_text(df: DataFrame, slang: DataFrame, emoji: DataFrame, id_col: s
     count of the lower-cased stripped text, and ``processed_text`` =
     slang-expanded, then emoji-expanded text."""
     rows = _emoji_rows(emoji, "emoji", "meaning")
-    norm = df.select(F.col(id_col), normalized(text_col).alias("_t"))
+    norm = spread(df.select(F.col(id_col), F.col(text_col))).select(F.col(id_col), normalized(text_col).alias("_t"))
     expanded = slang_expand(norm, slang, id_col=id_col, text_col="_t", out_col="_x", count_col="n_slang")
     return expanded.select(
         id_col, "_t", "n_slang",

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from textlens.functions.text import clean_text, py_strip, ws_tokens
 from textlens.plans.prefix import global_rank
-from textlens.plans.sizing import broadcast_if_small
+from textlens.plans.sizing import broadcast_if_small, spread
 
 
 def _c(col) -> Column:
@@ -56,7 +56,7 @@ def dialogues_from_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "t
 # ---------------------------------------------------------------- P03 / P04
 def clean_texts(df: DataFrame, text_col: str = "text", out_col: str = "text") -> DataFrame:
     """P03 + P04: drop NULL texts, clean, drop texts that become empty."""
-    return (df.where(F.col(text_col).isNotNull())
+    return (spread(df.where(F.col(text_col).isNotNull()))
               .withColumn(out_col, clean_text(text_col))
               .where(F.col(out_col) != ""))
 
@@ -221,7 +221,7 @@ def token_window(df: DataFrame, col: str = "text", max_length: int = 128, pad: s
     ``max_length`` (``pad='max'``) or to the longest row (``'longest'``, one
     scalar aggregate); the mask is 1 for real tokens, 0 for padding."""
     toks = F.slice(ws_tokens(col), 1, max_length)
-    base = df.withColumn(tokens_col, toks)
+    base = spread(df).withColumn(tokens_col, toks)
     if pad == "longest":
         width = base.agg(F.max(F.size(tokens_col))).first()[0] or 0
     else:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlens.functions.text import ws_tokens
+from textlens.plans.sizing import spread
 
 Predictor = Callable[[list], "np.ndarray"]
 
@@ -38,14 +39,6 @@ def vowel_length_predictor() -> Predictor:
 
 
 # ---------------------------------------------------------------- M01
-def spread_for_model(df: DataFrame) -> DataFrame:
-    """Model work is CPU-heavy per row while its input may be a few large
-    files: when the input has fewer partitions than the cluster has cores,
-    deal the rows round-robin over that many tasks (one cheap shuffle)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def softmax(logits: Column) -> Column:
     m = F.array_max(logits)
     e = F.transform(logits, lambda x: F.exp(x - m))
@@ -101,7 +94,7 @@ def score_texts(df: DataFrame, make_predictor: Callable[[], Predictor], text_col
         scored = score_texts(uniq, make_predictor, text_col, keep=["_dg"], batch_size=batch_size,
                              positive=positive)
         return src.join(scored, "_dg", "left").drop("_dg")
-    base = spread_for_model(df.select(*keep, text_col))
+    base = spread(df.select(*keep, text_col))
     schema = T.StructType(base.schema.fields + [
         T.StructField("_logits", T.ArrayType(T.DoubleType())), T.StructField("_error", T.StringType())])
     out = base.mapInPandas(_score_batches(make_predictor, text_col, batch_size), schema)
@@ -171,7 +164,7 @@ def loo_attribution(df: DataFrame, make_predictor, id_cols: Sequence[str], text_
     :func:`sampled_attribution` for long ones.
     """
     ids = list(id_cols)
-    toks = spread_for_model(df.select(*ids, ws_tokens(text_col).alias("_toks")))
+    toks = spread(df.select(*ids, ws_tokens(text_col).alias("_toks")))
     schema = T.StructType([*[df.schema[c] for c in ids],
                            T.StructField("pos", T.IntegerType()), T.StructField("token", T.StringType()),
                            T.StructField("weight", T.DoubleType()), T.StructField("rank", T.IntegerType())])

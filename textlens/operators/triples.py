@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from textlens.functions.text import WS, WORD, py_strip
 from textlens.operators.prep import TRIPLE_RELATIONS, safe_cast
 from textlens.plans.prefix import running_sums
-from textlens.plans.sizing import broadcast_if_small
+from textlens.plans.sizing import broadcast_if_small, spread
 from textlens.session import materialize
 
 # Generator target, weight range and minimum lengths of T01/W03.
@@ -46,7 +46,7 @@ def parse_triples(df: DataFrame, raw_col: str, keep: Sequence[str] = (),
     0-based line position inside the text.
     """
     clean = F.regexp_replace(F.col(raw_col), NOISE, "")
-    lines = df.select(*keep, F.posexplode(F.split(clean, "\n")).alias("line_idx", "_l"))
+    lines = spread(df).select(*keep, F.posexplode(F.split(clean, "\n")).alias("line_idx", "_l"))
     lines = lines.select(*keep, "line_idx", py_strip("_l").alias("_l")).where(F.length("_l") >= MIN_LINE_CHARS)
     l2 = F.regexp_replace("_l", f"{WS}{{2,}}", ",")
     parts = F.when(F.contains(l2, F.lit('","')),

@@ -28,6 +28,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(df) if row_count_at_most(df, max_rows) is not None else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows round-robin over the cluster's cores when the input has
+    fewer partitions than that (a few big files), before CPU-heavy row work
+    (regexes over whole texts, model scoring).  A no-op on inputs that are
+    already split finer, as large inputs are."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def collect_small(df: DataFrame, max_rows: int = DICT_MAX_ROWS, what: str = "dictionary") -> list:
     """Collect a dictionary-sized table; refuse anything above the bound."""
     rows = df.limit(max_rows + 1).collect()
