@@ -79,3 +79,18 @@ def test_candidate_matches_equal_brute_force(spark):
                                spark.createDataFrame(names, "qid string, name string")).collect()
     want = {(t, q, n) for t in terms for q, n in names if t.lower() in n.lower()}
     assert {(r.term, r.qid, r.name) for r in got} == want
+
+
+def test_null_and_empty_texts(spark):
+    from textlens.operators import prep as P
+    from textlens.operators import triples as T
+
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "   "), (4, "lol 😂")], "doc_id int, text string")
+    lex = spark.createDataFrame([("lol", 0.5, 0.0)], "word string, positive double, negative double")
+    slang = spark.createDataFrame([("lol", "laughing out loud")], "slang string, expansion string")
+    emoji = spark.createDataFrame([("😂", "laughing")], "emoji string, meaning string")
+    feats = {r.doc_id: (r.positive, r.negative, r.n_slang, r.n_emoji)
+             for r in K.knowledge_features(df, lex, slang, emoji).collect()}
+    assert feats == {1: (0.0, 0.0, 0, 0), 2: (0.0, 0.0, 0, 0), 3: (0.0, 0.0, 0, 0), 4: (0.5, 0.0, 1, 1)}
+    assert sorted(r.doc_id for r in P.clean_texts(df).collect()) == [4]
+    assert T.parse_triples(df, "text", keep=["doc_id"]).count() == 0

@@ -75,7 +75,8 @@ def slang_expand(df: DataFrame, slang: DataFrame, id_col: str = "doc_id", text_c
         return df.select(
             "*",
             F.array_join(F.transform(toks, lambda t: F.coalesce(F.try_element_at(m, t), t)), " ").alias(out_col),
-            F.size(F.array_distinct(F.filter(toks, lambda t: F.try_element_at(m, t).isNotNull()))).alias(count_col),
+            F.coalesce(F.size(F.array_distinct(F.filter(toks, lambda t: F.try_element_at(m, t).isNotNull()))),
+                       F.lit(0)).alias(count_col),
         )
     # Large dictionary: explode, join, regroup in token order.
     ex = df.select(F.col(id_col), F.posexplode_outer(toks).alias("_i", "_tok"))
@@ -85,7 +86,7 @@ def slang_expand(df: DataFrame, slang: DataFrame, id_col: str = "doc_id", text_c
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("_exp", "_tok").alias("w")))),
                         lambda s: s["w"]), " ").alias(out_col),
-        F.size(F.collect_set(F.when(F.col("_exp").isNotNull(), F.col("_tok")))).alias(count_col),
+        F.coalesce(F.size(F.collect_set(F.when(F.col("_exp").isNotNull(), F.col("_tok")))), F.lit(0)).alias(count_col),
     )
     return df.join(agg, id_col, "left")
 
