@@ -56,3 +56,23 @@ def test_train_and_predict(spark):
     pred = MD.predict(model, df, keep=["doc_id", "label"])
     acc = pred.select(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
     assert acc == 1.0
+
+
+def test_encode_texts_pads_and_masks(spark):
+    def make_tok():
+        return lambda texts: [[ord(c) for c in t] for t in texts]
+
+    df = spark.createDataFrame([(1, "abc"), (2, "abcdefgh"), (3, None)], "id int, text string")
+    rows = {r.id: r for r in S.encode_texts(df, make_tok, keep=["id"], max_length=5).collect()}
+    assert list(rows[1].input_ids) == [97, 98, 99, 0, 0] and list(rows[1].attention_mask) == [1, 1, 1, 0, 0]
+    assert list(rows[2].input_ids) == [97, 98, 99, 100, 101] and list(rows[2].attention_mask) == [1] * 5
+    assert list(rows[3].attention_mask) == [0] * 5
+
+
+def test_vector_profile_scaled(spark):
+    from textlens.operators import metrics as M
+
+    df = spark.createDataFrame([(1, [3.0, -4.0]), (2, [0.5, 0.5, 0.5, 0.5])], "vec_id int, embedding array<double>")
+    r = {x.vec_id: x for x in M.vector_profile(df).collect()}
+    assert (r[1].dim, r[1].vmin, r[1].vmax, r[1].norm) == (2, -4.0, 3.0, 5.0)
+    assert r[2].norm == 1.0

@@ -106,6 +106,32 @@ def score_texts(df: DataFrame, make_predictor: Callable[[], Predictor], text_col
         F.col("_error").alias("error"))
 
 
+# ---------------------------------------------------------------- P14 (sub-word ids)
+def encode_texts(df: DataFrame, make_tokenizer: Callable[[], Callable[[list], list]], text_col: str = "text",
+                 keep: Sequence[str] = (), max_length: int = 128, pad_id: int = 0,
+                 ids_col: str = "input_ids", mask_col: str = "attention_mask") -> DataFrame:
+    """Sub-word ids from any tokenizer (``list[str] -> list[list[int]]``,
+    built once per task), cut to ``max_length`` and padded with ``pad_id``
+    on the JVM side; the mask is 1 for real tokens, 0 for padding."""
+    keep = list(keep)
+
+    def run(batches):
+        tok = make_tokenizer()
+        for pdf in batches:
+            texts = [t if isinstance(t, str) else "" for t in pdf[text_col].tolist()]
+            ids = [list(map(int, x)) for x in tok(texts)] if texts else []
+            yield pdf[keep].assign(_ids=pd.Series(ids, dtype=object))
+
+    base = spread(df.select(*keep, text_col))
+    schema = T.StructType([*[base.schema[c] for c in keep], T.StructField("_ids", T.ArrayType(T.IntegerType()))])
+    out = base.mapInPandas(run, schema)
+    ids = F.slice(F.col("_ids"), 1, max_length)
+    n = F.size(ids)
+    pad = F.greatest(F.lit(max_length) - n, F.lit(0))
+    return out.select(*keep, F.concat(ids, F.array_repeat(F.lit(pad_id), pad)).alias(ids_col),
+                      F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), pad)).alias(mask_col))
+
+
 # ---------------------------------------------------------------- M07
 def _softmax_np(logits: np.ndarray) -> np.ndarray:
     z = logits - logits.max(axis=1, keepdims=True)
