@@ -94,3 +94,12 @@ def test_null_and_empty_texts(spark):
     assert feats == {1: (0.0, 0.0, 0, 0), 2: (0.0, 0.0, 0, 0), 3: (0.0, 0.0, 0, 0), 4: (0.5, 0.0, 1, 1)}
     assert sorted(r.doc_id for r in P.clean_texts(df).collect()) == [4]
     assert T.parse_triples(df, "text", keep=["doc_id"]).count() == 0
+
+
+def test_default_dictionaries(spark):
+    df = spark.createDataFrame([(1, "  GG fam 🔥💪 ❤️ ngl  ")], "doc_id int, text string")
+    lex = spark.createDataFrame([("fam", 0.25, 0.5)], "word string, positive double, negative double")
+    f = K.knowledge_features(df, lex, K.default_slang(spark), K.default_emoji(spark)).first()
+    assert (f.positive, f.negative, f.n_slang, f.n_emoji) == (0.25, 0.5, 3, 2)
+    p = K.preprocess_text(df, K.default_slang(spark), K.default_emoji(spark)).first().processed_text
+    assert p == "good game family  fire|exciting|excellent  strong|confident|positive   love|adore|positive  not gonna lie"

@@ -25,6 +25,47 @@ from textlens.plans.sizing import DICT_MAX_ROWS, broadcast_if_small, collect_sma
 
 KNOWLEDGE_DIM = 192  # fixed value: width of the knowledge feature vector
 
+# The built-in slang dictionary (slang -> expansion).
+SLANG = (
+    ("lol", "laughing out loud"),
+    ("idk", "i don't know"),
+    ("tbh", "to be honest"),
+    ("imo", "in my opinion"),
+    ("goat", "greatest of all time"),
+    ("sick", "excellent"),
+    ("lit", "exciting"),
+    ("fam", "family"),
+    ("ngl", "not gonna lie"),
+    ("fr", "for real"),
+    ("rn", "right now"),
+    ("idc", "i don't care"),
+    ("gg", "good game"),
+    ("dm", "direct message"),
+    ("fomo", "fear of missing out"),
+)
+
+# The built-in emoji dictionary (emoji -> meanings).
+EMOJI = (
+    ("🔥", "fire|exciting|excellent"),
+    ("😊", "happy|pleased|positive"),
+    ("😢", "sad|unhappy|negative"),
+    ("👍", "approve|good|positive"),
+    ("👎", "disapprove|bad|negative"),
+    ("❤️", "love|adore|positive"),
+    ("😂", "laughing|amused|positive"),
+    ("😡", "angry|mad|negative"),
+    ("🙄", "annoyed|skeptical|negative"),
+    ("💪", "strong|confident|positive"),
+)
+
+
+def default_slang(spark) -> DataFrame:
+    return spark.createDataFrame(list(SLANG), "slang string, expansion string")
+
+
+def default_emoji(spark) -> DataFrame:
+    return spark.createDataFrame(list(EMOJI), "emoji string, meaning string")
+
 
 def normalized(col) -> Column:
     """``text.lower().strip()``."""
