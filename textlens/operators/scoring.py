@@ -90,7 +90,9 @@ def score_texts(df: DataFrame, make_predictor: Callable[[], Predictor], text_col
     if dedupe:
         digest = F.sha2(F.col(text_col), 256)
         src = df.select(*keep, text_col, digest.alias("_dg"))
-        uniq = src.select("_dg", text_col).dropDuplicates(["_dg"])
+        # distinct on the text itself is a hash aggregate (a "keep one text
+        # per digest" aggregate would need a sort-based aggregate)
+        uniq = df.select(text_col).distinct().select(digest.alias("_dg"), text_col)
         scored = score_texts(uniq, make_predictor, text_col, keep=["_dg"], batch_size=batch_size,
                              positive=positive)
         return src.join(scored, "_dg", "left").drop("_dg")
