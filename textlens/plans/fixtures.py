@@ -114,6 +114,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql)
 
 
+def fresh(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table or scan-only view, dealt over the cores when it is read as a
+    few large splits (see :func:`textlens.plans.sizing.spread`)."""
+    from textlens.plans.sizing import spread
+
+    return spread(view(spark, sf_dir, name) if name in VIEWS else table(spark, sf_dir, name))
+
+
 def with_views(body: str, *names: str) -> str:
     """DuckDB oracle text: the fixture views as CTEs in front of ``body``.
 

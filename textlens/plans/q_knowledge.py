@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textlens.functions.text import WS_RE2
 from textlens.operators import knowledge as K
-from textlens.plans.fixtures import view, with_views
+from textlens.plans.fixtures import fresh, view, with_views
 from textlens.plans.registry import query
 
 _NORM = rf"regexp_replace(lower(text), '^{WS_RE2}+|{WS_RE2}+$', '', 'g')"
@@ -23,7 +23,7 @@ FROM v_social s LEFT JOIN hits h ON s.doc_id = h.doc_id
 
 @query("j02_lexicon_sentiment", _J02)
 def j02(spark, sf):
-    out = K.lexicon_sentiment(view(spark, sf, "v_social"), view(spark, sf, "v_lexicon"))
+    out = K.lexicon_sentiment(fresh(spark, sf, "v_social"), view(spark, sf, "v_lexicon"))
     return out.select("doc_id", F.round("positive", 6).alias("positive"), F.round("negative", 6).alias("negative"))
 
 
@@ -44,7 +44,7 @@ FROM v_social v LEFT JOIN agg a ON v.doc_id = a.doc_id
 
 @query("j03_slang_expand", _J03)
 def j03(spark, sf):
-    out = K.slang_expand(view(spark, sf, "v_social"), view(spark, sf, "v_slang"))
+    out = K.slang_expand(fresh(spark, sf, "v_social"), view(spark, sf, "v_slang"))
     return out.select("doc_id", "expanded", F.col("n_slang").cast("long").alias("n_slang"))
 
 
@@ -72,7 +72,7 @@ FROM v_social
 
 @query("j04_emoji_expand", _J04)
 def j04(spark, sf):
-    out = K.emoji_expand(view(spark, sf, "v_social"), view(spark, sf, "v_emoji"))
+    out = K.emoji_expand(fresh(spark, sf, "v_social"), view(spark, sf, "v_emoji"))
     return out.select("doc_id", "expanded", F.col("n_emoji").cast("int").alias("n_emoji"))
 
 
@@ -87,7 +87,7 @@ FROM v_social v LEFT JOIN agg a ON v.doc_id = a.doc_id LEFT JOIN hits h ON v.doc
 
 
 def a10_frame(spark, sf):
-    out = K.knowledge_features(view(spark, sf, "v_social"), view(spark, sf, "v_lexicon"),
+    out = K.knowledge_features(fresh(spark, sf, "v_social"), view(spark, sf, "v_lexicon"),
                                view(spark, sf, "v_slang"), view(spark, sf, "v_emoji"))
     return out.select("doc_id", F.round("positive", 6).alias("positive"), F.round("negative", 6).alias("negative"),
                       F.col("n_slang").cast("long").alias("n_slang"), F.col("n_emoji").cast("int").alias("n_emoji"))
@@ -104,5 +104,5 @@ FROM v_social v LEFT JOIN agg a ON v.doc_id = a.doc_id
 
 @query("a10_preprocess_text", _A10P)
 def a10p(spark, sf):
-    out = K.preprocess_text(view(spark, sf, "v_social"), view(spark, sf, "v_slang"), view(spark, sf, "v_emoji"))
+    out = K.preprocess_text(fresh(spark, sf, "v_social"), view(spark, sf, "v_slang"), view(spark, sf, "v_emoji"))
     return out.select("doc_id", "processed_text")

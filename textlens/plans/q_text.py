@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textlens.functions.text import NOT_WS_RE2, WS_RE2
 from textlens.operators import prep as P
-from textlens.plans.fixtures import table, view, with_views
+from textlens.plans.fixtures import fresh, table, view, with_views
 from textlens.plans.registry import query
 
 
@@ -52,7 +52,7 @@ SELECT doc_id, text FROM (SELECT doc_id, {_clean_sql('text')} AS text FROM v_soc
 WHERE text <> ''
 """, "v_social"))
 def p03(spark, sf):
-    return P.clean_texts(view(spark, sf, "v_social"))
+    return P.clean_texts(fresh(spark, sf, "v_social"))
 
 
 # ---------------------------------------------------------------- P05
@@ -190,7 +190,7 @@ SELECT doc_id, CASE WHEN {' AND '.join(f"contains(lower(text), '{k}')" for k in
 FROM documents
 """)
 def p13(spark, sf):
-    d = table(spark, sf, "documents")
+    d = fresh(spark, sf, "documents")
     return d.select("doc_id", P.validate_explanation("text", _REQ).alias("explanation"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from textlens.functions.text import WS_RE2
 from textlens.operators import triples as T
-from textlens.plans.fixtures import view, with_views
+from textlens.plans.fixtures import fresh, with_views
 from textlens.plans.registry import query
 
 ORDER = ["batch_id", "line_no", "line_idx"]
@@ -50,7 +50,7 @@ k AS (SELECT source_concept, relation_type, target_concept, weight, batch_id, li
 
 
 def parsed(spark, sf):
-    return T.parse_triples(view(spark, sf, "v_triple_lines"), "line", keep=["batch_id", "line_no"])
+    return T.parse_triples(fresh(spark, sf, "v_triple_lines"), "line", keep=["batch_id", "line_no"])
 
 
 @query("t01_parse_triples", with_views("WITH" + _T01_CTES + "\nSELECT * FROM t", "v_triple_lines"))

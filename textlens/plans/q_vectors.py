@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textlens.functions.text import WS_RE2
 from textlens.operators import scoring as S
 from textlens.operators import vectors as V
-from textlens.plans.fixtures import table
+from textlens.plans.fixtures import fresh, table
 from textlens.plans.registry import query
 
 _DOT = ("list_sum(list_transform(generate_series(1, len({a})), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))")
@@ -71,7 +71,7 @@ SELECT doc_id, round({_p_sql('text')}, 6) AS p_positive,
 FROM documents
 """)
 def m01(spark, sf):
-    d = table(spark, sf, "documents")
+    d = fresh(spark, sf, "documents")
     s = S.score_texts(d, S.vowel_length_predictor, "text", keep=["doc_id"], dedupe=True)
     return s.select("doc_id", F.round("p_positive", 6).alias("p_positive"), "prediction")
 
@@ -90,12 +90,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(abs
 SELECT conv_id, turn, pos, token, round(weight, 6) + 0.0 AS weight, rank FROM r WHERE rank <= 10
 """)
 def m07(spark, sf):
-    c = table(spark, sf, "conversations")
+    c = fresh(spark, sf, "conversations")
     a = S.loo_attribution(c, S.vowel_length_predictor, ["conv_id", "turn"], "text", k=10)
     return a.select("conv_id", "turn", "pos", "token", F.round("weight", 6).alias("weight"), "rank")
 
 
 @query("m07_sampled_attribution")
 def m07s(spark, sf):
-    c = table(spark, sf, "conversations")
+    c = fresh(spark, sf, "conversations")
     return S.sampled_attribution(c, S.vowel_length_predictor, ["conv_id", "turn"], "text", n_samples=32, k=10)

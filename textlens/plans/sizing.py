@@ -32,7 +32,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal rows round-robin over the cluster's cores when the input has
     fewer partitions than that (a few big files), before CPU-heavy row work
     (regexes over whole texts, model scoring).  A no-op on inputs that are
-    already split finer, as large inputs are."""
+    already split finer, as large inputs are.
+
+    Call it on a freshly read input (scans, filters, projections): counting
+    the partitions of a plan that already shuffles would make adaptive
+    execution run those stages during planning."""
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
