@@ -72,16 +72,19 @@ def test_exact_split_disjoint_complete(spark):
 
 
 def test_result_independent_of_partitions(spark):
-    from textlens.plans import q_entities, q_metrics
+    from textlens.plans.registry import queries
 
     sf = "/root/testdata/sf0.001"
+    names = ["a05_roc_auc", "a05_roc_curve", "w01_merge_spans", "p15_entity_slots", "w03_first_n_distinct",
+             "a15_ingest_progress", "m08_exact_split", "j06_entity_candidates", "j05_concept_neighbours",
+             "j09_two_hop_classes", "a10_knowledge_features", "m07_token_attribution"]
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         out = {}
         for n in ("1", "8"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            out[n] = (sorted(map(tuple, q_metrics.a05_auc(spark, sf).collect())),
-                      sorted(map(tuple, q_entities.w01(spark, sf).collect())))
-        assert out["1"] == out["8"]
+            out[n] = {q: sorted(map(tuple, queries()[q](spark, sf).collect())) for q in names}
+        for q in names:
+            assert out["1"][q] == out["8"][q], q
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
