@@ -20,7 +20,8 @@ from textlens.streaming import streams as ST
 def _stage_in_order(spark, df, part_col: str, dest: str, fmt: str = "json") -> None:
     """Write one file per ``part_col`` value into ``dest``, with modification
     times increasing in ``part_col`` order (the file source's arrival order).
-    Only file metadata goes through the driver."""
+    Test scaffolding: only file metadata goes through the driver, via the
+    Hadoop file system of the session (rename + set times)."""
     staging = f"{dest}-staging"
     df.repartition(part_col).write.partitionBy(part_col).format(fmt).save(staging)
     jvm = spark.sparkContext._jvm
