@@ -9,6 +9,7 @@ probability and argmax are column expressions on the JVM side.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -144,36 +145,47 @@ def _loo_batches(make_predictor, ids: Sequence[str], k: int, batch_size: int, po
     def run(batches):
         predictor = make_predictor()
         for pdf in batches:
-            texts, owner = [], []
-            for row, toks in enumerate(pdf["_toks"]):
+            state: dict = {}        # row -> [p_full, top-k heap items]
+            pending: list = []      # (row, pos, text); pos -1 = the full text
+
+            def flush():
+                if not pending:
+                    return
+                logits = np.asarray(predictor([t for _, _, t in pending]), dtype=float)
+                for (row, pos, _), p in zip(pending, _softmax_np(logits)[:, positive]):
+                    st = state[row]
+                    if pos < 0:
+                        st[0] = p
+                    else:
+                        w = float(st[0] - p)
+                        st[1] = heapq.nsmallest(k, st[1] + [(-round(abs(w), 9), pos, w)])
+                pending.clear()
+
+            # Variants of all texts in the batch share predictor calls of
+            # ``batch_size`` texts; at most that many are held at once, so
+            # memory stays bounded even for long texts.
+            for row in range(len(pdf)):
+                toks = pdf["_toks"].iloc[row]
                 toks = list(toks) if toks is not None else []
                 if not toks:
                     continue
-                texts.append(" ".join(toks))
-                owner.append((row, -1))
-                for i in range(len(toks)):
-                    texts.append(" ".join(toks[:i] + toks[i + 1:]))
-                    owner.append((row, i))
-            probs = np.empty(len(texts))
-            for lo in range(0, len(texts), batch_size):
-                chunk = np.asarray(predictor(texts[lo:lo + batch_size]), dtype=float)
-                probs[lo:lo + len(chunk)] = _softmax_np(chunk)[:, positive]
+                state[row] = [None, []]
+                for pos in range(-1, len(toks)):
+                    text = " ".join(toks) if pos < 0 else " ".join(toks[:pos] + toks[pos + 1:])
+                    pending.append((row, pos, text))
+                    if len(pending) >= batch_size:
+                        flush()
+            flush()
             out = {c: [] for c in [*ids, "pos", "token", "weight", "rank"]}
-            j = 0
-            while j < len(owner):
-                row = owner[j][0]
-                toks = list(pdf["_toks"].iloc[row])
-                p_full, n = probs[j], len(toks)
-                w = p_full - probs[j + 1:j + 1 + n]
-                order = sorted(range(n), key=lambda i: (-round(abs(float(w[i])), 9), i))[:k]
-                for r, i in enumerate(order, 1):
+            for row, (_, best) in state.items():
+                toks = pdf["_toks"].iloc[row]
+                for r, (_, i, x) in enumerate(best, 1):
                     for c in ids:
                         out[c].append(pdf[c].iloc[row])
                     out["pos"].append(i)
                     out["token"].append(toks[i])
-                    out["weight"].append(float(w[i]))
+                    out["weight"].append(x)
                     out["rank"].append(r)
-                j += 1 + n
             yield pd.DataFrame(out)
     return run
 
