@@ -216,7 +216,8 @@ def _fit_surrogate(ids: Sequence[str], k: int, kernel_width: float, alpha: float
         y = pdf["p_positive"].to_numpy(dtype=float)
         ok = ~np.isnan(y)
         X, y = X[ok], y[ok]
-        toks = pdf["_toks"].iloc[0]
+        carried = pdf["_toks"].dropna()
+        toks = list(carried.iloc[0]) if len(carried) else []
         if X.size == 0 or len(toks) == 0:
             return pd.DataFrame(columns=[*ids, "rank", "pos", "token", "weight"])
         # Cosine distance of each mask to the full text, exponential kernel.
@@ -255,6 +256,9 @@ def sampled_attribution(df: DataFrame, make_predictor, id_cols: Sequence[str], t
         F.col("_s") == 0, 1).otherwise((F.abs(F.xxhash64(F.col("_key"), F.col("_s"), j, F.lit(seed))) % 2).cast("int")))
     samples = samples.withColumn("_mask", mask)
     samples = samples.withColumn("_variant", F.array_join(F.filter("_toks", lambda t, j: F.get("_mask", j) == 1), " "))
+    # Only sample 0 carries the token array to the per-text fit; the other
+    # samples carry their mask alone, so the shuffle moves one copy per text.
+    samples = samples.withColumn("_toks", F.when(F.col("_s") == 0, F.col("_toks")))
     scored = score_texts(samples, make_predictor, "_variant", keep=[*ids, "_toks", "_mask"], batch_size=batch_size)
     schema = T.StructType([*[f for f in df.schema.fields if f.name in ids],
                            T.StructField("rank", T.IntegerType()), T.StructField("pos", T.IntegerType()),
