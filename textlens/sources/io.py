@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlens.operators.entities import new_keys
-from textlens.operators.prep import binarize_label, dialogue_text
+from textlens.operators.prep import binarize_label, dialogue_text, safe_cast
 from textlens.operators.triples import TRIPLE_COLS, append_new_triples
 
 # The tokens pandas' CSV reader turns into missing values.
@@ -68,10 +68,12 @@ def read_dialogues(spark: SparkSession, path: str, positive: str = "SARCASM",
 # ---------------------------------------------------------------- S03 / S05
 def read_labeled_csv(spark: SparkSession, path: str, extra_labels: Sequence[str] = ()) -> DataFrame:
     """Headered RFC-4180 CSV (quotes doubled, embedded newlines) ->
-    ``(text, label, *extra_labels)`` with an explicit schema.  An empty
-    field is NULL, as in pandas' reader."""
-    ddl = ", ".join(["text STRING", "label INT", *[f"{c} INT" for c in extra_labels]])
-    return spark.read.options(**_CSV).schema(ddl).csv(path)
+    ``(text, label, *extra_labels)``.  Columns are found by header name (any
+    order, other columns pruned, no inference pass); labels go through the
+    guarded integer cast.  An empty field is NULL, as in pandas' reader."""
+    raw = spark.read.options(**_CSV).option("inferSchema", "false").csv(path)
+    labels = ["label", *extra_labels]
+    return raw.select(F.col("text"), *[safe_cast(c, "int").alias(c) for c in labels])
 
 
 def write_labeled_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
