@@ -36,6 +36,14 @@ def ws_tokens(col) -> Column:
     return F.filter(F.split(_c(col), f"{WS}+"), lambda t: t != F.lit(""))
 
 
+# The social-text cleaning patterns, applied in this order
+# (mentions and hashtags, URLs, characters other than word characters,
+# whitespace and - ' ? . !), then whitespace runs become one space.
+MENTION_OR_TAG = f"[@#]{WORD}+"
+URL = f"http{NOT_WS}+"
+NOT_KEPT = r"[^\p{L}\p{N}_\s\x0B\x1C-\x1F\x85\p{Z}\-'?.!]"
+
+
 def clean_text(col) -> Column:
     """Social-text cleaning: mentions/hashtags, URLs, symbols, spaces.
 
@@ -43,9 +51,9 @@ def clean_text(col) -> Column:
     its non-space run; drop every character other than word characters,
     whitespace and ``- ' ? . !``; collapse whitespace runs to one space; strip.
     """
-    c = F.regexp_replace(_c(col), f"[@#]{WORD}+", "")
-    c = F.regexp_replace(c, f"http{NOT_WS}+", "")
-    c = F.regexp_replace(c, r"[^\p{L}\p{N}_\s\x0B\x1C-\x1F\x85\p{Z}\-'?.!]", "")
+    c = F.regexp_replace(_c(col), MENTION_OR_TAG, "")
+    c = F.regexp_replace(c, URL, "")
+    c = F.regexp_replace(c, NOT_KEPT, "")
     c = F.regexp_replace(c, f"{WS}+", " ")
     return py_strip(c)
 

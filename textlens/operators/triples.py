@@ -25,9 +25,9 @@ WEIGHT_MIN, WEIGHT_MAX = 0.5, 2.5
 MIN_LINE_CHARS = 10
 MIN_CONCEPT_CHARS = 2
 
-# Non-data content removed before line parsing (multi-line mode; only "\n"
-# ends a line): fenced blocks, '#' lines, "Example(s):"/"Note:" tails,
-# "word:" prefixes and runs of '*'.
+# Non-data content removed before line parsing (multi-line
+# mode; only "\n" ends a line): fenced blocks, '#' lines, "Example(s):" and
+# "Note:" tails, "word:" prefixes and runs of '*'.
 NOISE = rf"(?md)(```[\s\S]*?```|^#.*|Examples?:.*|Note:.*|\b{WORD}+:{WS}*|\*+)"
 
 TRIPLE_COLS = ["source_concept", "relation_type", "target_concept", "weight"]
