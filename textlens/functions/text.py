@@ -56,8 +56,3 @@ def clean_text(col) -> Column:
     c = F.regexp_replace(c, NOT_KEPT, "")
     c = F.regexp_replace(c, f"{WS}+", " ")
     return py_strip(c)
-
-
-def quote_regex(s: str) -> str:
-    """Literal-match regex for ``s`` (Java and RE2 both accept \\Q...\\E)."""
-    return r"\Q" + s.replace(r"\E", r"\E\\E\Q") + r"\E"
