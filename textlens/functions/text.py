@@ -32,8 +32,10 @@ def py_strip(col) -> Column:
 
 
 def ws_tokens(col) -> Column:
-    """``str.split()``: whitespace tokens, never an empty token."""
-    return F.filter(F.split(_c(col), f"{WS}+"), lambda t: t != F.lit(""))
+    """``str.split()``: whitespace tokens, never an empty token; a NULL text
+    has no tokens (an empty array, so sizes are 0 in any ANSI mode)."""
+    toks = F.filter(F.split(_c(col), f"{WS}+"), lambda t: t != F.lit(""))
+    return F.coalesce(toks, F.array().cast("array<string>"))
 
 
 # The social-text cleaning patterns, applied in this order

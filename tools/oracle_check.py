@@ -53,6 +53,7 @@ def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     ap.add_argument("--plain", action="store_true", help="use a bare SparkSession, as an outside caller would")
+    ap.add_argument("--no-ansi", action="store_true", help="run with spark.sql.ansi.enabled=false")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
 
@@ -66,6 +67,8 @@ def main() -> int:
                  .config("spark.ui.enabled", "false").getOrCreate())
     else:
         spark = get_session()
+    if a.no_ansi:
+        spark.conf.set("spark.sql.ansi.enabled", "false")
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{a.sf}/{t}.parquet')")
