@@ -107,11 +107,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named fixture view as a DataFrame over ``sf_dir``'s parquet files."""
+    """The named fixture view as a DataFrame over ``sf_dir``'s parquet files.
+
+    Table names become DataFrame arguments of ``spark.sql`` (short-lived
+    generated view names), so no session-wide temp view is created or
+    replaced."""
     sql = VIEWS[name]
-    for t in tables_used(sql):
-        table(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(sql)
+    used = tables_used(sql)
+    templ = re.sub(r"\b(" + "|".join(used) + r")\b", r"{\1}", sql) if used else sql
+    return spark.sql(templ, **{t: table(spark, sf_dir, t) for t in used})
 
 
 def fresh(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
