@@ -60,8 +60,10 @@ def two_hop_classes(seeds: DataFrame, edges: DataFrame, seed: str = "seed", a: s
     """Undirected neighbourhood of each seed: degree 0 (``selected``), 1
     (``first``), 2 (``second``); the nearer class wins.  Nodes not listed
     are ``other``.  Frontiers are de-duplicated before each expansion."""
-    sym = edges.select(F.col(a).alias("_u"), F.col(b).alias("_v")).unionByName(
-        edges.select(F.col(b).alias("_u"), F.col(a).alias("_v"))).distinct()
+    # Both directions from one pass over the edges.
+    both = F.array(F.struct(F.col(a).alias("_u"), F.col(b).alias("_v")),
+                   F.struct(F.col(b).alias("_u"), F.col(a).alias("_v")))
+    sym = edges.select(F.explode(both).alias("_e")).select("_e._u", "_e._v").distinct()
     s = seeds.select(F.col(seed).alias("seed")).distinct()
     d0 = s.select("seed", F.col("seed").alias("node"), F.lit(0).alias("degree"))
     d1 = s.join(sym, F.col("seed") == F.col("_u")).select("seed", F.col("_v").alias("node")).distinct()
