@@ -76,7 +76,10 @@ def confusion_matrix(df: DataFrame, classes: Sequence[int] = (0, 1), y: str = "y
     """Long confusion matrix ``(by.., true_label, predicted_label, n)`` with
     every class pair present (zero cells included)."""
     counts = df.groupBy(*by, F.col(y).alias("true_label"), F.col(yhat).alias("predicted_label")).count()
-    groups = df.select(*by).distinct() if by else None
+    if by:
+        # One pass over the predictions; the group list comes from the counts.
+        counts = materialize(counts)
+    groups = counts.select(*by).distinct() if by else None
     cls = F.array(*[F.lit(c) for c in classes])
     if groups is None:
         grid = counts.sparkSession.range(1).select(
@@ -102,12 +105,12 @@ def classification_report(df: DataFrame, classes: Sequence[int] = (0, 1), y: str
         F.sum(F.when(F.col("_y") == F.col("_c"), F.col("count")).otherwise(0)).alias("support"),
         F.sum(F.when(F.col("_p") == F.col("_c"), F.col("count")).otherwise(0)).alias("pred"),
     )
-    per = per.select(
+    per = materialize(per.select(  # tiny; read by four output branches
         *by, F.col("_c").cast("string").alias("row"), "tp", "support",
         _div0(F.col("tp"), F.col("pred")).alias("precision"),
         _div0(F.col("tp"), F.col("support")).alias("recall"),
         _div0(2 * F.col("tp"), F.col("pred") + F.col("support")).alias("f1"),
-    )
+    ))
     cols = ["precision", "recall", "f1"]
     tot = per.groupBy(*by).agg(
         F.sum("support").alias("n"), F.sum("tp").alias("tp"),
@@ -214,8 +217,8 @@ def multitask_loss(df: DataFrame, weights: Mapping[str, float] = TASK_WEIGHTS, t
     pc = F.least(F.greatest(F.col(p).cast("double"), F.lit(EPS)), F.lit(1 - EPS))
     ll = F.when(F.col(y) == 1, F.ln(pc)).otherwise(F.ln(1 - pc))
     wmap = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-    per = df.groupBy(task).agg((-F.avg(ll)).alias("loss")).select(
-        F.col(task).alias("task"), "loss", F.coalesce(F.try_element_at(wmap, F.col(task)), F.lit(0.0)).alias("weight"))
+    per = materialize(df.groupBy(task).agg((-F.avg(ll)).alias("loss")).select(
+        F.col(task).alias("task"), "loss", F.coalesce(F.try_element_at(wmap, F.col(task)), F.lit(0.0)).alias("weight")))
     total = per.agg(F.lit("total").alias("task"), F.sum(F.col("loss") * F.col("weight")).alias("loss"),
                     F.lit(None).cast("double").alias("weight"))
     return per.unionByName(total)
