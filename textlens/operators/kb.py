@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlens.functions.text import py_strip
+from textlens.session import materialize
 
 SEP = " | "
 GRAM = 3
@@ -123,7 +124,9 @@ def entity_candidates(terms: DataFrame, entities: DataFrame, props: DataFrame, a
     names = entities.select(key, F.col(label).alias("name"))
     if aliases is not None:
         names = names.unionByName(aliases.select(key, F.col(aliases.columns[1]).alias("name")))
-    ranked = rank_candidates(candidate_matches(terms, names, key=key), entities, key, label, desc, limit)
+    # At most ``limit`` rows per term, read twice below: the n-gram search
+    # runs once.
+    ranked = materialize(rank_candidates(candidate_matches(terms, names, key=key), entities, key, label, desc, limit))
     kept_ids = ranked.select(key).distinct()
     plist = property_lists(props.join(kept_ids, key, "left_semi"), config, key)
     out = ranked.join(plist, key, "left")
