@@ -94,6 +94,9 @@ def ingest_progress(triples: DataFrame, batch_col: str, order_cols: Sequence[str
                     n: int = TARGET_COUNT) -> DataFrame:
     """Per batch: parsed rows, rows newly added (first arrivals within the
     target), and the running total of added rows (A15)."""
+    # Two aggregations read the triples; parse them once (reliable checkpoint).
+    cols = list(dict.fromkeys([batch_col, *order_cols, *TRIPLE_COLS]))
+    triples = materialize(triples.select(*cols))
     parsed = triples.groupBy(batch_col).agg(F.count(F.lit(1)).alias("parsed"))
     kept = first_n_distinct(triples, order_cols, n)
     added = kept.groupBy(batch_col).agg(F.count(F.lit(1)).alias("added"))
