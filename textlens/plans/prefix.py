@@ -54,6 +54,8 @@ def running_sums(
     base = df.withColumn(ordd, F.col(order_col).cast("double"))
     qs = base.approxQuantile(ordd, probs, 1.0 / (4 * nb)) if nb > 1 else []
     splits = [float("-inf")] + sorted({q for q in qs if q == q}) + [float("inf")]
+    if len(splits) < 3:  # empty input: Bucketizer needs one inner split
+        splits = [float("-inf"), 0.0, float("inf")]
     tagged = Bucketizer(splits=splits, inputCol=ordd, outputCol="_tl_b", handleInvalid="keep").transform(base)
     bkt = F.col("_tl_b").cast("int")
     # NULL order values form their own bucket where Spark's default null
