@@ -88,3 +88,21 @@ def test_result_independent_of_partitions(spark):
             assert out["1"][q] == out["8"][q], q
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_roc_corners_match_python(spark):
+    import numpy as np
+
+    rnd = random.Random(11)
+    rows = [(rnd.randint(0, 1), round(rnd.random(), 1)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "y int, p double")
+    got = sorted((r.threshold, r.fpr, r.tpr) for r in
+                 M.roc_curve(df, drop_intermediate=True, include_origin=True).collect())
+    thr = sorted({p for _, p in rows}, reverse=True)
+    tps = np.cumsum([sum(1 for y, p in rows if p == t and y == 1) for t in thr])
+    fps = np.cumsum([sum(1 for y, p in rows if p == t and y == 0) for t in thr])
+    keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
+    want = sorted([(float("inf"), 0.0, 0.0)] + [(thr[i], fps[i] / fps[-1], tps[i] / tps[-1]) for i in keep])
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g[0] == w[0] and abs(g[1] - w[1]) < 1e-12 and abs(g[2] - w[2]) < 1e-12

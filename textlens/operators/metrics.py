@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlens.plans.prefix import running_sums
+from textlens.plans.prefix import global_rank, running_sums
 from textlens.session import materialize
 
 
@@ -149,13 +149,40 @@ def _roc_points(df: DataFrame, score: str, label: str, by: Sequence[str]) -> Dat
     return out if by else out.drop("_tl_all")
 
 
-def roc_curve(df: DataFrame, score: str = "p", label: str = "y", by: Sequence[str] = ()) -> DataFrame:
+def roc_curve(df: DataFrame, score: str = "p", label: str = "y", by: Sequence[str] = (),
+              drop_intermediate: bool = False, include_origin: bool = False) -> DataFrame:
     """One ROC point per distinct score (descending threshold):
-    ``(by.., threshold, fpr, tpr)``; rates are NULL when a class is absent."""
+    ``(by.., threshold, fpr, tpr)``; rates are NULL when a class is absent.
+
+    ``drop_intermediate`` keeps only the first, the last and the corner
+    points (non-zero second difference of the cumulative false or true
+    positives); ``include_origin`` adds the point (0, 0) at threshold
+    +infinity.  Neighbours are found by distributed ranks and equi-joins on
+    rank +- 1, not by an ordered window."""
     pts = _roc_points(df, score, label, by)
-    return pts.select(*by, "threshold",
-                      F.try_divide(F.col("cum_fp").cast("double"), F.col("N")).alias("fpr"),
-                      F.try_divide(F.col("cum_tp").cast("double"), F.col("P")).alias("tpr"))
+    by = list(by)
+    if drop_intermediate:
+        keys = by or ["_tl_all"]
+        base = pts if by else pts.withColumn("_tl_all", F.lit(0))
+        ranked = materialize(global_rank(base, "threshold", by=keys, descending=True, name="_i"))
+        prev = ranked.select(*keys, (F.col("_i") + 1).alias("_i"), F.col("cum_tp").alias("_ptp"),
+                             F.col("cum_fp").alias("_pfp"))
+        nxt = ranked.select(*keys, (F.col("_i") - 1).alias("_i"), F.col("cum_tp").alias("_ntp"),
+                            F.col("cum_fp").alias("_nfp"))
+        j = ranked.join(prev, [*keys, "_i"], "left").join(nxt, [*keys, "_i"], "left")
+        corner = ((F.col("_nfp") - 2 * F.col("cum_fp") + F.col("_pfp")) != 0) | \
+                 ((F.col("_ntp") - 2 * F.col("cum_tp") + F.col("_ptp")) != 0)
+        pts = j.where(F.col("_ptp").isNull() | F.col("_ntp").isNull() | corner)
+        pts = pts if by else pts.drop("_tl_all")
+    out = pts.select(*by, "threshold",
+                     F.try_divide(F.col("cum_fp").cast("double"), F.col("N")).alias("fpr"),
+                     F.try_divide(F.col("cum_tp").cast("double"), F.col("P")).alias("tpr"))
+    if include_origin:
+        groups = pts.select(*by, "P", "N").distinct() if by else pts.select("P", "N").limit(1)
+        origin = groups.select(*by, F.lit(float("inf")).alias("threshold"),
+                               F.when(F.col("N") > 0, 0.0).alias("fpr"), F.when(F.col("P") > 0, 0.0).alias("tpr"))
+        out = out.unionByName(origin)
+    return out
 
 
 def roc_auc(df: DataFrame, score: str = "p", label: str = "y", by: Sequence[str] = ()) -> DataFrame:

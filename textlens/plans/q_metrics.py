@@ -109,6 +109,18 @@ def a05_curve(spark, sf):
     return _r(M.roc_curve(view(spark, sf, "v_pred_long"), by=["task"]), "fpr", "tpr")
 
 
+@query("a05_roc_curve_corners", with_views(_ROC_BASE + """,
+d AS (SELECT *, lag(cum_fp) OVER w AS pfp, lead(cum_fp) OVER w AS nfp, lag(cum_tp) OVER w AS ptp,
+             lead(cum_tp) OVER w AS ntp FROM c WINDOW w AS (PARTITION BY task ORDER BY threshold DESC))
+SELECT task, threshold, round(cum_fp::DOUBLE / nullif(N, 0), 6) AS fpr, round(cum_tp::DOUBLE / nullif(P, 0), 6) AS tpr
+FROM d WHERE pfp IS NULL OR nfp IS NULL OR nfp - 2 * cum_fp + pfp <> 0 OR ntp - 2 * cum_tp + ptp <> 0
+UNION ALL SELECT DISTINCT task, CAST('Infinity' AS DOUBLE), CASE WHEN N > 0 THEN 0.0 END, CASE WHEN P > 0 THEN 0.0 END FROM c
+""", "v_pred_long"))
+def a05_corners(spark, sf):
+    out = M.roc_curve(view(spark, sf, "v_pred_long"), by=["task"], drop_intermediate=True, include_origin=True)
+    return _r(out, "fpr", "tpr")
+
+
 @query("a05_roc_auc", with_views(_ROC_BASE + """
 SELECT task, round(sum(fp * (2 * cum_tp - tp))::DOUBLE / nullif(2.0 * max(P) * max(N), 0), 6) AS auc
 FROM c GROUP BY task
