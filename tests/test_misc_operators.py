@@ -62,3 +62,17 @@ def test_multitask_loss_and_request_stats(spark):
     s = M.request_stats(log, key_col="k").first()
     assert (s.total_requests, s.failed_requests, s.cache_size) == (3, 1, 2)
     assert s.avg_response_sec == 1.0 and abs(s.success_rate - 2 / 3) < 1e-12
+
+
+def test_dispatching_entry_points(spark):
+    from textlens.operators import graph as G
+    from textlens.operators import scoring as S
+
+    df = spark.createDataFrame([(1, "a quick brown fox")], "id int, text string")
+    assert S.token_attribution(df, S.vowel_length_predictor, ["id"], k=2).count() == 2
+    assert S.token_attribution(df, S.vowel_length_predictor, ["id"], mode="sampled", n_samples=8, k=2).count() == 2
+    nodes = spark.createDataFrame([("n1", "x"), ("n2", "y")], "node string, grp string")
+    edges = spark.createDataFrame([("n1", "is_a", "n2")], "start string, relation string, end string")
+    assert {r.node for r in G.property_select(nodes, edges, "node", "grp", ["x"]).collect() if not r.hidden} == {"n1"}
+    assert {r.node for r in G.property_select(nodes, edges, "edge", "relation", ["is_a"]).collect()
+            if not r.hidden} == {"n1", "n2"}

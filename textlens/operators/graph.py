@@ -99,6 +99,17 @@ def select_nodes_by_edge_property(nodes: DataFrame, edges: DataFrame, prop: str,
     return shown.unionByName(rest)
 
 
+def property_select(nodes: DataFrame, edges: DataFrame, item: str, prop: str, values: Sequence,
+                    node: str = "node", a: str = "start", b: str = "end") -> DataFrame:
+    """Nodes with a ``hidden`` flag, selected by a node property
+    (``item='node'``) or by an edge property on both endpoints (``'edge'``)."""
+    if item == "node":
+        return select_nodes_by_property(nodes, prop, values, node)
+    if item == "edge":
+        return select_nodes_by_edge_property(nodes, edges, prop, values, node, a, b)
+    raise ValueError(f"unknown item {item!r}")
+
+
 # ---------------------------------------------------------------- L04
 def node_sample(terms: DataFrame, col: str = "term", n: int = 1000) -> DataFrame:
     """The first ``n`` terms in code-point order as numbered, labelled nodes

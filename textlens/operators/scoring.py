@@ -265,3 +265,17 @@ def sampled_attribution(df: DataFrame, make_predictor, id_cols: Sequence[str], t
                            T.StructField("token", T.StringType()), T.StructField("weight", T.DoubleType())])
     return scored.select(*ids, "_toks", "_mask", "p_positive").groupBy(*ids).applyInPandas(
         _fit_surrogate(ids, k, kernel_width, alpha), schema)
+
+
+def token_attribution(df: DataFrame, make_predictor, id_cols: Sequence[str], text_col: str = "text",
+                      mode: str = "loo", k: int = 10, n_samples: int = 64, seed: int = 42,
+                      batch_size: int = 64) -> DataFrame:
+    """Which tokens drive a score: ``mode='loo'`` (leave-one-out, exact, for
+    short texts) or ``'sampled'`` (perturbation samples + weighted ridge
+    surrogate, linear in text length).  Top ``k`` tokens per text."""
+    if mode == "loo":
+        return loo_attribution(df, make_predictor, id_cols, text_col, k=k, batch_size=batch_size)
+    if mode == "sampled":
+        return sampled_attribution(df, make_predictor, id_cols, text_col, n_samples=n_samples, k=k, seed=seed,
+                                   batch_size=batch_size)
+    raise ValueError(f"unknown mode {mode!r}")
