@@ -103,3 +103,11 @@ def test_default_dictionaries(spark):
     assert (f.positive, f.negative, f.n_slang, f.n_emoji) == (0.25, 0.5, 3, 2)
     p = K.preprocess_text(df, K.default_slang(spark), K.default_emoji(spark)).first().processed_text
     assert p == "good game family  fire|exciting|excellent  strong|confident|positive   love|adore|positive  not gonna lie"
+
+
+def test_lexicon_last_entry_wins(spark):
+    df = spark.createDataFrame([(1, "good good bad")], "doc_id int, text string")
+    lex = spark.createDataFrame([("good", 0.1, 0.0, 1), ("good", 0.5, 0.0, 2), ("bad", 0.0, 0.25, 1)],
+                                "word string, positive double, negative double, ord int")
+    r = K.lexicon_sentiment(df, lex, order_col="ord").first()
+    assert (r.positive, r.negative) == (1.0, 0.25)

@@ -75,13 +75,19 @@ def normalized(col) -> Column:
 # ---------------------------------------------------------------- J02
 def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       word_col: str = "word", pos_col: str = "positive", neg_col: str = "negative",
-                      carry: tuple[str, ...] = ()) -> DataFrame:
+                      carry: tuple[str, ...] = (), order_col: str | None = None) -> DataFrame:
     """Per text: sums of positive and negative lexicon scores of its tokens
     (repeats count, 0.0 when nothing matches).  One row per input id.
 
     ``carry`` columns (constant per id) ride along the same single pass, so a
-    caller needs no second scan and no join back.
+    caller needs no second scan and no join back.  The lexicon must have one
+    row per word, or give ``order_col``: the last entry per word (largest
+    order value) wins, as when later entries overwrite earlier ones.
     """
+    if order_col is not None:
+        last = F.max_by(F.struct(F.col(pos_col).alias("p"), F.col(neg_col).alias("n")), F.col(order_col))
+        lexicon = lexicon.groupBy(word_col).agg(last.alias("_s")).select(
+            word_col, F.col("_s.p").alias(pos_col), F.col("_s.n").alias(neg_col))
     toks = df.select(F.col(id_col), *carry,
                      F.posexplode_outer(ws_tokens(normalized(text_col))).alias("_i", "_tok"))
     lex = broadcast_if_small(
