@@ -111,3 +111,10 @@ def test_lexicon_last_entry_wins(spark):
                                 "word string, positive double, negative double, ord int")
     r = K.lexicon_sentiment(df, lex, order_col="ord").first()
     assert (r.positive, r.negative) == (1.0, 0.25)
+
+
+def test_lookup_casefold_latest_arrival(spark):
+    terms = spark.createDataFrame([("BTC", "coin", 1), ("btc", "ticker", 2)], "term string, explanation string, ord int")
+    ents = spark.createDataFrame([("Btc",)], "entity string")
+    assert E.lookup_explanations(ents, terms, order_col="ord").first().explanation == "ticker"
+    assert E.lookup_explanations(ents, terms).first().explanation == "coin"

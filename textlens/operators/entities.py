@@ -99,22 +99,25 @@ def sorted_vocab(phrases: DataFrame, col: str = "phrase") -> DataFrame:
 
 
 # ---------------------------------------------------------------- J01
-def _term_index(terms: DataFrame, mode: str, term: str, expl: str) -> DataFrame:
+def _term_index(terms: DataFrame, mode: str, term: str, expl: str, order_col: str | None = None) -> DataFrame:
     if mode == "casefold":
-        # One explanation per case-folded key: the smallest stored spelling wins.
-        return terms.groupBy(F.lower(term).alias("_key")).agg(
-            F.min_by(F.col(expl), F.col(term)).alias("_expl"))
+        # One explanation per case-folded key: the latest arrival wins when an
+        # order column is given, else the smallest stored spelling.
+        pick = (F.max_by(F.col(expl), F.col(order_col)) if order_col
+                else F.min_by(F.col(expl), F.col(term)))
+        return terms.groupBy(F.lower(term).alias("_key")).agg(pick.alias("_expl"))
     if mode == "exact":
         return terms.select(F.col(term).alias("_key"), F.col(expl).alias("_expl"))
     raise ValueError(f"unknown mode {mode!r}")
 
 
 def lookup_explanations(ents: DataFrame, terms: DataFrame, ent_col: str = "entity", mode: str = "casefold",
-                        term: str = "term", expl: str = "explanation", out_col: str = "explanation") -> DataFrame:
+                        term: str = "term", expl: str = "explanation", out_col: str = "explanation",
+                        order_col: str | None = None) -> DataFrame:
     """entity -> explanation or ``[UNK]``.  ``casefold`` compares lower case on
     both sides; ``exact`` compares lower(entity) with the key as stored (so
     capitalised keys never match, as in the source system)."""
-    idx = broadcast_if_small(_term_index(terms, mode, term, expl))
+    idx = broadcast_if_small(_term_index(terms, mode, term, expl, order_col))
     j = ents.join(idx, F.lower(F.col(ent_col)) == F.col("_key"), "left")
     return j.select(*[ents[c] for c in ents.columns], F.coalesce("_expl", F.lit(UNKNOWN)).alias(out_col))
 
