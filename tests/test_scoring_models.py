@@ -45,8 +45,11 @@ def test_attribution_shapes(spark):
 
 def test_knowledge_vector(spark):
     f = spark.createDataFrame([(1, 0.5, 0.25, 2, 1)], "doc_id int, positive double, negative double, n_slang int, n_emoji int")
-    v = K.knowledge_vector(f).select(vector_to_array("knowledge").alias("a")).first().a
+    out = K.knowledge_vector(f)
+    v = out.select(vector_to_array("knowledge").alias("a")).first().a
     assert len(v) == 192 and v[:4] == [0.5, 0.25, 2.0, 1.0] and not any(v[4:])
+    from pyspark.ml.linalg import SparseVector
+    assert isinstance(out.first().knowledge, SparseVector) and out.columns == f.columns + ["knowledge"]
 
 
 def test_train_and_predict(spark):

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -203,9 +204,12 @@ def knowledge_features(df: DataFrame, lexicon: DataFrame, slang: DataFrame, emoj
 
 
 def knowledge_vector(features: DataFrame, out_col: str = "knowledge", size: int = KNOWLEDGE_DIM) -> DataFrame:
-    """The four feature slots padded with zeros to ``size`` as an ML vector."""
-    arr = F.concat(
-        F.array(*[F.col(c).cast("double") for c in ("positive", "negative", "n_slang", "n_emoji")]),
-        F.array_repeat(F.lit(0.0), size - 4),
-    )
-    return features.withColumn(out_col, array_to_vector(arr))
+    """The four feature slots padded with zeros to ``size`` as an ML vector.
+
+    ``VectorAssembler`` stores the result compressed, i.e. as a sparse vector
+    of at most four entries, so the padding costs nothing downstream."""
+    slots = ("positive", "negative", "n_slang", "n_emoji")
+    tmp = features.select("*", *[F.col(c).cast("double").alias(f"_kv_{c}") for c in slots],
+                          array_to_vector(F.array_repeat(F.lit(0.0), size - len(slots))).alias("_kv_pad"))
+    out = VectorAssembler(inputCols=[*[f"_kv_{c}" for c in slots], "_kv_pad"], outputCol=out_col).transform(tmp)
+    return out.drop(*[f"_kv_{c}" for c in slots], "_kv_pad")
