@@ -147,6 +147,7 @@ def relation_importance(ents: DataFrame, config=RELATION_CONFIG, key: str = "qid
                                                    for c in cols])).alias("_s"))
     long = long.select(key, "_s._col", "_s._v").where((F.col("_v").isNotNull()) & (F.col("_v") != ""))
     vals = long.select(key, "_col", F.posexplode(F.split("_v", r" \| ")).alias("_pos", "value"))
+    # ``cfg`` has one row per configured property (a literal of len(config) rows).
     vals = vals.join(F.broadcast(cfg), "_col", "inner").select(key, "relation", py_strip("value").alias("value"),
                                                                 "weight", "_ci", "_pos")
     g = vals.groupBy(key).agg(
