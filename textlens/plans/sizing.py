@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Default bounds.  A broadcast row of these tables is at most a few hundred
-# bytes, so 2M rows stays well below the 8 GB broadcast limit.
+# Default bounds: rows and bytes of a broadcast side (both must hold), and
+# the size of a dictionary collected to the driver.
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 DICT_MAX_ROWS = 5_000
 
 
@@ -23,9 +24,32 @@ def row_count_at_most(df: DataFrame, bound: int) -> int | None:
     return n if n <= bound else None
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when its size is proven small, else ``df`` unchanged."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) is not None else df
+def _row_bytes(df: DataFrame):
+    parts = []
+    for f in df.schema.fields:
+        name = f.dataType.typeName()
+        c = F.col(f"`{f.name}`")
+        if name in ("string", "binary"):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif name in ("array", "map", "struct"):
+            parts.append(F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)))
+        else:
+            parts.append(F.lit(8))
+    return sum(parts[1:], parts[0]) if parts else F.lit(0)
+
+
+def size_at_most(df: DataFrame, max_rows: int, max_bytes: int) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows and about ``max_bytes``
+    bytes of data, measured over at most ``max_rows + 1`` rows (one job)."""
+    s = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
+    return s["n"] <= max_rows and (s["b"] or 0) <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                       max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``broadcast(df)`` when its rows and bytes are proven small, else ``df``
+    unchanged (Spark/AQE then plans a shuffle join)."""
+    return F.broadcast(df) if size_at_most(df, max_rows, max_bytes) else df
 
 
 def spread(df: DataFrame) -> DataFrame:
