@@ -118,3 +118,14 @@ def test_lookup_casefold_latest_arrival(spark):
     ents = spark.createDataFrame([("Btc",)], "entity string")
     assert E.lookup_explanations(ents, terms, order_col="ord").first().explanation == "ticker"
     assert E.lookup_explanations(ents, terms).first().explanation == "coin"
+
+
+def test_slang_join_path_equals_map_path(spark):
+    big = [(f"w{i}", f"word {i}") for i in range(100)] + [("lol", "laughing out loud")]
+    slang_big = spark.createDataFrame(big, "slang string, expansion string")
+    slang_small = spark.createDataFrame([("lol", "laughing out loud"), ("w7", "word 7")], "slang string, expansion string")
+    df = spark.createDataFrame([(1, " LOL w7  w7 x "), (2, None), (3, "")], "doc_id int, text string")
+    a = {r.doc_id: (r.expanded, r.n_slang) for r in K.slang_expand(df, slang_big).collect()}
+    b = {r.doc_id: (r.expanded, r.n_slang) for r in K.slang_expand(df, slang_small).collect()}
+    assert a[1] == b[1] == ("laughing out loud word 7 word 7 x", 2)
+    assert a[3] == b[3] == ("", 0) and a[2][1] == b[2][1] == 0

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlens.functions.text import py_strip, ws_tokens
-from textlens.plans.sizing import DICT_MAX_ROWS, broadcast_if_small, collect_small, row_count_at_most
+from textlens.plans.sizing import broadcast_if_small, collect_small, row_count_at_most
 
 KNOWLEDGE_DIM = 192  # fixed value: width of the knowledge feature vector
 
@@ -103,10 +103,15 @@ def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
 
 
 # ---------------------------------------------------------------- J03
+# A literal map is searched entry by entry on each lookup, so it is used only
+# for dictionaries of a few dozen entries; larger ones take the join path.
+MAP_MAX_ENTRIES = 64
+
+
 def _slang_map(slang: DataFrame, key: str, val: str) -> Column | None:
-    if row_count_at_most(slang, DICT_MAX_ROWS) is None:
+    if row_count_at_most(slang, MAP_MAX_ENTRIES) is None:
         return None
-    rows = collect_small(slang.select(key, val), what="slang dictionary")
+    rows = collect_small(slang.select(key, val), max_rows=MAP_MAX_ENTRIES, what="slang dictionary")
     if not rows:
         return F.create_map().cast("map<string,string>")
     return F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[1])])
