@@ -61,3 +61,13 @@ def test_single_term_lookups(spark):
     text = {r.term: r.explanation for r in KB.explanation_text(
         KB.rank_candidates(KB.candidate_matches(terms, ents.select("qid", F.col("label").alias("name"))), ents)).collect()}
     assert text["BTC"] == "BTC, ticker symbol\nBTC, cryptocurrency"
+
+
+def test_candidates_through_aliases(spark):
+    ents = spark.createDataFrame([("Q1", "Bitcoin", "cryptocurrency"), ("Q2", "Litecoin", "coin")],
+                                 "qid string, label string, description string")
+    aliases = spark.createDataFrame([("Q1", "BTC"), ("Q1", "XBT")], "qid string, alias string")
+    props = spark.createDataFrame([], "qid string, prop string, value string")
+    terms = spark.createDataFrame([("btc",), ("coin",)], "term string")
+    c = KB.entity_candidates(terms, ents, props, aliases=aliases).collect()
+    assert {(r.term, r.qid) for r in c} == {("btc", "Q1"), ("coin", "Q1"), ("coin", "Q2")}
