@@ -129,3 +129,17 @@ def test_slang_join_path_equals_map_path(spark):
     b = {r.doc_id: (r.expanded, r.n_slang) for r in K.slang_expand(df, slang_small).collect()}
     assert a[1] == b[1] == ("laughing out loud word 7 word 7 x", 2)
     assert a[3] == b[3] == ("", 0) and a[2][1] == b[2][1] == 0
+
+
+def test_emoji_large_dictionary_path_equals_chain(spark):
+    base = [("😂", "laughing"), ("❤️", "love"), ("🔥", "fire"), ("a.b", "dots")]
+    filler = [(chr(0x1F400 + i), f"animal{i}") for i in range(80)]      # pushes past the chain limit
+    small = spark.createDataFrame(base, "emoji string, meaning string")
+    large = spark.createDataFrame(base + filler, "emoji string, meaning string")
+    texts = [(1, "x😂y ❤️ 🔥🔥 a.b axb"), (2, "plain"), (3, ""), (4, None), (5, "😂")]
+    df = spark.createDataFrame(texts, "doc_id int, text string")
+    for mode in ("codepoint", "sequence"):
+        a = {r.doc_id: (r.expanded, r.n_emoji) for r in K.emoji_expand(df, small, count=mode).collect()}
+        b = {r.doc_id: (r.expanded, r.n_emoji) for r in K.emoji_expand(df, large, count=mode).collect()}
+        assert a == b, mode
+    assert a[1][0] == "x laughing y  love   fire  fire   dots  axb"

@@ -151,9 +151,31 @@ def _emoji_rows(emoji: DataFrame, key: str, val: str):
     return sorted(((r[0], r[1]) for r in rows if r[0]), key=lambda kv: (-len(kv[0]), kv[0]))
 
 
+# Up to this many entries the expressions are a chain of replace / contains
+# calls; larger dictionaries use one regex alternation per text.
+CHAIN_MAX_ENTRIES = 64
+
+
+def _alternation(keys) -> str:
+    # Longest first, each key quoted literally (Java regex).
+    return "|".join(r"\Q" + k.replace(r"\E", r"\E\\E\Q") + r"\E" for k in sorted(keys, key=lambda k: (-len(k), k)))
+
+
 def emoji_replace_expr(col: Column, rows) -> Column:
-    """Each known emoji -> `` meaning `` (padding spaces kept, no re-collapse)."""
-    return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(f" {kv[1]} ")), rows, col)
+    """Each known emoji -> `` meaning `` (padding spaces kept, no re-collapse).
+
+    Small dictionaries: a chain of ``replace``.  Large ones: the text is split
+    on one alternation of all keys and re-joined with the meaning of each
+    match, so the work per text does not grow with the dictionary (the
+    meaning lookup happens per match only)."""
+    if len(rows) <= CHAIN_MAX_ENTRIES:
+        return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(f" {kv[1]} ")), rows, col)
+    alt = _alternation([k for k, _ in rows])
+    meaning = F.create_map(*[F.lit(x) for k, v in rows for x in (k, f" {v} ")])
+    pieces = F.split(col, alt, -1)
+    found = F.transform(F.regexp_extract_all(col, F.lit(f"({alt})"), 1), lambda m: F.try_element_at(meaning, m))
+    joined = F.zip_with(pieces, found, lambda p, m: F.concat(F.coalesce(p, F.lit("")), F.coalesce(m, F.lit(""))))
+    return F.when(col.isNotNull(), F.array_join(joined, ""))
 
 
 def emoji_count_expr(col: Column, rows, count: str = "codepoint") -> Column:
@@ -163,7 +185,11 @@ def emoji_count_expr(col: Column, rows, count: str = "codepoint") -> Column:
     keys = [k for k, _ in rows if count == "sequence" or len(k) == 1]
     if not keys:
         return F.lit(0)
-    return reduce(lambda a, b: a + b, [F.when(F.contains(col, F.lit(k)), 1).otherwise(0) for k in keys])
+    if len(keys) <= CHAIN_MAX_ENTRIES:
+        return reduce(lambda a, b: a + b, [F.when(F.contains(col, F.lit(k)), 1).otherwise(0) for k in keys])
+    # Single code points never overlap, so one alternation finds them all.
+    hits = F.regexp_extract_all(col, F.lit(f"({_alternation(keys)})"), 1)
+    return F.when(col.isNull(), 0).otherwise(F.size(F.array_distinct(hits)))
 
 
 def emoji_expand(df: DataFrame, emoji: DataFrame, text_col: str = "text", emoji_col: str = "emoji",
