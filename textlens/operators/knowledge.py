@@ -9,7 +9,8 @@ Texts are lower-cased and stripped first, then tokenised on whitespace
   before the shuffle already reduces them to one row per text.
 * Slang (J03) and emoji (J04) dictionaries are small by nature; after a size
   check they become literal maps / replace chains evaluated per row with no
-  shuffle.  A slang dictionary above the bound takes a join-based path.
+  shuffle.  Above 64 entries slang takes a join-based path and emoji one
+  regex alternation per text, so per-row work does not grow with them.
 """
 
 from __future__ import annotations
