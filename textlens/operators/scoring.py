@@ -85,6 +85,8 @@ def score_texts(df: DataFrame, make_predictor: Callable[[], Predictor], text_col
 
     ``dedupe`` scores each distinct text once and joins the scores back by a
     text digest: worth it when the predictor costs more than a shuffle.
+    Model work runs where the rows are: for an input read as a few large
+    splits, deal it over the cores first (``plans.sizing.spread``).
     """
     keep = list(keep)
     if dedupe:
