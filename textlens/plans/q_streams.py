@@ -64,7 +64,7 @@ def r02(spark, sf):
     src = f"{root}/source"
     att.repartitionByRange(10, "event_id").write.parquet(src)
     ST.stream_request_stats(spark, src, f"{root}/out", f"{root}/checkpoint",
-                            "event_id BIGINT, worker_id BIGINT, ok BOOLEAN, seconds DOUBLE")
+                            "event_id BIGINT, worker_id BIGINT, ok BOOLEAN, seconds DOUBLE", files_per_trigger=5)
     s = ST.read_request_stats(spark, f"{root}/out")
     return s.select("worker_id", "total_requests", "failed_requests",
                     F.round("avg_response_sec", 6).alias("avg_response_sec"),
