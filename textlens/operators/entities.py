@@ -32,7 +32,7 @@ def _kept_phrases(g: DataFrame, doc: str) -> DataFrame:
 
 
 def merge_spans(spans: DataFrame, doc: str = "doc_id", start: str = "span_start", end: str = "span_end",
-                word: str = "word", score: str = "score") -> DataFrame:
+                word: str = "word", score: str = "score", materialized: bool = False) -> DataFrame:
     """Adjacent spans (start == previous end) form one phrase; ``##`` word
     pieces are joined; a phrase is kept when its mean score > 0.85, it has
     at most 3 parts and its text is 3..40 characters.  Output: distinct
@@ -44,13 +44,16 @@ def merge_spans(spans: DataFrame, doc: str = "doc_id", start: str = "span_start"
     hops (``next.start == this.end``) collect parts 2-3 and detect a 4th
     part (too long).  The mean is the left fold of the part scores in text
     order.  Spans of one text must not overlap (tagger output); for
-    overlapping spans use :func:`merge_spans_windowed`.
+    overlapping spans use :func:`merge_spans_windowed`.  ``materialized``
+    says the input is already checkpointed (no second copy is written).
     """
     s = spans.select(F.col(doc).alias("_d"), F.col(start).alias("_s"), F.col(end).alias("_e"),
                      F.replace(F.col(word), F.lit("##"), F.lit("")).alias("_w"), F.col(score).cast("double").alias("_p"))
     # Read five times below; spans usually come from a costly tagger, so they
-    # are computed once (reliable checkpoint) rather than once per branch.
-    s = materialize(s)
+    # are computed once (reliable checkpoint) rather than once per branch,
+    # unless the caller already materialised them.
+    if not materialized:
+        s = materialize(s)
     ends = s.select("_d", F.col("_e").alias("_s"))
     heads = s.join(ends, ["_d", "_s"], "left_anti")
 

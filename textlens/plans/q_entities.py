@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textlens.operators import entities as E
 from textlens.plans.fixtures import view, with_views
 from textlens.plans.registry import query
+from textlens.session import materialize
 
 _W01_CTES = """
 m AS (SELECT *, CASE WHEN lag(span_end) OVER w IS NULL OR span_start <> lag(span_end) OVER w THEN 1 ELSE 0 END
@@ -76,8 +77,9 @@ SELECT d.doc_id, array_to_string(list_resize(coalesce(a.ps, []::VARCHAR[]), 5, '
 FROM d LEFT JOIN a ON d.doc_id = a.doc_id
 """, "v_spans", "v_terms"))
 def p15(spark, sf):
-    sp = view(spark, sf, "v_spans")
-    s = E.entity_slots(sp, E.merge_spans(sp), view(spark, sf, "v_terms"))
+    # The spans feed both the phrase merge and the list of texts: compute once.
+    sp = materialize(view(spark, sf, "v_spans").select("doc_id", "span_start", "span_end", "word", "score"))
+    s = E.entity_slots(sp, E.merge_spans(sp, materialized=True), view(spark, sf, "v_terms"))
     return s.select("doc_id", F.array_join("entities", " | ").alias("entities"),
                     F.array_join("explanations", " | ").alias("explanations"),
                     F.aggregate("valid", F.lit(0), lambda a, x: a + x).alias("n_valid"))
