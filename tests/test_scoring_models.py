@@ -79,3 +79,14 @@ def test_vector_profile_scaled(spark):
     r = {x.vec_id: x for x in M.vector_profile(df).collect()}
     assert (r[1].dim, r[1].vmin, r[1].vmax, r[1].norm) == (2, -4.0, 3.0, 5.0)
     assert r[2].norm == 1.0
+
+
+def test_multiclass_scores(spark):
+    def make():
+        return lambda texts: np.array([[0.0, 2.0, 2.0] if "tie" in t else [3.0, 1.0, 0.0] for t in texts])
+
+    df = spark.createDataFrame([(1, "tie here"), (2, "other")], "id int, text string")
+    rows = {r.id: r for r in S.score_texts(df, make, keep=["id"], positive=2).collect()}
+    assert rows[1].prediction == 1                      # tie between classes 1 and 2 -> lowest
+    assert abs(sum(rows[1].probs) - 1.0) < 1e-12 and abs(rows[1].p_positive - rows[1].probs[2]) < 1e-15
+    assert rows[2].prediction == 0 and len(rows[2].logits) == 3
