@@ -61,7 +61,13 @@ def materialize(df):
     so the expensive input is not recomputed per branch; a reliable
     checkpoint survives executor loss (unlike a local one)."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # A reliable checkpoint writes in a second job; persisting first keeps
+    # that job from recomputing the plan.
+    cached = df.persist()
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
