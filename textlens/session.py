@@ -10,6 +10,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 _LOCAL_CONF = {
@@ -62,8 +63,9 @@ def materialize(df):
     checkpoint survives executor loss (unlike a local one)."""
     ensure_checkpoint_dir(df.sparkSession)
     # A reliable checkpoint writes in a second job; persisting first keeps
-    # that job from recomputing the plan.
-    cached = df.persist()
+    # that job from recomputing the plan.  Disk only: the copy can be large
+    # and is dropped right after the checkpoint is written.
+    cached = df.persist(StorageLevel.DISK_ONLY)
     try:
         return cached.checkpoint(eager=True)
     finally:
