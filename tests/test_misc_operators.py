@@ -85,3 +85,22 @@ def test_broadcast_guard_counts_bytes(spark):
     assert size_at_most(df, 100, 1_000_000) and not size_at_most(df, 100, 10_000) and not size_at_most(df, 10, 10**9)
     plan = broadcast_if_small(df, max_rows=100, max_bytes=10_000).join(df, "id")._jdf.queryExecution().analyzed().toString()
     assert "broadcast" not in plan.lower()
+
+
+def test_materialize_computes_the_plan_once(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from textlens.session import materialize
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("long")
+    def counted(s: pd.Series) -> pd.Series:
+        calls.add(len(s))
+        return s
+
+    df = spark.range(0, 1000).select(counted("id").alias("id"))
+    out = materialize(df)
+    assert out.count() == 1000 and out.count() == 1000
+    assert calls.value == 1000  # one evaluation: not again for the checkpoint write nor for later reads
