@@ -4,6 +4,7 @@ import os
 import re
 
 import __spark_entry__ as entry
+from textlens.plans import registry
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -11,7 +12,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 def test_every_query_is_in_the_inventory():
     inv = open(os.path.join(ROOT, "INVENTORY.md"), encoding="utf-8").read()
     listed = set(re.findall(r"\b([a-z][a-z0-9]*_[a-z0-9_]+)\b", inv))
-    missing = sorted(set(entry.queries()) - listed)
+    missing = sorted(set(registry.queries()) - listed)
     assert not missing, missing
 
 

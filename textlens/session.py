@@ -7,6 +7,7 @@ Library code never creates a session on its own; callers pass one in.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -24,6 +25,7 @@ _LOCAL_CONF = {
     "spark.driver.host": "127.0.0.1",
     "spark.driver.memory": "16g",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -43,14 +45,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (distributed)
-    folder and is used as is.  Only when neither it nor a context checkpoint
-    folder is set (local runs, tests) is a fresh local folder created.
-    """
+    folder and is used as is.  A fresh local folder is created only when
+    neither it nor a context checkpoint folder is set and the master is a
+    single local JVM (tests, local runs); on any other master its absence is
+    an error, because executors would write to disks of their own."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textlens-ckpt-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="textlens-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
