@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlens.llm.common import WS_CHARS, ascii_lower, without
+from textlens.llm.common import WS_CHARS, ascii_lower, staged, without
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40,
@@ -45,6 +45,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     frequent = (line.groupBy("_llm_hash", "_llm_id").agg(F.lit(1))
                 .groupBy("_llm_hash").agg(F.count(F.lit(1)).alias("_llm_docs"), F.max("_llm_id").alias("_llm_keep"))
                 .where(F.col("_llm_docs") >= min_docs).select("_llm_hash", "_llm_keep"))
+    # written: its measured size decides the join, and a hot hash of the lines can be split there
+    frequent = staged(frequent, "frequent-lines")
     drops = (line.join(frequent, "_llm_hash").where(~F.col("_llm_id").eqNullSafe(F.col("_llm_keep")))
              .groupBy("_llm_id", "_llm_text").agg(F.collect_set("_llm_pos").alias("_llm_drop"))
              .select(F.col("_llm_id").alias("_llm_id2"), F.col("_llm_text").alias("_llm_text2"), "_llm_drop"))
