@@ -3,9 +3,11 @@
 Large-star / small-star contraction: each round points every node's larger
 neighbours, then its smaller ones, at the smallest node around.  Both steps
 are a grouped minimum (combined before its shuffle, so a hub sends one row per
-task) joined back to the links (a hub's links are split by adaptive skew
-handling).  Rounds are written to the shared folder, which cuts the lineage;
-the driver sees only a count and a checksum per round.
+task) joined back to the links.  The minima are written before the join: a
+small table is then broadcast by its measured size, and in a large one a hub's
+links can be split by adaptive skew handling.  Rounds are written to the
+shared folder, which cuts the lineage; the driver sees only a count and a
+checksum per round.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ from textlens.llm.common import staged
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+    low = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "lows")
     return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a > b")
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    low = e.groupBy("a").agg(F.min("b").alias("low"))
+    low = staged(e.groupBy("a").agg(F.min("b").alias("low")), "lows")
     moved = e.join(low, "a").where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return moved.union(low.select("a", F.col("low").alias("b"))).distinct()
 
@@ -42,7 +44,7 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     e = staged(e.where("x is not null and y is not null and a > b").select("a", "b").distinct(), "links")
     seen = _state(e)
     while seen[0]:
-        e = staged(_small_star(_large_star(e)), "links")
+        e = staged(_small_star(staged(_large_star(e), "links")), "links")
         now = _state(e)
         if now == seen:
             break

@@ -137,7 +137,8 @@ def _components(prints: DataFrame, max_bits: int, hot_cell: int) -> DataFrame:
     groups = points.join(linked.join(smallest, "root"), "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("component"),
         F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
-    return prints.join(groups, "fp")
+    # written, so that a fingerprint of very many copies can be split in the join
+    return prints.join(staged(groups, "groups"), "fp")
 
 
 def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
