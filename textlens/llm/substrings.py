@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlens.llm.common import staged
+
 #: Units cover the text without gaps; separators belong to the unit before them.
 UNITS = {
     "sentence": r"[^.!?\n]*[.!?\n]+|[^.!?\n]+",
@@ -91,6 +93,8 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     place = F.struct("id", "text_hash", "unit")
     first = (units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
              .where("n > 1").select("h1", "h2", "first"))
+    # written: its measured size decides the join, and a hot digest of the units can be split there
+    first = staged(first, "first-occurrences")
     later = units.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     later = later.select(*_KEY, "unit", "start", "end", "n_words", F.col("first.id").alias("first")).repartition(*_KEY)
     later = later.dropDuplicates([*_KEY, "unit"])
