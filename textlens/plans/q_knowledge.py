@@ -44,24 +44,24 @@ FROM v_social v LEFT JOIN agg a ON v.doc_id = a.doc_id
 
 @query("j03_slang_expand", _J03)
 def j03(spark, sf):
-    out = K.slang_expand(fresh(spark, sf, "v_social"), view(spark, sf, "v_slang"))
+    out = K.slang_expand(fresh(spark, sf, "v_social"), dict(K.SLANG))
     return out.select("doc_id", "expanded", F.col("n_slang").cast("long").alias("n_slang"))
 
 
-# Emoji replacement in the oracle: the v_emoji rows, longest first.
-_EMOJI_ROWS = [("❤️", "love|adore|positive"), ("🔥", "fire|exciting|excellent"),
-               ("😂", "laughing|amused|positive"), ("🙄", "annoyed|skeptical|negative")]
+# Emoji replacement in the oracle: the dictionary rows, longest first.
+_EMOJI_ROWS = sorted(K.EMOJI, key=lambda kv: (-len(kv[0]), kv[0]))
 
 
 def _sql_replace_chain(expr: str) -> str:
-    for k, v in sorted(_EMOJI_ROWS, key=lambda kv: (-len(kv[0]), kv[0])):
+    for k, v in _EMOJI_ROWS:
         expr = f"replace({expr}, '{k}', ' {v} ')"
     return expr
 
 
 def _sql_emoji_count(expr: str) -> str:
-    singles = [k for k, _ in _EMOJI_ROWS if len(k) == 1]
-    return "(" + " + ".join(f"CASE WHEN contains({expr}, '{k}') THEN 1 ELSE 0 END" for k in singles) + ")"
+    keys = "|".join(k for k, _ in _EMOJI_ROWS)
+    return (f"CAST(len(list_distinct(list_filter(regexp_extract_all({expr}, '{keys}'), lambda k: length(k) = 1))) "
+            "AS INT)")
 
 
 _J04 = with_views(f"""
@@ -72,7 +72,7 @@ FROM v_social
 
 @query("j04_emoji_expand", _J04)
 def j04(spark, sf):
-    out = K.emoji_expand(fresh(spark, sf, "v_social"), view(spark, sf, "v_emoji"))
+    out = K.emoji_expand(fresh(spark, sf, "v_social"), dict(K.EMOJI))
     return out.select("doc_id", "expanded", F.col("n_emoji").cast("int").alias("n_emoji"))
 
 
@@ -88,7 +88,7 @@ FROM v_social v LEFT JOIN agg a ON v.doc_id = a.doc_id LEFT JOIN hits h ON v.doc
 
 def a10_frame(spark, sf):
     out = K.knowledge_features(fresh(spark, sf, "v_social"), view(spark, sf, "v_lexicon"),
-                               view(spark, sf, "v_slang"), view(spark, sf, "v_emoji"))
+                               dict(K.SLANG), dict(K.EMOJI))
     return out.select("doc_id", F.round("positive", 6).alias("positive"), F.round("negative", 6).alias("negative"),
                       F.col("n_slang").cast("long").alias("n_slang"), F.col("n_emoji").cast("int").alias("n_emoji"))
 
@@ -104,5 +104,5 @@ FROM v_social v LEFT JOIN agg a ON v.doc_id = a.doc_id
 
 @query("a10_preprocess_text", _A10P)
 def a10p(spark, sf):
-    out = K.preprocess_text(fresh(spark, sf, "v_social"), view(spark, sf, "v_slang"), view(spark, sf, "v_emoji"))
+    out = K.preprocess_text(fresh(spark, sf, "v_social"), dict(K.SLANG), dict(K.EMOJI))
     return out.select("doc_id", "processed_text")
