@@ -1,62 +1,25 @@
-"""Size guards for broadcast joins and driver-side dictionaries.
+"""Dealing small inputs over the cores.
 
-A side is broadcast only after its row count has been proven to be below a
-bound; above the bound the plain DataFrame is returned and Spark (with AQE)
-plans a shuffle join instead.  Counting uses ``limit(bound + 1)`` so the
-check itself stops early on large inputs.
+Join sides carry no size probe: a literal table is broadcast by its known
+size, and for everything else the planner's statistics and adaptive execution
+choose (a side whose measured size is under the threshold is broadcast at run
+time).  A probe of the form ``limit(n).count()`` would send up to ``n`` rows
+of every partition through one task, and compute the side twice.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Default bounds: rows and bytes of a broadcast side (both must hold), and
-# the size of a dictionary collected to the driver.
-BROADCAST_MAX_ROWS = 2_000_000
-BROADCAST_MAX_BYTES = 256 * 1024 * 1024
-DICT_MAX_ROWS = 5_000
-
-
-def row_count_at_most(df: DataFrame, bound: int) -> int | None:
-    """Row count if it is ``<= bound``, else ``None`` (bounded work)."""
-    n = df.limit(bound + 1).count()
-    return n if n <= bound else None
-
-
-def _row_bytes(df: DataFrame):
-    parts = []
-    for f in df.schema.fields:
-        name = f.dataType.typeName()
-        c = F.col(f"`{f.name}`")
-        if name in ("string", "binary"):
-            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
-        elif name in ("array", "map", "struct"):
-            parts.append(F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)))
-        else:
-            parts.append(F.lit(8))
-    return sum(parts[1:], parts[0]) if parts else F.lit(0)
-
-
-def size_at_most(df: DataFrame, max_rows: int, max_bytes: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows and about ``max_bytes``
-    bytes of data, measured over at most ``max_rows + 1`` rows (one job)."""
-    s = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
-    return s["n"] <= max_rows and (s["b"] or 0) <= max_bytes
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-                       max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """``broadcast(df)`` when its rows and bytes are proven small, else ``df``
-    unchanged (Spark/AQE then plans a shuffle join)."""
-    return F.broadcast(df) if size_at_most(df, max_rows, max_bytes) else df
+# An input of at most so many splits is small enough to be dealt anew.
+FEW_SPLITS = 16
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows round-robin over the cluster's cores when the input has
-    fewer partitions than that (a few big files), before CPU-heavy row work
-    (regexes over whole texts, model scoring).  A no-op on inputs that are
-    already split finer, as large inputs are.
+    fewer partitions than that and at most ``FEW_SPLITS`` (a few files),
+    before CPU-heavy row work.  A no-op on any larger input: there the
+    reader's split settings decide.
 
     Call it on a freshly read input (scans, filters, projections): counting
     the partitions of a plan that already shuffles would make adaptive
@@ -64,12 +27,4 @@ def spread(df: DataFrame) -> DataFrame:
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def collect_small(df: DataFrame, max_rows: int = DICT_MAX_ROWS, what: str = "dictionary") -> list:
-    """Collect a dictionary-sized table; refuse anything above the bound."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"{what} has more than {max_rows} rows; use the join-based form")
-    return rows
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else df
