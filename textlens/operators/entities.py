@@ -2,8 +2,8 @@
 
 W01 is a gaps-and-islands window per text: the window, the island grouping
 and the per-text distinct all need the data clustered by text only, so the
-plan has one shuffle.  Lookups join against the term table, broadcast only
-after a size check.
+plan has one shuffle.  Lookups join against the term table; the planner or
+adaptive execution broadcasts it where it is measured small.
 """
 
 from __future__ import annotations
@@ -13,9 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlens.plans.sizing import broadcast_if_small
-from textlens.session import materialize
-
 # Phrase filters of the span merger and the slot layout.
 MIN_MEAN_SCORE = 0.85
 MAX_PARTS = 3
@@ -32,59 +29,30 @@ def _kept_phrases(g: DataFrame, doc: str) -> DataFrame:
 
 
 def merge_spans(spans: DataFrame, doc: str = "doc_id", start: str = "span_start", end: str = "span_end",
-                word: str = "word", score: str = "score", materialized: bool = False) -> DataFrame:
+                word: str = "word", score: str = "score", order: Sequence[str] = ()) -> DataFrame:
     """Adjacent spans (start == previous end) form one phrase; ``##`` word
     pieces are joined; a phrase is kept when its mean score > 0.85, it has
     at most 3 parts and its text is 3..40 characters.  Output: distinct
     ``(doc, phrase)`` with the best mean score of that phrase in the text.
 
-    Built from equi-joins keyed by ``(doc, position)``, never by the text
-    alone, so one huge text is spread over many tasks: island heads are the
-    spans no other span ends at (left anti join); from each head three link
-    hops (``next.start == this.end``) collect parts 2-3 and detect a 4th
-    part (too long).  The mean is the left fold of the part scores in text
-    order.  Spans of one text must not overlap (tagger output); for
-    overlapping spans use :func:`merge_spans_windowed`.  ``materialized``
-    says the input is already checkpointed (no second copy is written).
-    """
-    s = spans.select(F.col(doc).alias("_d"), F.col(start).alias("_s"), F.col(end).alias("_e"),
-                     F.replace(F.col(word), F.lit("##"), F.lit("")).alias("_w"), F.col(score).cast("double").alias("_p"))
-    # Read five times below; spans usually come from a costly tagger, so they
-    # are computed once (reliable checkpoint) rather than once per branch,
-    # unless the caller already materialised them.
-    if not materialized:
-        s = materialize(s)
-    ends = s.select("_d", F.col("_e").alias("_s"))
-    heads = s.join(ends, ["_d", "_s"], "left_anti")
-
-    def hop(cur: DataFrame, i: int) -> DataFrame:
-        nxt = s.select("_d", F.col("_s").alias(f"_e{i - 1}"), F.col("_e").alias(f"_e{i}"),
-                       F.col("_w").alias(f"_w{i}"), F.col("_p").alias(f"_p{i}"))
-        return cur.join(nxt, ["_d", f"_e{i - 1}"], "left")
-
-    p = heads.select("_d", F.col("_e").alias("_e1"), F.col("_w").alias("_w1"), F.col("_p").alias("_p1"))
-    p = hop(hop(p, 2), 3)
-    more = s.select("_d", F.col("_s").alias("_e3")).distinct().withColumn("_more", F.lit(True))
-    p = p.join(more, ["_d", "_e3"], "left")
-    n = 1 + F.col("_w2").isNotNull().cast("int") + F.col("_w3").isNotNull().cast("int") \
-        + F.coalesce(F.col("_more"), F.lit(False)).cast("int")
-    total = F.col("_p1") + F.coalesce(F.col("_p2"), F.lit(0.0)) + F.coalesce(F.col("_p3"), F.lit(0.0))
-    g = p.select(F.col("_d").alias(doc), n.alias("n_parts"), (total / n).alias("mean_score"),
-                 F.concat_ws(" ", "_w1", "_w2", "_w3").alias("phrase"))
-    return _kept_phrases(g, doc)
+    Spans of a text are taken in ``order`` (default: start, end).  A span
+    without a start or an end never breaks a phrase, and an absent end counts
+    as 0 for the span behind it.  The mean is the left fold of the part scores
+    in that order.
 
-
-def merge_spans_windowed(spans: DataFrame, doc: str = "doc_id", start: str = "span_start", end: str = "span_end",
-                         word: str = "word", score: str = "score") -> DataFrame:
-    """Same result as :func:`merge_spans`, also for overlapping spans (the
-    break test is against the immediately preceding span), as a
-    gaps-and-islands window per text: one shuffle, but a text is one task."""
-    w = Window.partitionBy(doc).orderBy(F.col(start), F.col(end))
-    brk = F.when(F.lag(end).over(w).isNull() | (F.col(start) != F.lag(end).over(w)), 1).otherwise(0)
-    marked = spans.select(doc, start, end, word, score, brk.alias("_brk"))
+    A gaps-and-islands window per text: the window, the islands and the
+    distinct all need the data clustered by text only, so there is one
+    shuffle; the spans of one text are one task's work.
+    """
+    by = [F.col(c) for c in order] or [F.col(start), F.col(end)]
+    w = Window.partitionBy(doc).orderBy(*by)
+    last = F.lag(F.coalesce(F.col(end), F.lit(0))).over(w)
+    placed = F.col(start).isNotNull() & F.col(end).isNotNull()
+    brk = F.when(last.isNull() | (placed & (F.col(start) != last)), 1).otherwise(0)
+    marked = spans.select("*", brk.alias("_brk"), F.row_number().over(w).alias("_at"))
     isl = marked.withColumn("_isl", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     g = isl.groupBy(doc, "_isl").agg(F.array_sort(F.collect_list(F.struct(
-        F.col(start).alias("s"), F.replace(F.col(word), F.lit("##"), F.lit("")).alias("w"),
+        F.col("_at").alias("s"), F.replace(F.col(word), F.lit("##"), F.lit("")).alias("w"),
         F.col(score).cast("double").alias("p")))).alias("_parts"))
     g = g.select(
         doc,
@@ -120,7 +88,7 @@ def lookup_explanations(ents: DataFrame, terms: DataFrame, ent_col: str = "entit
     """entity -> explanation or ``[UNK]``.  ``casefold`` compares lower case on
     both sides; ``exact`` compares lower(entity) with the key as stored (so
     capitalised keys never match, as in the source system)."""
-    idx = broadcast_if_small(_term_index(terms, mode, term, expl, order_col))
+    idx = _term_index(terms, mode, term, expl, order_col)
     j = ents.join(idx, F.lower(F.col(ent_col)) == F.col("_key"), "left")
     return j.select(*[ents[c] for c in ents.columns], F.coalesce("_expl", F.lit(UNKNOWN)).alias(out_col))
 
@@ -133,7 +101,7 @@ def new_keys(existing: DataFrame, new: DataFrame, key: str, order: Sequence[str]
     first = new.groupBy(key).agg(F.min_by(F.struct(*[c for c in cols if c != key]),
                                           F.struct(*order)).alias("_r"))
     first = first.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols if c != key])
-    return first.join(broadcast_if_small(existing.select(key)), key, "left_anti").select(*cols)
+    return first.join(existing.select(key), key, "left_anti").select(*cols)
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from textlens.operators import entities as E
 from textlens.plans.fixtures import view, with_views
 from textlens.plans.registry import query
-from textlens.session import materialize
 
 _W01_CTES = """
 m AS (SELECT *, CASE WHEN lag(span_end) OVER w IS NULL OR span_start <> lag(span_end) OVER w THEN 1 ELSE 0 END
@@ -37,14 +36,15 @@ def l01(spark, sf):
     return E.sorted_vocab(phrases(spark, sf))
 
 
-@query("j01_lookup_explanations", with_views("""
-WITH e AS (SELECT DISTINCT word AS entity FROM v_spans),
+@query("j01_lookup_explanations", with_views("WITH" + _W01_CTES + """,
+e AS (SELECT word AS entity FROM v_spans UNION SELECT phrase FROM ph),
 cf AS (SELECT lower(term) AS k, arg_min(explanation, term) AS explanation FROM v_terms GROUP BY 1)
 SELECT e.entity, coalesce(cf.explanation, '[UNK]') AS explanation, coalesce(t.explanation, '[UNK]') AS explanation_exact
 FROM e LEFT JOIN cf ON lower(e.entity) = cf.k LEFT JOIN v_terms t ON lower(e.entity) = t.term
 """, "v_spans", "v_terms"))
 def j01(spark, sf):
-    ents = view(spark, sf, "v_spans").select(F.col("word").alias("entity")).distinct()
+    words = view(spark, sf, "v_spans").select(F.col("word").alias("entity"))
+    ents = words.unionByName(phrases(spark, sf).select(F.col("phrase").alias("entity"))).distinct()
     terms = view(spark, sf, "v_terms")
     a = E.lookup_explanations(ents, terms, mode="casefold")
     return E.lookup_explanations(a, terms, mode="exact", out_col="explanation_exact")
@@ -77,9 +77,8 @@ SELECT d.doc_id, array_to_string(list_resize(coalesce(a.ps, []::VARCHAR[]), 5, '
 FROM d LEFT JOIN a ON d.doc_id = a.doc_id
 """, "v_spans", "v_terms"))
 def p15(spark, sf):
-    # The spans feed both the phrase merge and the list of texts: compute once.
-    sp = materialize(view(spark, sf, "v_spans").select("doc_id", "span_start", "span_end", "word", "score"))
-    s = E.entity_slots(sp, E.merge_spans(sp, materialized=True), view(spark, sf, "v_terms"))
+    sp = view(spark, sf, "v_spans")
+    s = E.entity_slots(sp, E.merge_spans(sp), view(spark, sf, "v_terms"))
     return s.select("doc_id", F.array_join("entities", " | ").alias("entities"),
                     F.array_join("explanations", " | ").alias("explanations"),
                     F.aggregate("valid", F.lit(0), lambda a, x: a + x).alias("n_valid"))
