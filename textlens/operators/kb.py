@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlens.functions.text import py_strip
-from textlens.session import materialize
 
 SEP = " | "
 GRAM = 3
@@ -26,10 +25,10 @@ GRAM = 3
 # Properties read for each entity, their relation label and
 # weight, in configuration order.
 RELATION_CONFIG = (
-    ("P31", "instance of", 0.8),
-    ("P279", "subclass of", 0.7),
-    ("P527", "has part", 0.6),
-    ("P361", "part of", 0.5),
+    ("P31", "实例类型", 0.8),
+    ("P279", "上级分类", 0.7),
+    ("P527", "组成部分", 0.6),
+    ("P361", "所属系列", 0.5),
 )
 
 
@@ -81,13 +80,13 @@ def candidate_matches(terms: DataFrame, names: DataFrame, term: str = "term", ke
     t = t.withColumn("_lt", F.lower("term")).withColumn("_n", F.least(F.length("_lt"), F.lit(GRAM)))
     n = names.select(F.col(key).alias("_key"), F.col(name).alias("_name")).where(F.col("_name").isNotNull())
     n = n.withColumn("_ln", F.lower("_name"))
-    sizes = sorted({r[0] for r in t.select("_n").distinct().collect()})  # at most GRAM values
-    ngrams = None
-    for k in sizes:
-        g = n.select("_key", "_name", "_ln", F.lit(k).alias("_n"), F.explode(_grams(F.col("_ln"), k)).alias("_g"))
-        ngrams = g if ngrams is None else ngrams.unionByName(g)
-    if ngrams is None:
-        return terms.sparkSession.createDataFrame([], "term string, qid string, name string")
+    # Gram sizes are 1..GRAM whatever the terms; only (key, size, gram) is
+    # exploded, the few keys that share a rare gram meet their names again.
+    sizes = F.explode(F.array(*[F.struct(F.lit(k).alias("_n"), _grams(F.col("_ln"), k).alias("_gs"))
+                                for k in range(1, GRAM + 1)])).alias("_s")
+    used = t.select("_n").distinct()  # at most GRAM rows
+    ngrams = n.select("_key", sizes).join(F.broadcast(used), F.col("_s._n") == F.col("_n")).select(
+        "_key", F.col("_s._n").alias("_n"), F.explode("_s._gs").alias("_g"))
     freq = ngrams.groupBy("_n", "_g").agg(F.count(F.lit(1)).alias("_f"))
     tg = t.select("term", "_lt", "_n", F.explode(_grams(F.col("_lt"), F.col("_n"))).alias("_g"))
     tg = tg.join(freq, ["_n", "_g"], "inner")
@@ -95,7 +94,8 @@ def candidate_matches(terms: DataFrame, names: DataFrame, term: str = "term", ke
     rarest = tg.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select("term", "_lt", "_n", "_g")
     # ``rarest`` has one row per term; AQE broadcasts it at runtime when
     # small, else the skew-join split handles a common n-gram on the name side.
-    hits = ngrams.join(rarest, ["_n", "_g"], "inner").where(F.contains("_ln", "_lt"))
+    keys = ngrams.join(rarest, ["_n", "_g"], "inner").select("term", "_lt", "_key").distinct()
+    hits = keys.join(n, "_key").where(F.contains("_ln", "_lt"))
     return hits.select("term", F.col("_key").alias(key), F.col("_name").alias(name)).distinct()
 
 
@@ -124,44 +124,33 @@ def entity_candidates(terms: DataFrame, entities: DataFrame, props: DataFrame, a
     names = entities.select(key, F.col(label).alias("name"))
     if aliases is not None:
         names = names.unionByName(aliases.select(key, F.col(aliases.columns[1]).alias("name")))
-    # At most ``limit`` rows per term, read twice below: the n-gram search
-    # runs once.
-    ranked = materialize(rank_candidates(candidate_matches(terms, names, key=key), entities, key, label, desc, limit))
-    kept_ids = ranked.select(key).distinct()
-    plist = property_lists(props.join(kept_ids, key, "left_semi"), config, key)
-    out = ranked.join(plist, key, "left")
+    ranked = rank_candidates(candidate_matches(terms, names, key=key), entities, key, label, desc, limit)
+    kept = ranked.select(key).distinct()
+    out = ranked.join(property_lists(props.join(kept, key, "left_semi"), config, key), key, "left")
     cols = [f"{p.lower()}s" for p, _, _ in config]
     return out.select("term", "rank", key, label, desc, *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in cols])
 
 
 # ---------------------------------------------------------------- A08
 def relation_importance(ents: DataFrame, config=RELATION_CONFIG, key: str = "qid") -> DataFrame:
-    """Explode the ``' | '`` lists, attach label and weight by property;
+    """Split the ``' | '`` lists, attach label and weight by property;
     importance = sum of weights rounded to 2; relations sorted by weight
-    descending (stable: configuration order, then list order)."""
-    cfg = ents.sparkSession.createDataFrame(
-        [(f"{p.lower()}s", lab, float(w), i) for i, (p, lab, w) in enumerate(config)],
-        "_col string, relation string, weight double, _ci int")
-    cols = [f"{p.lower()}s" for p, _, _ in config]
-    long = ents.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).alias("_v"))
-                                                   for c in cols])).alias("_s"))
-    long = long.select(key, "_s._col", "_s._v").where((F.col("_v").isNotNull()) & (F.col("_v") != ""))
-    vals = long.select(key, "_col", F.posexplode(F.split("_v", r" \| ")).alias("_pos", "value"))
-    # ``cfg`` has one row per configured property (a literal of len(config) rows).
-    vals = vals.join(F.broadcast(cfg), "_col", "inner").select(key, "relation", py_strip("value").alias("value"),
-                                                                "weight", "_ci", "_pos")
-    g = vals.groupBy(key).agg(
-        F.round(F.sum("weight"), 2).alias("importance_score"),
-        F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("_nw"), "_ci", "_pos", "relation", "value",
-                                             "weight"))).alias("_r"),
-    )
-    return ents.join(g, key, "left").select(
-        *ents.columns,
-        F.coalesce("importance_score", F.lit(0.0)).alias("importance_score"),
-        F.coalesce(F.transform("_r", lambda r: F.struct(r["relation"].alias("relation"), r["value"].alias("value"),
-                                                        r["weight"].alias("weight"))),
-                   F.array().cast("array<struct<relation:string,value:string,weight:double>>")).alias("relations"),
-    )
+    descending (stable: configuration order, then list order).  One
+    projection per row: the few properties are taken in their sorted order,
+    so nothing is exploded, grouped or joined."""
+    by_weight = sorted(enumerate(config), key=lambda c: (-c[1][2], c[0]))
+    kind = "array<struct<relation:string,value:string,weight:double>>"
+
+    def items(p: str, lab: str, w: float) -> Column:
+        c = F.col(f"{p.lower()}s")
+        made = F.transform(F.split(c, r" \| "), lambda v: F.struct(
+            F.lit(lab).alias("relation"), py_strip(v).alias("value"), F.lit(float(w)).alias("weight")))
+        return F.when(c.isNotNull() & (c != ""), made).otherwise(F.array().cast(kind))
+
+    relations = F.concat(*[items(*c) for _, c in by_weight])
+    out = ents.withColumn("relations", relations)
+    score = F.round(F.aggregate("relations", F.lit(0.0), lambda a, r: a + r["weight"]), 2)
+    return out.select(*ents.columns, score.alias("importance_score"), "relations")
 
 
 # ---------------------------------------------------------------- A09

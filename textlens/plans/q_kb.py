@@ -78,6 +78,7 @@ def a07(spark, sf):
     return KB.grouped_distinct_concat(view(spark, sf, "v_entity_props"), ["qid", "prop"], "value")
 
 
+_CONFIG = ", ".join(f"('{p.lower()}s', '{lab}', {w}, {i})" for i, (p, lab, w) in enumerate(KB.RELATION_CONFIG))
 _STRIP = rf"regexp_replace(value, '^{WS_RE2}+|{WS_RE2}+$', '', 'g')"
 
 
@@ -85,8 +86,7 @@ _STRIP = rf"regexp_replace(value, '^{WS_RE2}+|{WS_RE2}+$', '', 'g')"
 lists AS ({_lists('(SELECT qid FROM v_entities)')}),
 long AS (SELECT qid, 'p31s' AS c, p31s AS v FROM lists UNION ALL SELECT qid, 'p279s', p279s FROM lists
          UNION ALL SELECT qid, 'p527s', p527s FROM lists UNION ALL SELECT qid, 'p361s', p361s FROM lists),
-cfg AS (SELECT c, relation, CAST(weight AS DOUBLE) AS weight, ci FROM (VALUES ('p31s', 'instance of', 0.8, 0),
-        ('p279s', 'subclass of', 0.7, 1), ('p527s', 'has part', 0.6, 2), ('p361s', 'part of', 0.5, 3))
+cfg AS (SELECT c, relation, CAST(weight AS DOUBLE) AS weight, ci FROM (VALUES {_CONFIG})
         t(c, relation, weight, ci)),
 sp AS (SELECT long.qid, cfg.relation, cfg.weight, cfg.ci, string_split(long.v, ' | ') AS parts
        FROM long JOIN cfg ON long.c = cfg.c WHERE long.v <> ''),
