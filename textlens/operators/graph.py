@@ -60,14 +60,20 @@ def two_hop_classes(seeds: DataFrame, edges: DataFrame, seed: str = "seed", a: s
     """Undirected neighbourhood of each seed: degree 0 (``selected``), 1
     (``first``), 2 (``second``); the nearer class wins.  Nodes not listed
     are ``other``.  Frontiers are de-duplicated before each expansion."""
-    # Both directions from one pass over the edges.
-    both = F.array(F.struct(F.col(a).alias("_u"), F.col(b).alias("_v")),
-                   F.struct(F.col(b).alias("_u"), F.col(a).alias("_v")))
-    sym = edges.select(F.explode(both).alias("_e")).select("_e._u", "_e._v").distinct()
     s = seeds.select(F.col(seed).alias("seed")).distinct()
     d0 = s.select("seed", F.col("seed").alias("node"), F.lit(0).alias("degree"))
-    d1 = s.join(sym, F.col("seed") == F.col("_u")).select("seed", F.col("_v").alias("node")).distinct()
-    d2 = d1.join(sym, F.col("node") == F.col("_u")).select("seed", F.col("_v").alias("node")).distinct()
+    out = edges.select(F.col(a).alias("_u"), F.col(b).alias("_v"))
+    back = edges.select(F.col(b).alias("_u"), F.col(a).alias("_v"))
+
+    # The frontier (small next to the edges: adaptive execution broadcasts it)
+    # prunes each direction first; only the new frontier is de-duplicated.
+    def step(frontier: DataFrame) -> DataFrame:
+        hops = [e.join(frontier, F.col("node") == F.col("_u")).select("seed", F.col("_v").alias("node"))
+                for e in (out, back)]
+        return hops[0].unionByName(hops[1]).distinct()
+
+    d1 = step(d0.select("seed", "node"))
+    d2 = step(d1)
     allr = d0.unionByName(d1.withColumn("degree", F.lit(1))).unionByName(d2.withColumn("degree", F.lit(2)))
     best = allr.groupBy("seed", "node").agg(F.min("degree").alias("degree"))
     cls = F.when(F.col("degree") == 0, "selected").when(F.col("degree") == 1, "first").otherwise("second")
@@ -76,8 +82,8 @@ def two_hop_classes(seeds: DataFrame, edges: DataFrame, seed: str = "seed", a: s
 
 # ---------------------------------------------------------------- J10
 def _matchable(values: Sequence) -> list:
-    # Empty and zero values never select anything.
-    return [v for v in values if v not in ("", 0, "0", None)]
+    # The empty text and zero never select anything; the text "0" does.
+    return [v for v in values if v is not None and v != "" and not (isinstance(v, (int, float)) and v == 0)]
 
 
 def select_nodes_by_property(nodes: DataFrame, prop: str, values: Sequence, node: str = "node") -> DataFrame:
@@ -89,14 +95,12 @@ def select_nodes_by_property(nodes: DataFrame, prop: str, values: Sequence, node
 
 def select_nodes_by_edge_property(nodes: DataFrame, edges: DataFrame, prop: str, values: Sequence,
                                   node: str = "node", a: str = "start", b: str = "end") -> DataFrame:
-    """All nodes with a ``hidden`` flag: shown iff an edge with ``prop`` in
-    ``values`` touches it (both endpoints), via a left-semi join."""
+    """All nodes, with their columns, and a ``hidden`` flag: shown iff an edge
+    with ``prop`` in ``values`` touches it (both endpoints), in one left join."""
     vals = _matchable(values)
     hit = edges.where(F.col(prop).isin(vals) if vals else F.lit(False))
-    ends = hit.select(F.explode(F.array(F.col(a), F.col(b))).alias(node)).distinct()
-    shown = nodes.join(ends, node, "left_semi").select(node, F.lit(False).alias("hidden"))
-    rest = nodes.join(ends, node, "left_anti").select(node, F.lit(True).alias("hidden"))
-    return shown.unionByName(rest)
+    ends = hit.select(F.explode(F.array(F.col(a), F.col(b))).alias(node)).distinct().withColumn("_hit", F.lit(True))
+    return nodes.join(ends, node, "left").select(*nodes.columns, F.col("_hit").isNull().alias("hidden"))
 
 
 def property_select(nodes: DataFrame, edges: DataFrame, item: str, prop: str, values: Sequence,

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textlens.operators import graph as G
+from textlens.operators.prep import GRAPH_RELATIONS
 from textlens.plans.fixtures import table, view, with_views
 from textlens.plans.registry import query
 
@@ -39,8 +40,7 @@ w2 AS (SELECT text, lang, concept, n_edges FROM (
                 row_number() OVER (PARTITION BY l.text, l.lang ORDER BY coalesce(d.n_edges, 0) DESC, l.concept) AS r
          FROM labels l LEFT JOIN deg d ON l.concept = d.concept) t WHERE r = 1)"""
 
-_ALLOWED = ("'antonym', 'related_to', 'synonym', 'is_a', 'has_a', 'part_of', 'used_for', 'causes', "
-            "'has_property', 'at_location', 'form_of'")
+_ALLOWED = ", ".join(f"'{r}'" for r in GRAPH_RELATIONS)
 
 
 @query("w02_top_concept", with_views("WITH" + _CTES + "\nSELECT * FROM w2", "v_edges"))
@@ -48,14 +48,17 @@ def w02(spark, sf):
     return G.top_concept(labels(spark, sf), edges(spark, sf))
 
 
-@query("j05_concept_neighbours", with_views("WITH" + _CTES + f""",
+J05_ORACLE = with_views("WITH" + _CTES + f""",
 e AS (SELECT * FROM edges WHERE relation IN ({_ALLOWED})),
 j AS (SELECT w2.text, w2.lang, e.*, row_number() OVER (PARTITION BY w2.text, w2.lang ORDER BY e.uri) AS idx
       FROM w2 JOIN e ON e.start = w2.concept),
 el AS (SELECT concept, min(text) AS end_label FROM labels GROUP BY concept)
 SELECT j.text AS word, j.lang, j.idx, j.relation, j.start, j."end", el.end_label, j.uri
 FROM j LEFT JOIN el ON j."end" = el.concept WHERE idx <= 20
-""", "v_edges"))
+""", "v_edges")
+
+
+@query("j05_concept_neighbours", J05_ORACLE)
 def j05(spark, sf):
     lab = labels(spark, sf)
     return G.concept_neighbours(lab.select("text", "lang"), lab, edges(spark, sf))
