@@ -75,21 +75,11 @@ def confusion_matrix(df: DataFrame, classes: Sequence[int] = (0, 1), y: str = "y
                      by: Sequence[str] = ()) -> DataFrame:
     """Long confusion matrix ``(by.., true_label, predicted_label, n)`` with
     every class pair present (zero cells included)."""
-    counts = df.groupBy(*by, F.col(y).alias("true_label"), F.col(yhat).alias("predicted_label")).count()
-    if by:
-        # One pass over the predictions; the group list comes from the counts.
-        counts = materialize(counts)
-    groups = counts.select(*by).distinct() if by else None
-    cls = F.array(*[F.lit(c) for c in classes])
-    if groups is None:
-        grid = counts.sparkSession.range(1).select(
-            F.explode(cls).alias("true_label")).select("true_label", F.explode(cls).alias("predicted_label"))
-    else:
-        grid = groups.select(*by, F.explode(cls).alias("true_label")).select(
-            *by, "true_label", F.explode(cls).alias("predicted_label"))
-    keys = [*by, "true_label", "predicted_label"]
-    return grid.join(counts, keys, "left").select(
-        *keys, F.coalesce(F.col("count"), F.lit(0)).alias("n"))
+    # One aggregate: the counts of every class pair per group, then one row per pair.
+    pairs = [(t, p) for t in classes for p in classes]
+    cells = F.array(*[F.struct(F.lit(t).alias("true_label"), F.lit(p).alias("predicted_label"),
+                               _cnt((F.col(y) == t) & (F.col(yhat) == p)).alias("n")) for t, p in pairs])
+    return df.groupBy(*by).agg(cells.alias("_c")).select(*by, F.inline("_c"))
 
 
 # ---------------------------------------------------------------- A04
@@ -105,31 +95,27 @@ def classification_report(df: DataFrame, classes: Sequence[int] = (0, 1), y: str
         F.sum(F.when(F.col("_y") == F.col("_c"), F.col("count")).otherwise(0)).alias("support"),
         F.sum(F.when(F.col("_p") == F.col("_c"), F.col("count")).otherwise(0)).alias("pred"),
     )
-    per = materialize(per.select(  # tiny; read by four output branches
+    per = per.select(
         *by, F.col("_c").cast("string").alias("row"), "tp", "support",
         _div0(F.col("tp"), F.col("pred")).alias("precision"),
         _div0(F.col("tp"), F.col("support")).alias("recall"),
         _div0(2 * F.col("tp"), F.col("pred") + F.col("support")).alias("f1"),
-    ))
-    cols = ["precision", "recall", "f1"]
-    tot = per.groupBy(*by).agg(
-        F.sum("support").alias("n"), F.sum("tp").alias("tp"),
-        *[F.avg(c).alias(f"m_{c}") for c in cols],
-        *[_div0(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(f"w_{c}") for c in cols],
     )
-    acc = _div0(F.col("tp"), F.col("n"))
-    rows = [
-        per.select(*by, "row", *cols, "support"),
-        tot.select(*by, F.lit("accuracy").alias("row"), *[acc.alias(c) for c in cols], F.col("n").alias("support")),
-        tot.select(*by, F.lit("macro avg").alias("row"), *[F.col(f"m_{c}").alias(c) for c in cols],
-                   F.col("n").alias("support")),
-        tot.select(*by, F.lit("weighted avg").alias("row"), *[F.col(f"w_{c}").alias(c) for c in cols],
-                   F.col("n").alias("support")),
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    # A group's class rows (as many as classes) and its three summary rows come
+    # out of one grouped aggregate.
+    cols = ["precision", "recall", "f1"]
+
+    def row(name: Column, values: Sequence[Column], support: Column) -> Column:
+        return F.struct(name.alias("row"), *[v.alias(c) for v, c in zip(values, cols)], support.alias("support"))
+
+    acc = _div0(F.sum("tp"), F.sum("support"))
+    g = per.groupBy(*by).agg(
+        F.array_sort(F.collect_list(row(F.col("row"), [F.col(c) for c in cols], F.col("support")))).alias("_rows"),
+        row(F.lit("accuracy"), [acc] * 3, F.sum("support")).alias("_acc"),
+        row(F.lit("macro avg"), [F.avg(c) for c in cols], F.sum("support")).alias("_macro"),
+        row(F.lit("weighted avg"), [_div0(F.sum(F.col(c) * F.col("support")), F.sum("support")) for c in cols],
+            F.sum("support")).alias("_weighted"))
+    return g.select(*by, F.inline(F.concat("_rows", F.array("_acc", "_macro", "_weighted"))))
 
 
 # ---------------------------------------------------------------- A05
@@ -192,7 +178,9 @@ def roc_auc(df: DataFrame, score: str = "p", label: str = "y", by: Sequence[str]
     TP_s, the trapezoid is fp_s * (2 TP_s - tp_s) / (2 P N); no lag needed.
     """
     pts = _roc_points(df, score, label, by)
-    area = F.sum(F.col("fp") * (2 * F.col("cum_tp") - F.col("tp")))
+    # counts as decimals: the sum reaches 2 P N, beyond a long for some 4e9 rows
+    fp, tp, cum = (F.col(c).cast("decimal(18,0)") for c in ("fp", "tp", "cum_tp"))
+    area = F.sum((fp * (cum + (cum - tp))).cast("decimal(38,0)"))
     return pts.groupBy(*by).agg(
         F.try_divide(area.cast("double"), 2.0 * F.first("P") * F.first("N")).alias("auc"))
 
@@ -244,11 +232,13 @@ def multitask_loss(df: DataFrame, weights: Mapping[str, float] = TASK_WEIGHTS, t
     pc = F.least(F.greatest(F.col(p).cast("double"), F.lit(EPS)), F.lit(1 - EPS))
     ll = F.when(F.col(y) == 1, F.ln(pc)).otherwise(F.ln(1 - pc))
     wmap = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-    per = materialize(df.groupBy(task).agg((-F.avg(ll)).alias("loss")).select(
-        F.col(task).alias("task"), "loss", F.coalesce(F.try_element_at(wmap, F.col(task)), F.lit(0.0)).alias("weight")))
-    total = per.agg(F.lit("total").alias("task"), F.sum(F.col("loss") * F.col("weight")).alias("loss"),
-                    F.lit(None).cast("double").alias("weight"))
-    return per.unionByName(total)
+    per = df.groupBy(task).agg((-F.avg(ll)).alias("loss")).select(
+        F.col(task).alias("task"), "loss", F.coalesce(F.try_element_at(wmap, F.col(task)), F.lit(0.0)).alias("weight"))
+    # one row per task: listed with their total in one aggregate
+    one = per.agg(F.array_sort(F.collect_list(F.struct("task", "loss", "weight"))).alias("_t"),
+                  F.struct(F.lit("total").alias("task"), F.sum(F.col("loss") * F.col("weight")).alias("loss"),
+                           F.lit(None).cast("double").alias("weight")).alias("_all"))
+    return one.select(F.inline(F.concat("_t", F.array("_all"))))
 
 
 # ---------------------------------------------------------------- A14

@@ -153,6 +153,19 @@ def a11(spark, sf):
     return _r(M.request_stats(view(spark, sf, "v_attempts")), "avg_response_sec", "success_rate")
 
 
+@query("a11_cache_size", """
+WITH r AS (SELECT conv_id % 5 AS worker_id, turn % 3 <> 2 AS ok, substr(text, 1, 150) || '|' || role AS key
+           FROM conversations)
+SELECT worker_id, count(*) AS total_requests, count(*) FILTER (WHERE NOT ok) AS failed_requests,
+       count(DISTINCT CASE WHEN ok THEN key END) AS cache_size FROM r GROUP BY worker_id
+""")
+def a11_cache(spark, sf):
+    r = table(spark, sf, "conversations").select(
+        (F.col("conv_id") % 5).alias("worker_id"), (F.col("turn") % 3 != 2).alias("ok"), F.col("turn").alias("seconds"),
+        M.cache_key(F.col("text"), F.col("role")).alias("key"))
+    return M.request_stats(r, key_col="key").select("worker_id", "total_requests", "failed_requests", "cache_size")
+
+
 @query("a12_multitask_loss", with_views("""
 WITH l AS (
   SELECT task, -avg(CASE WHEN y = 1 THEN ln(least(greatest(p, 1e-15), 1 - 1e-15))
