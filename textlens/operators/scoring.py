@@ -9,7 +9,6 @@ probability and argmax are column expressions on the JVM side.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -38,6 +37,19 @@ def vowel_length_predictor() -> Predictor:
     return VowelLengthPredictor()
 
 
+class MarkerPredictor:
+    """Deterministic toy model whose answer hangs on one word: logits
+    ``[0, 4]`` if the text holds the word ``zzmark``, else ``[0, -4]``."""
+
+    def __call__(self, texts: list) -> np.ndarray:
+        z = np.array([4.0 if "zzmark" in t.split() else -4.0 for t in texts])
+        return np.column_stack([np.zeros(len(z)), z])
+
+
+def marker_predictor() -> Predictor:
+    return MarkerPredictor()
+
+
 # ---------------------------------------------------------------- M01
 def softmax(logits: Column) -> Column:
     m = F.array_max(logits)
@@ -72,7 +84,7 @@ def _score_batches(make_predictor, text_col: str, batch_size: int):
                         try:
                             logits[i] = np.asarray(predictor([texts[i]]), dtype=float)[0].tolist()
                         except Exception as e:  # noqa: BLE001
-                            errors[i] = f"{type(e).__name__}: {e}"[:500]
+                            errors[i] = f"{type(e).__name__}: {e}"
             yield pdf.assign(_logits=pd.Series(logits, dtype=object), _error=pd.Series(errors, dtype=object))
     return run
 
@@ -97,7 +109,10 @@ def score_texts(df: DataFrame, make_predictor: Callable[[], Predictor], text_col
         uniq = df.select(text_col).distinct().select(digest.alias("_dg"), text_col)
         scored = score_texts(uniq, make_predictor, text_col, keep=["_dg"], batch_size=batch_size,
                              positive=positive)
-        return src.join(scored, "_dg", "left").drop("_dg")
+        # null-safe: a missing text has no digest, and its error row must come back
+        scored = scored.withColumnRenamed("_dg", "_dg2").drop(text_col)
+        return src.join(scored, F.col("_dg").eqNullSafe(F.col("_dg2")), "left").select(
+            *keep, text_col, *[c for c in scored.columns if c != "_dg2"])
     base = df.select(*keep, text_col)
     schema = T.StructType(base.schema.fields + [
         T.StructField("_logits", T.ArrayType(T.DoubleType())), T.StructField("_error", T.StringType())])
@@ -143,50 +158,58 @@ def _softmax_np(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _probabilities(predictor, texts: list, batch_size: int, positive: int) -> np.ndarray:
+    """Positive-class probabilities in calls of ``batch_size`` texts; where a
+    call fails its texts are scored alone, and those that fail are NaN."""
+    out = np.full(len(texts), np.nan)
+    for lo in range(0, len(texts), batch_size):
+        part = texts[lo:lo + batch_size]
+        try:
+            out[lo:lo + len(part)] = _softmax_np(np.asarray(predictor(part), dtype=float))[:, positive]
+        except Exception:  # noqa: BLE001 - isolate the failing texts
+            for i, t in enumerate(part):
+                try:
+                    out[lo + i] = _softmax_np(np.asarray(predictor([t]), dtype=float))[0, positive]
+                except Exception:  # noqa: BLE001, S112 - no weight for this variant
+                    continue
+    return out
+
+
 def _loo_batches(make_predictor, ids: Sequence[str], k: int, batch_size: int, positive: int):
+    def attribute(predictor, toks: list) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and weights of the ``k`` largest, variants scored in
+        windows so that only a few are held at once."""
+        full = " ".join(toks)
+        p = _probabilities(predictor, [full], batch_size, positive)[0]
+        # variant i is a prefix and a suffix of the full text: no list is rebuilt
+        ends = np.cumsum([len(t) + 1 for t in toks])
+        weights = np.empty(len(toks))
+        for lo in range(0, len(toks), batch_size):
+            hi = min(lo + batch_size, len(toks))
+            variants = []
+            for i in range(lo, hi):
+                head, tail = full[:max(0, int(ends[i]) - len(toks[i]) - 2)], full[int(ends[i]):]
+                variants.append(f"{head} {tail}" if head and tail else head or tail)
+            weights[lo:hi] = p - _probabilities(predictor, variants, batch_size, positive)
+        order = np.lexsort((np.arange(len(toks)), -np.round(np.abs(weights), 9)))
+        order = order[~np.isnan(weights[order])][:k]
+        return order, weights[order]
+
     def run(batches):
         predictor = make_predictor()
         for pdf in batches:
-            state: dict = {}        # row -> [p_full, top-k heap items]
-            pending: list = []      # (row, pos, text); pos -1 = the full text
-
-            def flush():
-                if not pending:
-                    return
-                logits = np.asarray(predictor([t for _, _, t in pending]), dtype=float)
-                for (row, pos, _), p in zip(pending, _softmax_np(logits)[:, positive]):
-                    st = state[row]
-                    if pos < 0:
-                        st[0] = p
-                    else:
-                        w = float(st[0] - p)
-                        st[1] = heapq.nsmallest(k, st[1] + [(-round(abs(w), 9), pos, w)])
-                pending.clear()
-
-            # Variants of all texts in the batch share predictor calls of
-            # ``batch_size`` texts; at most that many are held at once, so
-            # memory stays bounded even for long texts.
+            out = {c: [] for c in [*ids, "pos", "token", "weight", "rank"]}
             for row in range(len(pdf)):
                 toks = pdf["_toks"].iloc[row]
                 toks = list(toks) if toks is not None else []
                 if not toks:
                     continue
-                state[row] = [None, []]
-                for pos in range(-1, len(toks)):
-                    text = " ".join(toks) if pos < 0 else " ".join(toks[:pos] + toks[pos + 1:])
-                    pending.append((row, pos, text))
-                    if len(pending) >= batch_size:
-                        flush()
-            flush()
-            out = {c: [] for c in [*ids, "pos", "token", "weight", "rank"]}
-            for row, (_, best) in state.items():
-                toks = pdf["_toks"].iloc[row]
-                for r, (_, i, x) in enumerate(best, 1):
+                for r, (i, x) in enumerate(zip(*attribute(predictor, toks)), 1):
                     for c in ids:
                         out[c].append(pdf[c].iloc[row])
-                    out["pos"].append(i)
+                    out["pos"].append(int(i))
                     out["token"].append(toks[i])
-                    out["weight"].append(x)
+                    out["weight"].append(float(x))
                     out["rank"].append(r)
             yield pd.DataFrame(out)
     return run
@@ -200,9 +223,10 @@ def loo_attribution(df: DataFrame, make_predictor, id_cols: Sequence[str], text_
 
     One ``mapInPandas`` pass with no shuffle: each text's token array goes
     in, its variants are built and scored inside the task (the predictor is
-    created once per task), and only the top ``k`` rows come out.  A text of
-    T tokens costs T variant texts, so this suits short texts; use
-    :func:`sampled_attribution` for long ones.
+    created once per task), and only the top ``k`` rows come out.  A variant
+    whose call fails has no weight; the others of its batch are scored alone.
+    A text of T tokens costs T variant texts of T tokens, so this suits short
+    texts; use :func:`sampled_attribution` for long ones.
     """
     ids = list(id_cols)
     toks = df.select(*ids, ws_tokens(text_col).alias("_toks"))
@@ -227,10 +251,13 @@ def _fit_surrogate(ids: Sequence[str], k: int, kernel_width: float, alpha: float
         cos = np.divide(X.sum(axis=1), norms, out=np.zeros_like(norms), where=norms > 0)
         d = (1.0 - cos) * 100.0
         sw = np.sqrt(np.exp(-(d ** 2) / kernel_width ** 2))
-        Xc = np.column_stack([np.ones(len(X)), X])
-        A = Xc.T @ (Xc * sw[:, None]) + alpha * np.diag([0.0] + [1.0] * X.shape[1])
-        b = Xc.T @ (y * sw)
-        coef = np.linalg.lstsq(A, b, rcond=None)[0][1:]
+        total = sw.sum()
+        # Weighted ridge with a free intercept, solved in its dual form: one
+        # system of the number of samples, so the cost is linear in the tokens.
+        sw = sw / sw.sum()
+        Xm, ym = sw @ X, sw @ y
+        Z, t = (X - Xm) * np.sqrt(sw)[:, None], (y - ym) * np.sqrt(sw)
+        coef = Z.T @ np.linalg.solve(Z @ Z.T + alpha / total * np.eye(len(Z)), t)
         order = np.lexsort((np.arange(len(coef)), -np.abs(np.round(coef, 12))))[:k]
         out = pd.DataFrame({"rank": np.arange(1, len(order) + 1), "pos": order,
                             "token": [toks[i] for i in order], "weight": coef[order]})
@@ -248,7 +275,8 @@ def sampled_attribution(df: DataFrame, make_predictor, id_cols: Sequence[str], t
     sample 0 keeps all), all variants are scored in one job, and a
     proximity-weighted ridge surrogate is fitted per text
     (``applyInPandas``, one group = one text's samples); top ``k`` by
-    ``|weight|``.  Kernel, sample count and ridge strength are parameters."""
+    ``|weight|``.  Kernel, sample count and ridge strength are parameters.
+    Time and memory are linear in the text's length."""
     ids = list(id_cols)
     toks = df.select(*ids, ws_tokens(text_col).alias("_toks"))
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in ids])

@@ -26,6 +26,20 @@ def j08(spark, sf):
     return out.select("left_id", "right_id", F.round("cosine", 6).alias("cosine"))
 
 
+@query("j08_top_k_cosine", f"""
+WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS id,
+       {_DOT.format(a='a.embedding', b='b.embedding')} /
+         ({_NORM.format(a='a.embedding')} * {_NORM.format(a='b.embedding')}) AS cosine
+     FROM embeddings a JOIN embeddings b ON a.vec_id % 10 = 0 AND b.vec_id <> a.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS rank FROM p)
+SELECT query_id, rank, id, round(cosine, 6) + 0.0 AS cosine FROM r WHERE rank <= 5
+""")
+def j08_top(spark, sf):
+    e = table(spark, sf, "embeddings")
+    out = V.top_k_cosine(e, e.where("vec_id % 10 = 0"), 5)
+    return out.select("query_id", "rank", "id", F.round("cosine", 6).alias("cosine"))
+
+
 # Token matrices sliced out of each embedding: 8 token vectors of 8 values,
 # of which the first (vec_id % 8) + 1 are real tokens.
 @query("m02_pool_features", """
@@ -67,13 +81,13 @@ def _p_sql(t: str) -> str:
 @query("m01_score_texts", f"""
 SELECT doc_id, round({_p_sql('text')}, 6) AS p_positive,
        CASE WHEN (5 * (length(text) - length(regexp_replace(text, '[aeiou]', '', 'g'))) - 2 * length(text)) > 0
-            THEN 1 ELSE 0 END AS prediction
+            THEN 1 ELSE 0 END AS prediction, CASE WHEN text IS NULL THEN 'missing text' END AS error
 FROM documents
 """)
 def m01(spark, sf):
     d = fresh(spark, sf, "documents")
     s = S.score_texts(d, S.vowel_length_predictor, "text", keep=["doc_id"], dedupe=True)
-    return s.select("doc_id", F.round("p_positive", 6).alias("p_positive"), "prediction")
+    return s.select("doc_id", F.round("p_positive", 6).alias("p_positive"), "prediction", "error")
 
 
 _TOKS = rf"list_filter(regexp_split_to_array(text, '{WS_RE2}+'), lambda x: x <> '')"
@@ -95,7 +109,12 @@ def m07(spark, sf):
     return a.select("conv_id", "turn", "pos", "token", F.round("weight", 6).alias("weight"), "rank")
 
 
-@query("m07_sampled_attribution")
+# A predictor that only looks for one word: that word must come out first.
+@query("m07_sampled_attribution", f"""
+SELECT conv_id, turn, 1 AS rank, len({_TOKS}) AS pos, 'zzmark' AS token, true AS raises FROM conversations
+""")
 def m07s(spark, sf):
-    c = fresh(spark, sf, "conversations")
-    return S.sampled_attribution(c, S.vowel_length_predictor, ["conv_id", "turn"], "text", n_samples=32, k=10)
+    c = fresh(spark, sf, "conversations").withColumn("text", F.concat_ws(" ", "text", F.lit("zzmark")))
+    out = S.sampled_attribution(c, S.marker_predictor, ["conv_id", "turn"], "text", n_samples=64, k=10)
+    return out.where("rank = 1").select("conv_id", "turn", "rank", F.col("pos").cast("long"), "token",
+                                        (F.col("weight") > 0).alias("raises"))
