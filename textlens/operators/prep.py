@@ -7,17 +7,16 @@ per-conversation (P01, bounded by one dialogue) and count reports.
 
 from __future__ import annotations
 
-import math
-from decimal import Decimal
 import re
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlens.functions.text import clean_text, py_strip, ws_tokens
 from textlens.plans.prefix import global_rank
-from textlens.plans.sizing import broadcast_if_small
+from textlens.session import materialize
 
 
 def _c(col) -> Column:
@@ -105,7 +104,7 @@ def relation_filter(df: DataFrame, allowed: Sequence[str] | DataFrame = GRAPH_RE
     left-semi join for an allow-list table."""
     if isinstance(allowed, DataFrame):
         a = allowed.select(F.col(allowed.columns[0]).alias("_rel")).distinct()
-        return df.join(broadcast_if_small(a), F.col(rel_col) == F.col("_rel"), "left_semi")
+        return df.join(a, F.col(rel_col) == F.col("_rel"), "left_semi")
     return df.where(F.col(rel_col).isin(list(allowed)))
 
 
@@ -113,21 +112,45 @@ def relation_filter(df: DataFrame, allowed: Sequence[str] | DataFrame = GRAPH_RE
 def validate_required(df: DataFrame, fields: Sequence[str], types: Mapping[str, str] | None = None,
                       strict: bool = False) -> DataFrame:
     """One row per required field: present in the schema, declared type
-    matches, NULL count (one aggregate pass).  ``strict`` raises on the first
-    problem, naming the field (and the count of offending rows)."""
-    spark = df.sparkSession
+    matches, NULL count (one aggregate pass, lazy).  ``strict`` raises on the
+    first problem, naming the field and the first offending item."""
     have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     types = dict(types or {})
-    present = [f for f in fields if f in have]
-    counts = (df.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in present]).first().asDict()
-              if present else {})
-    rows = []
-    for f in fields:
-        ok_type = f in have and (f not in types or have[f] == types[f])
-        rows.append((f, f in have, ok_type, int(counts.get(f, 0)) if f in have else None))
-        if strict and (f not in have or not ok_type or counts.get(f, 0)):
-            raise ValueError(f"field '{f}': present={f in have}, type={have.get(f)}, null rows={counts.get(f)}")
-    return spark.createDataFrame(rows, "field string, present boolean, type_ok boolean, n_null long")
+
+    def type_ok(f: str) -> bool:
+        return f in have and (f not in types or have[f] == types[f])
+
+    if strict:
+        for f in fields:
+            if not type_ok(f):
+                raise ValueError(f"field '{f}': present={f in have}, type={have.get(f)}, expected {types.get(f)}")
+        bad = invalid_rows(df, fields).limit(1).collect()
+        if bad:
+            raise ValueError(f"field '{bad[0]['field']}' missing in item {bad[0]['item']}")
+    checks = F.array(*[F.struct(
+        F.lit(f).alias("field"), F.lit(f in have).alias("present"), F.lit(type_ok(f)).alias("type_ok"),
+        (F.count_if(F.col(f).isNull()) if f in have else F.lit(None).cast("long")).alias("n_null")) for f in fields])
+    return df.agg(checks.alias("_c")).select(F.inline("_c"))
+
+
+def invalid_rows(df: DataFrame, fields: Sequence[str], id_cols: Sequence[str] = (),
+                 types: Mapping[str, str] | None = None) -> DataFrame:
+    """``(field, item, problem)``: every missing or ill-typed required field of
+    every row; ``item`` is the row's id columns (all its columns without any)
+    as JSON.  ``types`` are checked per item: a value that does not cast to
+    the declared type is ``bad type``."""
+    item = F.to_json(F.struct(*(list(id_cols) or df.columns)))
+    types = dict(types or {})
+
+    def problem(f: str) -> Column:
+        if f not in df.columns:
+            return F.lit("missing")
+        bad = F.when(F.col(f).isNull(), "missing")
+        return bad.when(safe_cast(f, types[f]).isNull(), "bad type") if f in types else bad
+
+    found = F.array(*[F.struct(F.lit(f).alias("field"), problem(f).alias("problem")) for f in fields])
+    return df.select(item.alias("item"), F.explode(found).alias("p")).where("p.problem is not null").select(
+        "p.field", "item", "p.problem")
 
 
 # ---------------------------------------------------------------- P09
@@ -243,16 +266,31 @@ def split_hash(id_col: str, seed: int) -> tuple[Column, Column]:
 
 
 def exact_split(df: DataFrame, id_col: str, fraction: float = 0.2, seed: int = 42,
-                split_col: str = "split") -> DataFrame:
-    """Deterministic exact split: the ``ceil(fraction * n)`` rows first in
-    ``md5(id|seed)`` order are ``test``, the rest ``train``.  The global rank
-    is distributed (see :mod:`textlens.plans.prefix`), not a one-task window."""
-    n = df.count()
-    k = math.ceil(Decimal(str(fraction)) * n)  # exact decimal product, no float drift
+                split_col: str = "split", by: Sequence[str] = ()) -> DataFrame:
+    """Deterministic exact split: of the ``n`` different ids the
+    ``ceil(fraction * n)`` first in ``md5(id|seed)`` order are ``test``, the
+    rest ``train``; rows of one id stay together.  With ``by`` each group is
+    split on its own.
+
+    Only ids are ranked and counted: they are read once into the shared
+    checkpoint folder, ranked there (distributed, see
+    :mod:`textlens.plans.prefix`), and the split joins back to the rows, so
+    texts and other wide columns are never sorted.  Rows with a null id are
+    ``train``."""
+    by = list(by)
     key, full = split_hash(id_col, seed)
-    keyed = df.withColumn("_sk", key).withColumn("_sh", full)
-    ranked = global_rank(keyed, "_sk", tie_cols=["_sh", id_col], name="_rank")
-    return ranked.select(*df.columns, F.when(F.col("_rank") <= k, "test").otherwise("train").alias(split_col))
+    ids = df.where(F.col(id_col).isNotNull()).select(*by, id_col).distinct()
+    ids = materialize(ids.select(*by, id_col, key.alias("_sk"), full.alias("_sh")))
+    num, den = Decimal(str(fraction)).as_integer_ratio()  # exact product, no float drift
+    ranked = global_rank(ids, "_sk", tie_cols=["_sh", id_col], by=by, name="_rank")
+    if by:
+        ranked = ranked.join(ids.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
+    else:
+        ranked = ranked.withColumn("_n", F.lit(ids.count()).cast("long"))
+    test = (F.col("_rank") - 1) * den < F.col("_n") * num  # rank <= ceil(n * num / den), in integers
+    chosen = ranked.where(test).select(*by, id_col, F.lit("test").alias("_split"))
+    return df.join(chosen, [*by, id_col], "left").select(
+        *df.columns, F.coalesce("_split", F.lit("train")).alias(split_col))
 
 
 def split_frames(df: DataFrame, id_col: str, fraction: float = 0.2, seed: int = 42):

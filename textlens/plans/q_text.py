@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textlens.functions.text import NOT_WS_RE2, WS_RE2
 from textlens.operators import prep as P
+from textlens.operators import scoring as S
 from textlens.plans.fixtures import fresh, table, view, with_views
 from textlens.plans.registry import query
 
@@ -56,11 +57,14 @@ def p03(spark, sf):
 
 
 # ---------------------------------------------------------------- P05
-@query("p05_emotion_flags", with_views("""
+_FLAGS = ",\n".join(
+    "  CASE WHEN label IN (" + ", ".join(f"'{x}'" for x in group) + f") AND score > {P.EMOTION_THRESHOLD} THEN 1 ELSE 0 END"
+    f" AS {name}" for name, group in P.EMOTION_GROUPS.items())
+
+
+@query("p05_emotion_flags", with_views(f"""
 SELECT doc_id, label, score,
-  CASE WHEN label IN ('anger', 'annoyance', 'disgust') AND score > 0.5 THEN 1 ELSE 0 END AS hostile_label,
-  CASE WHEN label IN ('disapproval', 'disappointment') AND score > 0.5 THEN 1 ELSE 0 END AS contempt_label,
-  CASE WHEN label IN ('amusement', 'joy', 'excitement') AND score > 0.5 THEN 1 ELSE 0 END AS humor_label
+{_FLAGS}
 FROM v_emotion
 """, "v_emotion"))
 def p05(spark, sf):
@@ -116,6 +120,18 @@ def p08(spark, sf):
     return P.validate_required(x, ["text", "label", "knowledge_features"], types={"label": "int"})
 
 
+@query("p08_invalid_rows", with_views("""
+SELECT 'text' AS field, doc_id, 'missing' AS problem FROM v_corpus WHERE text IS NULL
+UNION ALL SELECT 'label', doc_id, 'missing' FROM v_corpus WHERE label IS NULL
+UNION ALL SELECT 'lang', doc_id, CASE WHEN lang IS NULL THEN 'missing' ELSE 'bad type' END FROM v_corpus
+UNION ALL SELECT 'knowledge_features', doc_id, 'missing' FROM v_corpus
+""", "v_corpus"))
+def p08_rows(spark, sf):
+    v = view(spark, sf, "v_corpus")
+    bad = P.invalid_rows(v, ["text", "label", "lang", "knowledge_features"], ["doc_id"], types={"lang": "int"})
+    return bad.select("field", F.get_json_object("item", "$.doc_id").cast("long").alias("doc_id"), "problem")
+
+
 # ---------------------------------------------------------------- P09
 @query("p09_quarantine_rows", """
 WITH x AS (
@@ -145,10 +161,10 @@ PROMPT = "Decide whether the text is sarcastic. Reply 1 for sarcastic, 0 otherwi
 
 @query("p10_render_prompt", with_views("""
 SELECT doc_id, 'Decide whether the text is sarcastic. Reply 1 for sarcastic, 0 otherwise.' || chr(10) || 'Text: '
-       || coalesce(text, '') || chr(10) || 'Language: ' || coalesce(lang, '') AS prompt FROM v_text
-""", "v_text"))
+       || coalesce(text, '') || chr(10) || 'Language: ' || coalesce(lang, '') AS prompt FROM v_corpus
+""", "v_corpus"))
 def p10(spark, sf):
-    v = view(spark, sf, "v_text")
+    v = view(spark, sf, "v_corpus")
     return v.select("doc_id", P.render_prompt(PROMPT, text=F.coalesce("text", F.lit("")),
                                               lang=F.coalesce("lang", F.lit(""))).alias("prompt"))
 
@@ -196,17 +212,46 @@ def p13(spark, sf):
 
 # ---------------------------------------------------------------- P14
 @query("p14_token_window", with_views(f"""
-WITH t AS (SELECT doc_id, list_slice({_toks('text')}, 1, 128) AS toks FROM v_text)
+WITH t AS (SELECT doc_id, list_slice({_toks('text')}, 1, 128) AS toks FROM v_corpus)
 SELECT doc_id, array_to_string(list_resize(toks, 128, '[PAD]'), ' ') AS tokens, len(toks) AS n_real,
        128 AS width FROM t
-""", "v_text"))
+""", "v_corpus"))
 def p14(spark, sf):
-    w = P.token_window(view(spark, sf, "v_text"), "text", 128)
+    w = P.token_window(fresh(spark, sf, "v_corpus"), "text", 128)
     return w.select("doc_id", F.array_join("tokens", " ").alias("tokens"),
                     F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"),
                     F.size("attention_mask").alias("width"))
 
 
+@query("p14_longest_window", f"""
+WITH t AS (SELECT conv_id, turn, list_slice({_toks('text')}, 1, 128) AS toks FROM conversations),
+w AS (SELECT max(len(toks)) AS width FROM t)
+SELECT conv_id, turn, array_to_string(list_resize(toks, width, '[PAD]'), ' ') AS tokens, len(toks) AS n_real, width
+FROM t, w
+""")
+def p14_longest(spark, sf):
+    w = P.token_window(table(spark, sf, "conversations"), "text", 128, pad="longest")
+    return w.select("conv_id", "turn", F.array_join("tokens", " ").alias("tokens"),
+                    F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"),
+                    F.size("attention_mask").alias("width"))
+
+
+def _length_tokenizer():
+    """Deterministic toy tokenizer: a word's id is its length."""
+    return lambda texts: [[len(w) for w in t.split()] for t in texts]
+
+
+@query("p14_subword_ids", f"""
+WITH t AS (SELECT conv_id, turn, list_slice(list_transform({_toks('text')}, lambda w: length(w)), 1, 32) AS ids
+           FROM conversations)
+SELECT conv_id, turn, array_to_string(list_resize(ids, 32, 0), ' ') AS input_ids, len(ids) AS n_real FROM t
+""")
+def p14_subword(spark, sf):
+    e = S.encode_texts(table(spark, sf, "conversations"), _length_tokenizer, keep=["conv_id", "turn"], max_length=32)
+    return e.select("conv_id", "turn", F.array_join("input_ids", " ").alias("input_ids"),
+                    F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"))
+
+
 # ---------------------------------------------------------------- M08
 _M08 = """
 WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || '|42'), doc_id) AS rk,
@@ -221,26 +266,30 @@ def m08(spark, sf):
 
 
 # ---------------------------------------------------------------- U01 / A13
+# Three corpora; only the headlines are split here, the others arrive split.
+_GIVEN = "CASE WHEN doc_id % 4 = 0 THEN 'test' ELSE 'train' END"
+
+
 def _corpora(spark, sf):
-    v = view(spark, sf, "v_text").select("doc_id", "text", "label", "lang")
+    v = view(spark, sf, "v_corpus").select("doc_id", "text", "label", "lang", F.expr(_GIVEN).alias("split"))
+    lang = F.coalesce("lang", F.lit(""))
     return {
-        "headlines": v.where(F.col("lang") == "en"),
-        "forum": v.where(F.col("lang").isin("fr", "es")),
-        "micro": v.where(~F.col("lang").isin("en", "fr", "es")),
+        "headlines": v.where(lang == "en").drop("split"),
+        "forum": v.where(lang.isin("fr", "es")),
+        "micro": v.where(~lang.isin("en", "fr", "es")),
     }
 
 
-_U01_SRC = """
-u AS (SELECT 'headlines' AS dataset, doc_id, text, label FROM v_text WHERE lang = 'en'
-      UNION ALL SELECT 'forum', doc_id, text, label FROM v_text WHERE lang IN ('fr', 'es')
-      UNION ALL SELECT 'micro', doc_id, text, label FROM v_text WHERE lang NOT IN ('en', 'fr', 'es'))"""
+_U01_SRC = f"""
+u AS (SELECT CASE WHEN lang = 'en' THEN 'headlines' WHEN lang IN ('fr', 'es') THEN 'forum' ELSE 'micro' END AS dataset,
+             doc_id, text, label, {_GIVEN} AS given FROM v_corpus)"""
 
 
 @query("u01_union_datasets", with_views(f"""
 WITH {_U01_SRC}
 SELECT dataset, doc_id, text, label FROM (SELECT dataset, doc_id, {_clean_sql('text')} AS text, label FROM u
   WHERE text IS NOT NULL) c WHERE text <> ''
-""", "v_text"))
+""", "v_corpus"))
 def u01(spark, sf):
     u = P.union_datasets(_corpora(spark, sf))
     return P.clean_texts(u).select("dataset", "doc_id", "text", "label")
@@ -248,14 +297,16 @@ def u01(spark, sf):
 
 @query("a13_split_sizes", with_views(f"""
 WITH {_U01_SRC},
-r AS (SELECT dataset, doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || '|42'), doc_id) AS rk,
-             count(*) OVER () AS n FROM u)
-SELECT dataset, CASE WHEN rk <= ceil(n * 2 / 10) THEN 'test' ELSE 'train' END AS split, count(*) AS n_rows
+r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5(CAST(doc_id AS VARCHAR) || '|42'), doc_id) AS rk,
+             count(*) OVER (PARTITION BY dataset) AS n FROM u)
+SELECT dataset, CASE WHEN dataset <> 'headlines' THEN given WHEN rk <= ceil(n * 2 / 10) THEN 'test' ELSE 'train' END
+         AS split, count(*) AS n_rows
 FROM r GROUP BY 1, 2
-""", "v_text"))
+""", "v_corpus"))
 def a13(spark, sf):
-    u = P.union_datasets(_corpora(spark, sf)).select("dataset", "doc_id")
-    return P.split_sizes(P.exact_split(u, "doc_id", 0.2, 42))
+    c = {name: f.select("doc_id", *[x for x in f.columns if x == "split"]) for name, f in _corpora(spark, sf).items()}
+    c["headlines"] = P.exact_split(c["headlines"], "doc_id", 0.2, 42)
+    return P.split_sizes(P.union_datasets(c))
 
 
 # ---------------------------------------------------------------- J11
