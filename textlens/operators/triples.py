@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from textlens.functions.text import WS, WORD, py_strip
 from textlens.operators.prep import TRIPLE_RELATIONS, safe_cast
 from textlens.plans.prefix import running_sums
-from textlens.plans.sizing import broadcast_if_small
 from textlens.session import materialize
 
-# Generator target, weight range and minimum lengths of T01/W03.
+# Generator target (passed by callers who want it; nothing is cut
+# by default), weight range and minimum lengths of T01/W03.
 TARGET_COUNT = 10_000
 WEIGHT_MIN, WEIGHT_MAX = 0.5, 2.5
 MIN_LINE_CHARS = 10
@@ -28,7 +28,7 @@ MIN_CONCEPT_CHARS = 2
 # Non-data content removed before line parsing (multi-line
 # mode; only "\n" ends a line): fenced blocks, '#' lines, "Example(s):" and
 # "Note:" tails, "word:" prefixes and runs of '*'.
-NOISE = rf"(?md)(```[\s\S]*?```|^#.*|Examples?:.*|Note:.*|\b{WORD}+:{WS}*|\*+)"
+NOISE = rf"(?md)(```[\s\S]*?```|^#.*|Examples?:.*|Note:.*|(?<!{WORD}){WORD}+:{WS}*|\*+)"
 
 TRIPLE_COLS = ["source_concept", "relation_type", "target_concept", "weight"]
 
@@ -83,29 +83,41 @@ def first_arrivals(triples: DataFrame, order_cols: Sequence[str]) -> DataFrame:
                     *[F.col(f"_m.a.{c}").alias(c) for c in order_cols])
 
 
-def first_n_distinct(triples: DataFrame, order_cols: Sequence[str], n: int = TARGET_COUNT) -> DataFrame:
-    """The first ``n`` distinct keys in arrival order, each with the weight of
-    its first arrival (W03).  The top-N keeps at most ``n`` rows per task."""
-    firsts = first_arrivals(triples, order_cols)
-    return firsts.orderBy(*order_cols, *TRIPLE_COLS[:3]).limit(n)
+def first_n_distinct(triples: DataFrame, order_cols: Sequence[str], n: int | None = None) -> DataFrame:
+    """The first ``n`` distinct keys (all of them without ``n``) in arrival
+    order, each with the weight of its first arrival (W03).  The top-N keeps
+    at most ``n`` rows per task."""
+    firsts = first_arrivals(triples, order_cols).orderBy(*order_cols, *TRIPLE_COLS[:3])
+    return firsts if n is None else firsts.limit(n)
 
 
 def ingest_progress(triples: DataFrame, batch_col: str, order_cols: Sequence[str],
-                    n: int = TARGET_COUNT) -> DataFrame:
-    """Per batch: parsed rows, rows newly added (first arrivals within the
-    target), and the running total of added rows (A15)."""
-    # Two aggregations read the triples; parse them once (reliable checkpoint).
-    cols = list(dict.fromkeys([batch_col, *order_cols, *TRIPLE_COLS]))
-    triples = materialize(triples.select(*cols))
-    parsed = triples.groupBy(batch_col).agg(F.count(F.lit(1)).alias("parsed"))
-    kept = first_n_distinct(triples, order_cols, n)
-    added = kept.groupBy(batch_col).agg(F.count(F.lit(1)).alias("added"))
-    per = parsed.join(added, batch_col, "left").select(batch_col, "parsed",
-                                                        F.coalesce("added", F.lit(0)).alias("added"))
-    per = materialize(per)  # one row per batch; parsed once, read by three branches
+                    n: int | None = None) -> DataFrame:
+    """Per batch: parsed rows, rows newly added (first arrivals, up to the
+    target ``n``), and the running total of added rows (A15).
+
+    One aggregate finds the first arrival of each key, one counts per batch;
+    the running total is a distributed prefix sum over one row per batch, and
+    the target cuts that total: the rows within it are the first in arrival
+    order, because batches arrive in ``batch_col`` order."""
+    if list(order_cols)[0] != batch_col:
+        raise ValueError("arrival order starts with the batch")
+    arr = F.struct(*[F.col(c) for c in order_cols])
+    per_key = triples.groupBy(batch_col, *TRIPLE_COLS[:3]).agg(F.min(arr).alias("_a"), F.count(F.lit(1)).alias("_n"))
+    # per key the counts of its batches, so one table gives parsed and added
+    both = per_key.groupBy(*TRIPLE_COLS[:3]).agg(
+        F.min("_a").alias("_first"), F.collect_list(F.struct(F.col(batch_col).alias("b"), F.col("_n").alias("n"))).alias("_b"))
+    each = both.select(F.col(f"_first.{batch_col}").alias("_home"), F.explode("_b").alias("_e"))
+    per = materialize(each.groupBy(F.col("_e.b").alias(batch_col)).agg(
+        F.sum("_e.n").alias("parsed"), F.count_if(F.col("_home") == F.col("_e.b")).alias("added")))
     run = running_sums(per, batch_col, ["added"])
-    return run.select(batch_col, "parsed", "added", F.col("cum_added").alias("total"),
-                      (F.col("cum_added") >= n).alias("target_reached"))
+    total = F.col("cum_added")
+    if n is None:
+        return run.select(batch_col, "parsed", "added", total.alias("total"), F.lit(False).alias("target_reached"))
+    before = F.least(total - F.col("added"), F.lit(n))
+    capped = F.least(total, F.lit(n))
+    return run.select(batch_col, "parsed", (capped - before).alias("added"), capped.alias("total"),
+                      (capped >= n).alias("target_reached"))
 
 
 def append_new_triples(existing: DataFrame | None, batch: DataFrame, order_cols: Sequence[str]) -> DataFrame:
@@ -114,4 +126,4 @@ def append_new_triples(existing: DataFrame | None, batch: DataFrame, order_cols:
     if existing is None:
         return firsts
     keys = existing.select(*TRIPLE_COLS[:3]).distinct()
-    return firsts.join(broadcast_if_small(keys), TRIPLE_COLS[:3], "left_anti")
+    return firsts.join(keys, TRIPLE_COLS[:3], "left_anti")

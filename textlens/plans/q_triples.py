@@ -8,7 +8,7 @@ from textlens.plans.fixtures import fresh, with_views
 from textlens.plans.registry import query
 
 ORDER = ["batch_id", "line_no", "line_idx"]
-N_TARGET = 500  # sf0.01 has 752 distinct keys, so the default 10 000 would never bind
+N_TARGET = T.TARGET_COUNT
 
 _RELS = ", ".join(f"'{r}'" for r in T.TRIPLE_RELATIONS)
 _NUM = r"\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*"

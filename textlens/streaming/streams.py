@@ -1,8 +1,8 @@
 """Structured Streaming forms of the two online loops.
 
 R01: generator responses arrive as files; each micro-batch is parsed (T01),
-reduced to the first arrival per key, stripped of keys already stored and
-capped by the remaining quota; ``foreachBatch`` writes it to the folder
+reduced to the first arrival per key, stripped of keys already stored and,
+where a target is given, capped by the remaining quota; ``foreachBatch`` writes it to the folder
 ``epoch=<batchId>`` with overwrite, so a replayed batch replaces its own
 output (idempotent).  The key set lives in the stored table, not in the
 state store, so state does not grow with the data.
@@ -20,8 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlens.operators.triples import TARGET_COUNT, TRIPLE_COLS, first_arrivals, parse_triples
-from textlens.plans.sizing import broadcast_if_small
+from textlens.operators.triples import TRIPLE_COLS, first_arrivals, parse_triples
 from textlens.sources.io import _path_exists
 
 
@@ -32,7 +31,7 @@ def _stored(spark: SparkSession, sink: str, schema: str, skip_epoch: int) -> Dat
 
 
 def stream_triples(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, source_schema: str,
-                   raw_col: str, order_cols: Sequence[str], target: int = TARGET_COUNT,
+                   raw_col: str, order_cols: Sequence[str], target: int | None = None,
                    files_per_trigger: int = 1, fmt: str = "json") -> None:
     """Run the ingestion stream until the available input is consumed.
 
@@ -46,13 +45,13 @@ def stream_triples(spark: SparkSession, source_dir: str, sink_dir: str, checkpoi
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
         stored = _stored(spark, sink_dir, sink_schema, epoch)
-        have = stored.count() if stored is not None else 0
-        quota = target - have
         out = f"{sink_dir}/epoch={epoch}"
         firsts = first_arrivals(parse_triples(batch, raw_col, keep=keep), order)
         if stored is not None:
-            firsts = firsts.join(broadcast_if_small(stored.select(*TRIPLE_COLS[:3])), TRIPLE_COLS[:3], "left_anti")
-        firsts = firsts.orderBy(*order, *TRIPLE_COLS[:3]).limit(max(quota, 0))
+            firsts = firsts.join(stored.select(*TRIPLE_COLS[:3]), TRIPLE_COLS[:3], "left_anti")
+        if target is not None:
+            have = stored.count() if stored is not None else 0  # Parquet footers only
+            firsts = firsts.orderBy(*order, *TRIPLE_COLS[:3]).limit(max(target - have, 0))
         firsts.select(*TRIPLE_COLS, *[F.col(c).cast("long") for c in order]).write.mode("overwrite").parquet(out)
 
     stream = (spark.readStream.schema(source_schema).option("maxFilesPerTrigger", files_per_trigger)
