@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textlens.operators import graph as G
 from textlens.operators import metrics as M
-from textlens.plans import q_kb, q_triples
+from textlens.plans import q_graph, q_kb, q_triples
 from textlens.plans.fixtures import view, with_views
 from textlens.plans.registry import query
 from textlens.session import scratch_dir
@@ -55,12 +56,12 @@ _NA_TEXT = """CASE WHEN doc_id % 13 = 0 THEN 'NA' WHEN doc_id % 17 = 0 THEN 'nul
 
 
 @query("s04_read_text_column", with_views(f"""
-SELECT text FROM (SELECT {_NA_TEXT} AS text FROM v_text) t
+SELECT text FROM (SELECT {_NA_TEXT} AS text FROM v_corpus) t
 WHERE text IS NOT NULL AND text NOT IN ({", ".join("'" + x + "'" for x in IO.PANDAS_NA)})
-""", "v_text"))
+""", "v_corpus"))
 def s04(spark, sf):
     path = scratch_dir(spark, "textcol")
-    v = view(spark, sf, "v_text")
+    v = view(spark, sf, "v_corpus")
     IO.write_labeled_csv(v.select(F.expr(_NA_TEXT).alias("text"), "label", "lang"), path)
     return IO.read_text_column(spark, path)
 
@@ -101,6 +102,15 @@ def s08(spark, sf):
     return IO.read_triples(spark, path)
 
 
+@query("s09_concept_graph", q_graph.J05_ORACLE)
+def s09(spark, sf):
+    root = scratch_dir(spark, "graph")
+    q_graph.labels(spark, sf).write.parquet(f"{root}/labels")
+    q_graph.edges(spark, sf).write.parquet(f"{root}/edges")
+    lab, edges = IO.read_concept_graph(spark, f"{root}/labels", f"{root}/edges")
+    return G.concept_neighbours(lab.select("text", "lang"), lab, edges)
+
+
 @query("s10_entity_source", with_views("WITH" + q_kb._RANK_CTES + "," + q_kb._PL + f"""
 SELECT qid, label, description, p31s, p279s, p527s, p361s FROM ({q_kb._lists('k')}) z
 """, "v_terms", "v_entities", "v_entity_props"))
@@ -122,10 +132,22 @@ m AS (SELECT coalesce(correct::DOUBLE / nullif(n, 0), 0) AS accuracy,
 SELECT metric, round(value, 6) AS value FROM m UNPIVOT (value FOR metric IN (accuracy, precision, recall, f1))
 """, "v_pred"))
 def s11(spark, sf):
+    m = IO.read_metrics(spark, _written_results(spark, sf))
+    return m.select("metric", F.round("value", 6).alias("value"))
+
+
+def _written_results(spark, sf) -> str:
     out = scratch_dir(spark, "results")
     pred = view(spark, sf, "v_pred")
     IO.write_results(pred.select("doc_id", F.col("y").alias("true_label"), F.col("yhat").alias("predicted_label"),
                                  F.col("p").alias("sarcasm_prob")),
                      M.metrics_long(M.binary_prf(pred)), out)
-    m = IO.read_metrics(spark, out)
-    return m.select("metric", F.round("value", 6).alias("value"))
+    return out
+
+
+@query("s11_predictions", with_views("""
+SELECT doc_id, y AS true_label, yhat AS predicted_label, p AS sarcasm_prob FROM v_pred
+""", "v_pred"))
+def s11_predictions(spark, sf):
+    return IO.read_predictions(spark, _written_results(spark, sf),
+                               "doc_id BIGINT, true_label INT, predicted_label INT, sarcasm_prob DOUBLE")

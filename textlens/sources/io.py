@@ -21,11 +21,18 @@ from textlens.operators.triples import TRIPLE_COLS, append_new_triples
 PANDAS_NA = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
-_CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
+_CSV = {"header": "true", "quote": '"', "escape": '"',
         # the CSV writer trims values unless told not to
         "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
+def _csv(multi_line: bool) -> dict:
+    """CSV options.  Fields with line breaks need ``multi_line``, and then a
+    file is one task's work: a large one should be written in many parts (as
+    Spark's writer does) or as Parquet.  Without it files are split."""
+    return {**_CSV, "multiLine": str(multi_line).lower()}
+
+
 def _path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a dataset folder exists (the reader lists it eagerly)."""
     try:
@@ -46,32 +53,41 @@ def read_headlines(spark: SparkSession, path: str) -> DataFrame:
 DIALOGUE_SCHEMA = "context ARRAY<STRING>, response STRING, label STRING, _corrupt_record STRING"
 
 
-def read_dialogues(spark: SparkSession, path: str, positive: str = "SARCASM",
-                   with_corrupt: bool = False) -> DataFrame:
+def _dialogue_lines(spark: SparkSession, path: str) -> DataFrame:
+    parsed = F.from_json("value", DIALOGUE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    r = spark.read.text(path).where(F.trim("value") != "").select("value", parsed.alias("r")).select("value", "r.*")
+    problem = (F.when(F.col("_corrupt_record").isNotNull(), "malformed line")
+               .when(F.col("response").isNull(), "missing response"))
+    return r.withColumn("problem", problem)
+
+
+def read_dialogues(spark: SparkSession, path: str, positive: str = "SARCASM", skip_bad: bool = False) -> DataFrame:
     """Dialogue JSON lines (``context[]``, ``response``, ``label``) ->
-    ``(text, label)``.  Malformed lines are kept aside in PERMISSIVE mode
-    (``with_corrupt=True`` returns them in ``_corrupt_record``)."""
-    # Lines are parsed with from_json (PERMISSIVE, corrupt text kept), so the
-    # malformed-line output can be queried on its own.
-    lines = spark.read.text(path)
-    raw = lines.select(F.from_json("value", DIALOGUE_SCHEMA, {"mode": "PERMISSIVE",
-                                                              "columnNameOfCorruptRecord": "_corrupt_record"})
-                       .alias("r")).select("r.*")
-    good = raw.where(F.col("_corrupt_record").isNull())
-    out = good.select(dialogue_text(F.coalesce("context", F.array().cast("array<string>")), F.col("response"))
-                      .alias("text"), binarize_label("label", positive).alias("label"))
-    if with_corrupt:
-        return out, raw.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
-    return out
+    ``(text, label)``.  A malformed line or one without a response fails the
+    job with that line; ``skip_bad`` leaves such lines out, and
+    :func:`bad_dialogue_lines` lists them."""
+    r = _dialogue_lines(spark, path)
+    if skip_bad:
+        r = r.where(F.col("problem").isNull())
+    text = dialogue_text(F.coalesce("context", F.array().cast("array<string>")), F.col("response"))
+    fail = F.raise_error(F.concat(F.col("problem"), F.lit(": "), F.col("value"))).cast("string")
+    return r.select(F.when(F.col("problem").isNotNull(), fail).otherwise(text).alias("text"),
+                    binarize_label("label", positive).alias("label"))
+
+
+def bad_dialogue_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(problem, value)`` of the lines that are no dialogue."""
+    return _dialogue_lines(spark, path).where(F.col("problem").isNotNull()).select("problem", "value")
 
 
 # ---------------------------------------------------------------- S03 / S05
-def read_labeled_csv(spark: SparkSession, path: str, extra_labels: Sequence[str] = ()) -> DataFrame:
+def read_labeled_csv(spark: SparkSession, path: str, extra_labels: Sequence[str] = (),
+                     multi_line: bool = True) -> DataFrame:
     """Headered RFC-4180 CSV (quotes doubled, embedded newlines) ->
     ``(text, label, *extra_labels)``.  Columns are found by header name (any
     order, other columns pruned, no inference pass); labels go through the
     guarded integer cast.  An empty field is NULL, as in pandas' reader."""
-    raw = spark.read.options(**_CSV).option("inferSchema", "false").csv(path)
+    raw = spark.read.options(**_csv(multi_line)).option("inferSchema", "false").csv(path)
     labels = ["label", *extra_labels]
     return raw.select(F.col("text"), *[safe_cast(c, "int").alias(c) for c in labels])
 
@@ -82,12 +98,13 @@ def write_labeled_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None
 
 
 # ---------------------------------------------------------------- S04
-def read_text_column(spark: SparkSession, path: str, col: str = "text", na: Sequence[str] = PANDAS_NA) -> DataFrame:
+def read_text_column(spark: SparkSession, path: str, col: str = "text", na: Sequence[str] = PANDAS_NA,
+                     multi_line: bool = True) -> DataFrame:
     """Only the text column of a headered CSV; pandas missing-value tokens
     become NULL and missing texts are dropped."""
     # Column chosen by header name (no inference: every column is a string),
     # and the CSV parser prunes the others.
-    raw = spark.read.options(**_CSV).option("inferSchema", "false").csv(path).select(col)
+    raw = spark.read.options(**_csv(multi_line)).option("inferSchema", "false").csv(path).select(col)
     c = F.when(F.col(col).isin(list(na)), None).otherwise(F.col(col))
     return raw.select(c.alias(col)).where(F.col(col).isNotNull())
 
@@ -98,12 +115,10 @@ def write_terms(df: DataFrame, path: str, col: str = "term") -> None:
     df.select(F.col(col).alias("term")).distinct().orderBy("term").write.mode("overwrite").json(path)
 
 
-def write_terms_array(df: DataFrame, path: str, col: str = "term", max_terms: int = 1_000_000) -> None:
-    """The source format: one JSON array file.  Built by one task, so it is
-    refused above ``max_terms``; use :func:`write_terms` at scale."""
+def write_terms_array(df: DataFrame, path: str, col: str = "term") -> None:
+    """The source format: one JSON array in one file, which one task must hold
+    (interchange of vocabularies); use :func:`write_terms` at scale."""
     t = df.select(F.col(col).alias("term")).distinct()
-    if t.limit(max_terms + 1).count() > max_terms:
-        raise ValueError("term list too large for a single array file; write JSON lines instead")
     arr = t.agg(F.to_json(F.array_sort(F.collect_list("term"))).alias("value"))
     arr.coalesce(1).write.mode("overwrite").text(path)
 
@@ -161,7 +176,8 @@ def append_triples(spark: SparkSession, batch: DataFrame, path: str, order: Sequ
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
     ddl = "source_concept STRING, relation_type STRING, target_concept STRING, weight DOUBLE"
-    return spark.read.options(**_CSV).schema(ddl).csv(path).select(*TRIPLE_COLS)
+    # concepts come from single lines, so no field holds a line break
+    return spark.read.options(**_csv(False)).schema(ddl).csv(path).select(*TRIPLE_COLS)
 
 
 # ---------------------------------------------------------------- S09
@@ -224,4 +240,10 @@ def write_results(pred: DataFrame, metrics_long: DataFrame, out_dir: str) -> Non
 
 
 def read_metrics(spark: SparkSession, out_dir: str) -> DataFrame:
-    return spark.read.options(**_CSV).schema("metric STRING, value DOUBLE").csv(f"{out_dir}/metrics")
+    return spark.read.options(**_csv(False)).schema("metric STRING, value DOUBLE").csv(f"{out_dir}/metrics")
+
+
+def read_predictions(spark: SparkSession, out_dir: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """The predictions of :func:`write_results`, in the writer's column order;
+    ``multi_line`` if a text column may hold line breaks."""
+    return spark.read.options(**_csv(multi_line)).schema(schema).csv(f"{out_dir}/predictions")
