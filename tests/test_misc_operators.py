@@ -78,15 +78,6 @@ def test_dispatching_entry_points(spark):
             if not r.hidden} == {"n1", "n2"}
 
 
-def test_broadcast_guard_counts_bytes(spark):
-    from textlens.plans.sizing import broadcast_if_small, size_at_most
-
-    df = spark.createDataFrame([(i, "x" * 1000) for i in range(50)], "id int, s string")
-    assert size_at_most(df, 100, 1_000_000) and not size_at_most(df, 100, 10_000) and not size_at_most(df, 10, 10**9)
-    plan = broadcast_if_small(df, max_rows=100, max_bytes=10_000).join(df, "id")._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" not in plan.lower()
-
-
 def test_materialize_computes_the_plan_once(spark):
     import pandas as pd
     from pyspark.sql import functions as F

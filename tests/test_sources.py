@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from textlens.session import scratch_dir
@@ -41,11 +43,13 @@ def test_dialogues_with_corrupt_line(spark):
     path = scratch_dir(spark, "t-dlg")
     lines = ['{"context": ["a", "b"], "response": "c", "label": "SARCASM"}',
              '{"context": [], "response": "r", "label": "NOT"}',
-             '{not json']
+             '{not json', '{"context": ["a"], "label": "SARCASM"}']
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
-    good, bad = IO.read_dialogues(spark, path, with_corrupt=True)
+    good = IO.read_dialogues(spark, path, skip_bad=True)
     assert sorted(map(tuple, good.collect())) == [(" r", 0), ("a b c", 1)]
-    assert bad.count() == 1
+    assert sorted(r.problem for r in IO.bad_dialogue_lines(spark, path).collect()) == ["malformed line", "missing response"]
+    with pytest.raises(Exception, match="malformed line|missing response"):
+        IO.read_dialogues(spark, path).collect()
 
 
 def test_entity_bindings_multiline(spark):
