@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +25,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def without(df: DataFrame, names: Iterable[str]) -> list[Column]:
-    """The columns of ``df`` whose names, in any case, are not in ``names``."""
-    taken = {n.lower() for n in names}
-    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared checkpoint folder and read
     back: computed once, pruned by column, and safe against lost executors."""

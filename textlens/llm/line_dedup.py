@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlens.llm.common import WS_CHARS, ascii_lower, staged, without
+from textlens.llm.common import WS_CHARS, ascii_lower, staged
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40,
@@ -34,7 +34,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     output column is left out.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    split = docs.select(*without(docs, [id_col, text_col, n_lines, n_dropped]),
+    rest = [c for c in docs.columns if c.lower() not in {x.lower() for x in (id_col, text_col, n_lines, n_dropped)}]
+    held = {c: f"_llm_in_{i}" for i, c in enumerate(rest)}  # under names that clash with nothing here
+    split = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in held.items()],
                         F.col(id_col).alias("_llm_id"), F.xxhash64(text).alias("_llm_text"),
                         F.split(text, "\n", -1).alias("_llm_lines"))
     line = split.select("_llm_id", "_llm_text", F.posexplode("_llm_lines").alias("_llm_pos", "_llm_line"))
@@ -56,10 +58,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_llm_drop"))
     kept = F.transform(kept, lambda i: F.element_at(F.col("_llm_lines"), i + 1))
     lines = F.when(F.col("_llm_drop").isNull(), F.col("_llm_lines")).otherwise(kept)
-    made = {id_col: F.col("_llm_id"), text_col: F.array_join(lines, "\n")}
-    rest = {c.lower() for c in (id_col, text_col, n_lines, n_dropped)}
-    return met.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in docs.columns
-                        if c in made or c.lower() not in rest],
+    made = {id_col: F.col("_llm_id"), text_col: F.array_join(lines, "\n"), **{c: F.col(h) for c, h in held.items()}}
+    return met.select(*[made[c].alias(c) for c in docs.columns if c in made],
                       n.cast("long").alias(n_lines),
                       F.coalesce(F.array_size("_llm_drop"), F.lit(0)).cast("long").alias(n_dropped))
 

@@ -91,8 +91,8 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     table in the shared checkpoint folder.
     """
     out = [id_col, "size", "source_size", "target", "copies", "taken"]
-    taken_names = {n.lower() for n in out}
-    kept = [c for c in carry if c.lower() not in taken_names]
+    kept = [c for c in carry if c.lower() not in {n.lower() for n in out}]
+    held = [f"_llm_in_{i}" for i in range(len(kept))]  # under names that clash with nothing here
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in (kept or [text_col])])
     cells = staged(_keyed(docs, id_col, text_col, source_col, [], F.lit(0))
                    .groupBy(*_CELL).agg(F.count(F.lit(1)).alias("_llm_n"), F.sum("_llm_size").alias("_llm_words")),
@@ -106,7 +106,8 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     offsets = cells.select(*_CELL, F.coalesce(F.sum("_llm_n").over(line), F.lit(0)).alias("_llm_before"))
     offsets = offsets.join(sources, "_llm_src")
 
-    rows = _keyed(docs, id_col, text_col, source_col, [F.col(f"`{c}`") for c in kept], tie).join(offsets, _CELL)
+    inputs = [F.col(f"`{c}`").alias(h) for c, h in zip(kept, held)]
+    rows = _keyed(docs, id_col, text_col, source_col, inputs, tie).join(offsets, _CELL)
     inside = Window.partitionBy(*_CELL).orderBy("_llm_size", "_llm_id", "_llm_tie")
     place = F.col("_llm_before") + F.row_number().over(inside) - 1
     part = F.col("_llm_rate").bitwiseAND(_UNIT - 1)
@@ -114,14 +115,14 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     phase = (F.col("_llm_start") + place.bitwiseAND(_UNIT - 1) * part).bitwiseAND(_UNIT - 1)
     copies = F.shiftright("_llm_rate", _BITS) + F.when(phase + part >= _UNIT, 1).otherwise(0)
     return rows.withColumn("copies", copies.cast("long")).select(
-        *[F.col(f"`{c}`") for c in kept], F.col("_llm_id").alias(id_col), F.col("_llm_size").alias("size"),
+        *[F.col(h).alias(c) for c, h in zip(kept, held)], F.col("_llm_id").alias(id_col), F.col("_llm_size").alias("size"),
         "source_size", "target", "copies", (F.col("copies") * F.col("_llm_size")).alias("taken"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it (rows taken
     0 times are gone); same columns.  Options as in :func:`plan_mix`."""
-    renamed = [f"_llm_in_{i}" for i in range(len(docs.columns))]
+    renamed = [f"_llm_row_{i}" for i in range(len(docs.columns))]
     names = {k: options.pop(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
     inner = {k: renamed[docs.columns.index(v)] for k, v in names.items()}
     plan = plan_mix(docs.toDF(*renamed), carry=renamed, **inner, **options)

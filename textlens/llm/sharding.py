@@ -117,7 +117,8 @@ def shuffle_to_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     kept = [c for c in carry if c.lower() not in {id_col.lower(), "size", "text_crc32", "shard", "slot"}]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(id_col).alias("_llm_id"),
+    held = [f"_llm_in_{i}" for i in range(len(kept))]  # under names that clash with nothing here
+    rows = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in zip(kept, held)], F.col(id_col).alias("_llm_id"),
                        (F.octet_length(text) + 1).cast("long").alias("size"),
                        F.crc32(text.cast("binary")).alias("text_crc32"))
     if not kept:  # else whole rows would be written once more
@@ -136,7 +137,7 @@ def shuffle_to_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     key = F.xxhash64(F.lit(seed + 2), *content)
     # blocks in the order of the key, so that (block, key) sorts as the key does
     block = F.floor((key.cast("double") / 2.0 ** 64 + 0.5) * n_blocks).cast("int")
-    sent = staged(dealt.select(*[F.col(f"`{c}`") for c in kept], *content, shard.alias("shard"),
+    sent = staged(dealt.select(*held, *content, shard.alias("shard"),
                                key.alias("_llm_key"), block.alias("_llm_block")), "exchange")
 
     blocks = sent.groupBy("shard", "_llm_block").agg(F.count(F.lit(1)).alias("n"))
@@ -144,5 +145,5 @@ def shuffle_to_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     blocks = blocks.select("shard", "_llm_block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_llm_before"))
     inside = Window.partitionBy("shard", "_llm_block").orderBy("_llm_key", *content)
     placed = sent.join(F.broadcast(blocks), ["shard", "_llm_block"])  # at most n_shards * (n_blocks + 1) rows
-    return placed.select(*[F.col(f"`{c}`") for c in kept], F.col("_llm_id").alias(id_col), "size", "text_crc32",
+    return placed.select(*[F.col(h).alias(c) for c, h in zip(kept, held)], F.col("_llm_id").alias(id_col), "size", "text_crc32",
                          "shard", (F.col("_llm_before") + F.row_number().over(inside) - 1).alias("slot"))

@@ -31,7 +31,7 @@ from textlens.llm.common import staged
 UNITS = {
     "sentence": r"[^.!?\n]*[.!?\n]+|[^.!?\n]+",
     "line": r"[^\n]*\n|[^\n]+",
-    "paragraph": r"(?:[^\n]+\n?)*\n+|(?:[^\n]+\n?)+",
+    "paragraph": r"[^\n]+(?:\n[^\n]+)*\n*|\n+",
 }
 # bytes: A-Z lower-cased, sentence ends to spaces
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else 32 if c in b".!?" else c for c in range(256))
