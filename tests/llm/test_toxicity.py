@@ -29,7 +29,7 @@ def brute(model, text):
     """The noisy-or by its formula, sentence by sentence."""
     clean = 1.0
     for m in toxicity._SENTENCE.finditer(text):
-        z = model.bias + sum(model.weights.get(f, 0.0) for w in toxicity._WORD.findall(m[0].lower()) for f in toxicity.features(w))
+        z = model.bias + sum(model.weights.get(f, 0.0) for w in set(toxicity._WORD.findall(m[0].lower())) for f in toxicity.features(w))
         clean *= 1 - 1 / (1 + math.exp(-z))
     return 1 - clean
 

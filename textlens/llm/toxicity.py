@@ -1,8 +1,8 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences.  A sentence is toxic with probability
-``sigmoid(bias + sum of the weights of its words)``, a word's weight the sum
-over itself and its prefixes of 3 to 6 characters; a document is toxic unless
+``sigmoid(bias + sum of the weights of its different words)``, a word's weight
+the sum over itself and its prefixes of 3 to 6 characters; a document is toxic unless
 none of its sentences is (noisy-or).  Only documents are labelled; gradients
 of the document likelihood reach the sentences through the noisy-or, and so
 the offending sentences are found without sentence labels.
@@ -65,7 +65,7 @@ class NoisyOr:
             for m in _SENTENCE.finditer(text):
                 n += 1
                 z = 0.0
-                for word in _WORD.findall(m[0].lower()):
+                for word in dict.fromkeys(_WORD.findall(m[0].lower())):  # each once, in a fixed order
                     w = memo.get(word)
                     z += weigh(word) if w is None else w
                 if z:
@@ -89,10 +89,10 @@ def fit(texts: list[str], labels: list[int], *, min_docs: int = 5, max_features:
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return NoisyOr(0.0, {}, float(y[0]) if len(y) else 0.0)
-    sentences = [[_WORD.findall(m[0].lower()) for m in _SENTENCE.finditer(t)] for t in texts]
+    sentences = [[list(dict.fromkeys(_WORD.findall(m[0].lower()))) for m in _SENTENCE.finditer(t)] for t in texts]
     seen = (Counter(), Counter())
     for doc, label in zip(sentences, labels):
-        seen[label].update({f for s in doc for w in set(s) for f in features(w)})
+        seen[label].update({f for s in doc for w in s for f in features(w)})
     n1, n0 = y.sum(), (1 - y).sum()
     chosen = [f for f, c in seen[1].items() if c >= min_docs and c / n1 >= 3 * (seen[0][f] + 0.5) / n0]
     chosen = sorted(chosen, key=lambda f: (-seen[1][f], f))[:max_features]
