@@ -22,7 +22,7 @@ def brute_longest(w):
     return out
 
 
-def brute_row(text, min_repeat=10, max_covered=0.2, max_longest=50):
+def brute_row(text, min_repeat=10, max_covered=0.3, max_longest=50):
     text = text or ""
     w = words(text)
     n = len(w)

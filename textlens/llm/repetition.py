@@ -99,7 +99,7 @@ def _lines_again(text: str) -> int:
 
 
 def repetition_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_repeat: int = 10,
-                     max_covered: float = 0.2, max_longest: int = 50) -> DataFrame:
+                     max_covered: float = 0.3, max_longest: int = 50) -> DataFrame:
     """One row per row of ``docs``: ``id_col``; the base statistics ``n_words``,
     ``word_chars`` (code points in words), ``n_symbols``, ``n_dup_lines``
     (lines with a word, equal to an earlier line), ``n_repeat_words`` (words in
