@@ -1,7 +1,7 @@
 """Line de-duplication (DataFrame functions only).
 
-Lines are exploded and normalised, their keys hashed (md5, 128 bits), and
-documents counted per hash: first one row per (hash, document), then a count
+Lines are exploded and normalised, their keys hashed once (md5, 128 bits) into
+a narrow table, and documents counted per hash: first one row per (hash, document), then a count
 that Spark combines before its shuffle, so a line of a third of all documents
 reaches its reducer as one row per task.  Frequent hashes meet the lines
 again in a join (a hot hash is split by adaptive skew handling), which gives
@@ -40,10 +40,11 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                         F.col(id_col).alias("_llm_id"), F.xxhash64(text).alias("_llm_text"),
                         F.split(text, "\n", -1).alias("_llm_lines"))
     line = split.select("_llm_id", "_llm_text", F.posexplode("_llm_lines").alias("_llm_pos", "_llm_line"))
-    key = ascii_lower(F.btrim(F.col("_llm_line"), F.lit(WS_CHARS)))
-    line = line.select("_llm_id", "_llm_text", "_llm_pos", key.alias("_llm_key"))
-    line = line.where(F.char_length("_llm_key") >= min_chars).select(
-        "_llm_id", "_llm_text", "_llm_pos", F.unhex(F.md5(F.col("_llm_key").cast("binary"))).alias("_llm_hash"))
+    bare = F.btrim(F.col("_llm_line"), F.lit(WS_CHARS))
+    # lower-casing keeps the length, so short lines are left out before it
+    line = line.where(F.char_length(bare) >= min_chars).select(
+        "_llm_id", "_llm_text", "_llm_pos", F.unhex(F.md5(ascii_lower(bare).cast("binary"))).alias("_llm_hash"))
+    line = staged(line, "line-hashes")  # read twice below; hashing every line costs more than this narrow table
     frequent = (line.groupBy("_llm_hash", "_llm_id").agg(F.lit(1))
                 .groupBy("_llm_hash").agg(F.count(F.lit(1)).alias("_llm_docs"), F.max("_llm_id").alias("_llm_keep"))
                 .where(F.col("_llm_docs") >= min_docs).select("_llm_hash", "_llm_keep"))
