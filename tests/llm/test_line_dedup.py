@@ -1,5 +1,3 @@
-import hashlib
-
 from textlens.llm import line_dedup
 from textlens.llm.queries import op7_line_dedup
 
@@ -29,13 +27,12 @@ def test_matches_sql(spark):
 
 def test_brute_force(spark):
     line = "This Line Stands In Many Documents, Étude"
-    rows = [(i, f"own {i}\n {line.upper().replace('É', 'É')}\t\nend") for i in range(4)] + [
+    rows = [(i, f"own {i}\n {line.upper()}\t\nend") for i in range(4)] + [
         (9, f"{line}\n{line}\nx"), (9, f"other text\n{line}"), (None, f"{line}\nnull"), (None, line), (12, "\n\n"), (13, None),
         (14, f"{line.replace('É', 'é')}"), (15, "short\nshort"), (16, f"{line}\nlast {line}"), (16, f"{line}\nlast {line}")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = line_dedup.dedup_lines(df, min_chars=10, min_docs=3).collect()
     want = brute(rows, 10, 3)
-    want = {k: v for k, v in want.items()}
     assert len(out) == len(rows)
     texts = sorted((r.doc_id is None, r.doc_id or 0, r.text, r.n_lines, r.n_dropped) for r in out)
     assert texts == sorted((i is None, i or 0, *want[i, t or ""]) for i, t in rows)
@@ -50,4 +47,3 @@ def test_odd_documents(spark):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.text, r.n_lines, r.n_dropped) for r in out.collect())
     assert got == sorted((r.doc_id is None, r.doc_id or 0, *want[r.doc_id, r.text or ""]) for r in docs.collect())
     assert line_dedup.dedup_lines(no_documents(spark)).collect() == []
-    assert hashlib.sha256(b"").hexdigest()

@@ -34,7 +34,7 @@ def test_targets_and_bounds(spark, seed):
     sources = [None, "", "Z", "a", "é", "\U0001f525", *[f"s{i}" for i in range(6)]]
     rows = [(i, " ".join(["w"] * rnd.choice([0, 1, 3, rnd.randint(1, 400)])), rnd.choice(sources[:rnd.randint(2, 12)])) for i in range(900)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    out = mixing.plan_mix(df, carry=("source", "Size")[:1]).collect()
+    out = mixing.plan_mix(df, carry=("source",)).collect()
     sizes = {}
     for _, t, s in rows:
         sizes[s] = sizes.get(s, 0) + len(words(t))

@@ -1,7 +1,6 @@
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,4 +81,3 @@ def test_odd_documents_and_labels(spark):
     assert {r.score for r in quality.quality_scores(docs, labels.limit(0), F.lit(True)).collect()} == {0.0}
     assert {r.score for r in quality.quality_scores(docs, labels.where("quality = 1"), F.lit(True)).collect()} == {1.0}
     assert quality.quality_scores(no_documents(spark), labels, F.lit(True)).collect() == []
-    assert pa.__version__
