@@ -62,15 +62,15 @@ def two_hop_classes(seeds: DataFrame, edges: DataFrame, seed: str = "seed", a: s
     are ``other``.  Frontiers are de-duplicated before each expansion."""
     s = seeds.select(F.col(seed).alias("seed")).distinct()
     d0 = s.select("seed", F.col("seed").alias("node"), F.lit(0).alias("degree"))
-    out = edges.select(F.col(a).alias("_u"), F.col(b).alias("_v"))
-    back = edges.select(F.col(b).alias("_u"), F.col(a).alias("_v"))
+    # Both directions from one pass over the edges.  The frontier (small next to
+    # them: adaptive execution broadcasts it) prunes them first; only the new
+    # frontier is de-duplicated.
+    both = F.array(F.struct(F.col(a).alias("_u"), F.col(b).alias("_v")),
+                   F.struct(F.col(b).alias("_u"), F.col(a).alias("_v")))
+    hops = edges.select(F.explode(both).alias("_e")).select("_e._u", "_e._v")
 
-    # The frontier (small next to the edges: adaptive execution broadcasts it)
-    # prunes each direction first; only the new frontier is de-duplicated.
     def step(frontier: DataFrame) -> DataFrame:
-        hops = [e.join(frontier, F.col("node") == F.col("_u")).select("seed", F.col("_v").alias("node"))
-                for e in (out, back)]
-        return hops[0].unionByName(hops[1]).distinct()
+        return hops.join(frontier, F.col("node") == F.col("_u")).select("seed", F.col("_v").alias("node")).distinct()
 
     d1 = step(d0.select("seed", "node"))
     d2 = step(d1)
