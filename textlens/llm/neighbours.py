@@ -25,12 +25,11 @@ _STEP = 4  # nodes expanded at a time
 _BATCH = 512
 
 
-def beam_search(unit: np.ndarray, edges: np.ndarray, start: int, query: np.ndarray, beam: int,
-                keep_walked: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(unit: np.ndarray, edges: np.ndarray, start: int, query: np.ndarray,
+                beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Greedy search of all rows of ``query`` at once: ``(ids, nearness)``, the
     ``beam`` best nodes seen, nearest first (-1 beyond the last).  ``unit``:
-    unit vectors, ``edges``: node ids per node, -1 for none.  Up to
-    ``keep_walked`` nodes that were expanded and fell out are appended."""
+    unit vectors, ``edges``: node ids per node, -1 for none."""
     m = len(query)
     ids = np.full((m, beam), -1, np.int64)
     near = np.full((m, beam), -np.inf, np.float32)
