@@ -1,7 +1,10 @@
+import random
 import re
 
+import numpy as np
+
 from textlens.llm import substrings
-from textlens.llm.queries import op2_substring_dedup
+from textlens.llm.queries import op2_substring_dedup, passage_dedup
 
 from .helpers import SF, ascii_lower, no_documents, odd_documents, same_as_sql
 
@@ -68,3 +71,80 @@ def test_odd_documents(spark):
     assert substrings.remove_spans(docs, spans).columns == docs.columns
     assert substrings.remove_spans(docs, spans).count() == docs.count()
     assert substrings.repeated_spans(no_documents(spark)).collect() == []
+
+
+def key_words(text):
+    """Words of a text without sentence ends, A-Z lower-cased, and where they begin."""
+    found = list(re.finditer(r"[^\x20\x09-\x0D.!?]+", text))
+    return [ascii_lower(m[0]) for m in found], [m.start() for m in found]
+
+
+def repeated(rows, n):
+    """{(id, text): for each word, whether it lies in a window of n words that stands earlier too}, by plain loops."""
+    seen, out = set(), {}
+    for i, t in sorted({(i, t) for i, t in rows if t}, key=lambda r: (r[0] is not None, r[0] or 0)):
+        w, _ = key_words(t)
+        out[i, t] = np.zeros(len(w), bool)
+        for k in range(len(w) - n + 1):
+            if (key := tuple(w[k:k + n])) in seen:
+                out[i, t][k:k + n] = True
+            seen.add(key)
+    return out
+
+
+def against_windows(rows, spans, min_words=20):
+    """Words removed without a repeat; stretches of 50 repeated words, those not met, and most words left of one."""
+    gone = {}
+    for r in spans:
+        gone.setdefault(r.doc_id, []).append((r.start, r.end))
+    short, long = repeated(rows, min_words), repeated(rows, 50)
+    wrong = stretches = missed = left = 0
+    for (i, t), again in long.items():
+        _, at = key_words(t)
+        cut = np.zeros(len(at), bool)
+        for a, b in gone.get(i, []):
+            cut[np.searchsorted(at, a):np.searchsorted(at, b)] = True
+        wrong += int((cut & ~short[i, t]).sum())
+        edge = np.flatnonzero(np.diff(again.astype(np.int8), prepend=0, append=0))
+        for a, b in edge.reshape(-1, 2):
+            stretches += 1
+            missed += not cut[a:b].any()
+            left = max(left, int((~cut[a:b]).sum()))
+    return wrong, stretches, missed, left
+
+
+def pasted(seed=3):
+    """Texts with passages of 50 to 120 words in mid-sentence, of sentences of any length."""
+    rng = random.Random(seed)
+    def prose(n, end):
+        return " ".join(f"w{rng.randrange(4000)}" + ("." if rng.random() < end else "") for _ in range(n))
+    passages = [prose(rng.randrange(50, 120), end) for end in (0, 0.02, 0.1, 0.4) for _ in range(5)]
+    return [(i, f"{prose(rng.randrange(60), 0.1)} {rng.choice(['é', 'x'])} {passages[i % 20]} {prose(rng.randrange(60), 0.1)}".strip())
+            for i in range(80)]
+
+
+def test_passages_against_repeated_windows(spark):
+    rows = pasted()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wrong, stretches, missed, left = against_windows(rows, substrings.repeated_passages(df).collect())
+    assert (wrong, missed) == (0, 0) and stretches >= 60 and left <= 3 * substrings.BORDER_WINDOW - 1
+    # whole sentences miss some
+    assert against_windows(rows, substrings.repeated_spans(df).collect())[2] > 0
+
+
+def test_passages_of_the_table(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    spans = passage_dedup(spark, SF).collect()
+    wrong, stretches, missed, _ = against_windows(rows, spans)
+    assert (wrong, missed) == (0, 0) and stretches
+    assert len(spans) == len({(r.doc_id, r.start) for r in spans})
+
+
+def test_passages_of_odd_documents(spark):
+    docs = odd_documents(spark, ["start", "word", "H1", "id", "first"])
+    spans = substrings.repeated_passages(docs, min_words=8)
+    by = {(r.doc_id, r.start, r.end) for r in spans.collect()}
+    assert {(2, 0, 47), (7, 95, 15000)} == by  # 11 words to the first border and the 8 after it stay
+    assert substrings.remove_spans(docs, spans).columns == docs.columns
+    assert substrings.remove_spans(docs, spans).count() == docs.count()
+    assert substrings.repeated_passages(no_documents(spark)).collect() == []

@@ -36,6 +36,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_spans(_documents(spark, sf_dir)).drop("text_hash")
 
 
+def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removed spans of passages that begin and end anywhere (op2's SQL is for sentences)."""
+    return substrings.repeated_passages(_documents(spark, sf_dir)).drop("text_hash")
+
+
 def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(_documents(spark, sf_dir)).drop("spans")
 
@@ -91,7 +96,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = (op1_byte_bpe, op2_substring_dedup, op3_repetition_rules, op4_toxicity, op5_mix_sources,
-            op6_nearest_vectors, op7_line_dedup, op8_simhash, op9_shuffle_shards, op10_quality_classifier, pipeline)
+            op6_nearest_vectors, op7_line_dedup, op8_simhash, op9_shuffle_shards, op10_quality_classifier, passage_dedup,
+            pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
