@@ -1,3 +1,6 @@
+import inspect
+import os
+
 import numpy as np
 import pytest
 
@@ -101,3 +104,11 @@ def test_chunks_do_not_change_the_answer(spark, monkeypatch):
     whole = sorted(map(str, repetition.repetition_rules(docs).collect()))
     monkeypatch.setattr(repetition, "_CHUNK_WORDS", 700)
     assert sorted(map(str, repetition.repetition_rules(docs).collect())) == whole
+
+
+def test_readme_states_the_limits():
+    with open(os.path.join(os.path.dirname(__file__), "..", "..", "README.md")) as f:
+        readme = f.read()
+    limits = inspect.signature(repetition.repetition_rules).parameters
+    for name in ("min_repeat", "max_covered", "max_longest"):
+        assert f"`{name}={limits[name].default}`" in readme, name
