@@ -39,6 +39,26 @@ def test_term_array_file(spark):
     assert sorted(r.term for r in IO.read_terms(spark, path, array_file=True).collect()) == ["a", "b", "ç"]
 
 
+def test_term_array_in_many_parts(spark, tmp_path):
+    terms = [f"t {i}" for i in range(2000)] + ['"', "]", "[", ",", ",]", "a\nb", "\\", "", " ", "é😂"]
+    df = spark.createDataFrame([(t,) for t in [*terms, *terms, None]], "term string")
+    path = str(tmp_path / "arr")
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(merge)
+    spark.conf.set(merge, "false")
+    try:
+        IO.write_terms_array(df, path)
+    finally:
+        spark.conf.set(merge, before)
+    parts = sorted((tmp_path / "arr").glob("part-*"))
+    assert len(parts) > 1
+    assert json.loads("".join(p.read_text() for p in parts)) == sorted(terms)
+    assert sorted(r.term for r in IO.read_terms(spark, path, array_file=True).collect()) == sorted(terms)
+    IO.write_terms_array(df.limit(0), path)
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "arr").glob("part-*")))) == []
+    assert IO.read_terms(spark, path, array_file=True).collect() == []
+
+
 def test_dialogues_with_corrupt_line(spark):
     path = scratch_dir(spark, "t-dlg")
     lines = ['{"context": ["a", "b"], "response": "c", "label": "SARCASM"}',

@@ -116,18 +116,28 @@ def write_terms(df: DataFrame, path: str, col: str = "term") -> None:
 
 
 def write_terms_array(df: DataFrame, path: str, col: str = "term") -> None:
-    """The source format: one JSON array in one file, which one task must hold
-    (interchange of vocabularies); use :func:`write_terms` at scale."""
-    t = df.select(F.col(col).alias("term")).distinct()
-    arr = t.agg(F.to_json(F.array_sort(F.collect_list("term"))).alias("value"))
-    arr.coalesce(1).write.mode("overwrite").text(path)
+    """The source format: the sorted unique terms as one JSON array, parted by
+    spaces.  Many tasks write a part each of a large vocabulary; the parts put
+    together in the order of their names are the array.  Null terms are left out."""
+    t = df.select(F.col(col).alias("term")).where(F.col("term").isNotNull()).distinct()
+    quoted = F.to_json(F.array("term"))
+    element = F.substring(quoted, 2, F.length(quoted) - 2)
+    lead = F.when(F.col("term") == F.col("_first"), "").otherwise(",")
+    first = t.agg(F.min("term").alias("_first"))
+    elements = t.crossJoin(F.broadcast(first)).select(F.lit(1).alias("place"), "term", F.concat(lead, element).alias("value"))
+    ends = df.sparkSession.createDataFrame([(0, "", "["), (2, "", "]")], "place int, term string, value string")
+    elements.union(ends).orderBy("place", "term").select("value").write.mode("overwrite").text(path, lineSep=" ")
 
 
 def read_terms(spark: SparkSession, path: str, array_file: bool = False) -> DataFrame:
-    """Distinct terms from JSON lines, or from JSON array files."""
+    """Distinct terms from JSON lines, or from JSON array files, each whole or
+    a part of :func:`write_terms_array`."""
     if array_file:
         raw = spark.read.option("wholetext", "true").text(path)
-        t = raw.select(F.explode(F.from_json("value", "array<string>")).alias("term"))
+        v = F.regexp_replace("value", r"^\s+|\s+$", "")
+        v = F.when(v.startswith("["), v).otherwise(F.concat(F.lit("["), F.regexp_replace(v, "^,", "")))
+        v = F.when(v.endswith("]"), v).otherwise(F.concat(v, F.lit("]")))
+        t = raw.select(F.explode(F.from_json(v, "array<string>")).alias("term"))
     else:
         t = spark.read.schema("term STRING").json(path)
     return t.where(F.col("term").isNotNull()).distinct()
