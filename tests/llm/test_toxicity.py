@@ -75,3 +75,13 @@ def test_odd_documents_and_labels(spark):
     assert [text[s.start:s.end].strip() for s in by[2].offending] == ["Alpha beta gamma delta."] * 2
     assert toxicity.score_documents(no_documents(spark), real).collect() == []
     assert toxicity.fit_on(no_documents(spark), labels).prior == 0.0
+
+
+def test_repeated_rows_reach_the_driver_once(spark, monkeypatch):
+    rows = [(1, "b vile.")] * 500 + [(1, "a vile.")] * 20 + [(1, "x" * 50), (2, "clean."), (3, "other."), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    given = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: given.extend(zip(texts, labels)))
+    toxicity.fit_on(docs, labels, max_chars=20)
+    assert given == [("a vile.", 1), ("clean.", 0), ("other.", 0)]

@@ -130,13 +130,15 @@ def fit_on(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     """A model of a sample of labelled documents: of each label the
     ``max_docs`` of smallest hashed id, and of those the ones of at most
     ``max_chars`` characters, so at most 2 * max_docs * max_chars characters
-    reach the driver.  ``labels`` holds the rows that may be learnt from."""
+    reach the driver.  Of rows with the same id the smallest such text is
+    taken, once.  ``labels`` holds the rows that may be learnt from."""
     known = label_of(labels, label_col, id_col)
     order = F.xxhash64(F.lit(seed), F.col(id_col))
     picked = [known.where(F.col("label") == y).orderBy(order, id_col).limit(max_docs) for y in (0, 1)]
     sample = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
               .join(F.broadcast(picked[0].union(picked[1]).withColumnRenamed(id_col, "id")), "id")
-              .where(F.char_length("text") <= max_chars).select("id", "text", "label").toPandas()
+              .where(F.char_length("text") <= max_chars)
+              .groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")).toPandas()
               .sort_values(["id", "text"]))
     return fit(sample["text"].tolist(), sample["label"].tolist())
 
