@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlens.llm import (bpe, line_dedup, mixing, neighbours, quality, repetition, sharding, simhash, substrings,
+from textlens.llm import (alignment, bisectors, bpe, line_dedup, mixing, neighbours, quality, repetition, sharding, simhash, substrings,
                           toxicity)
 from textlens.llm.common import crc_fold
 
@@ -89,6 +89,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op12_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, centroids = bisectors.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+    digests = F.array(*[F.lit(d) for d in centroids.digests()]).cast("array<string>")
+    return rows.withColumn("centroid_sha256", F.get(digests, F.col("cluster")))
+
+
+def op13_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                                  public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN, with_groups=False)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,8 +109,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = (op1_byte_bpe, op2_substring_dedup, op3_repetition_rules, op4_toxicity, op5_mix_sources,
-            op6_nearest_vectors, op7_line_dedup, op8_simhash, op9_shuffle_shards, op10_quality_classifier, passage_dedup,
-            pipeline)
+            op6_nearest_vectors, op7_line_dedup, op8_simhash, op9_shuffle_shards, op10_quality_classifier,
+            op12_bisector_clusters, op13_align_tokenizers, passage_dedup, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -106,4 +119,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_substring_dedup": substrings.ORACLE, "op5_mix_sources": mixing.ORACLE,
-            "op7_line_dedup": line_dedup.ORACLE}
+            "op7_line_dedup": line_dedup.ORACLE, "op12_bisector_clusters": bisectors.oracle()}
