@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlens.llm import (alignment, bisectors, bpe, line_dedup, mixing, neighbours, quality, repetition, sharding, simhash, substrings,
-                          toxicity)
+                          suffixes, toxicity)
 from textlens.llm.common import crc_fold
 
 
@@ -89,6 +89,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_bytes(_documents(spark, sf_dir), with_text=False)
+
+
 def op12_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, centroids = bisectors.cluster_vectors(_table(spark, sf_dir, "embeddings"))
     digests = F.array(*[F.lit(d) for d in centroids.digests()]).cast("array<string>")
@@ -110,7 +114,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (op1_byte_bpe, op2_substring_dedup, op3_repetition_rules, op4_toxicity, op5_mix_sources,
             op6_nearest_vectors, op7_line_dedup, op8_simhash, op9_shuffle_shards, op10_quality_classifier,
-            op12_bisector_clusters, op13_align_tokenizers, passage_dedup, pipeline)
+            op11_suffix_dedup, op12_bisector_clusters, op13_align_tokenizers, passage_dedup, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
