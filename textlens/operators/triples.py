@@ -118,12 +118,3 @@ def ingest_progress(triples: DataFrame, batch_col: str, order_cols: Sequence[str
     capped = F.least(total, F.lit(n))
     return run.select(batch_col, "parsed", (capped - before).alias("added"), capped.alias("total"),
                       (capped >= n).alias("target_reached"))
-
-
-def append_new_triples(existing: DataFrame | None, batch: DataFrame, order_cols: Sequence[str]) -> DataFrame:
-    """Rows of ``batch`` whose key is not in ``existing``, first arrival per key."""
-    firsts = first_arrivals(batch, order_cols).select(*TRIPLE_COLS)
-    if existing is None:
-        return firsts
-    keys = existing.select(*TRIPLE_COLS[:3]).distinct()
-    return firsts.join(keys, TRIPLE_COLS[:3], "left_anti")

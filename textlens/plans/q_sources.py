@@ -80,7 +80,7 @@ SELECT term, explanation FROM v_terms
 UNION ALL SELECT term, explanation FROM n WHERE rn = 1 AND term NOT IN (SELECT term FROM v_terms)
 """, "v_spans", "v_terms"))
 def s07(spark, sf):
-    table = IO.TermTable(spark, scratch_dir(spark, "termtable")).create_if_missing()
+    table = IO.TermTable(spark, scratch_dir(spark, "termtable"), n_buckets=8).create_if_missing()
     table.merge_ignore(view(spark, sf, "v_terms").withColumn("_o", F.lit(0)), ["_o"])
     sp = view(spark, sf, "v_spans")
     table.merge_ignore(sp.select(F.col("word").alias("term"),
@@ -97,8 +97,8 @@ SELECT source_concept, relation_type, target_concept, weight FROM r WHERE rn = 1
 def s08(spark, sf):
     path = scratch_dir(spark, "triples")
     t = q_triples.parsed(spark, sf)
-    IO.append_triples(spark, t.where(F.col("batch_id") < 25), path, q_triples.ORDER)
-    IO.append_triples(spark, t.where(F.col("batch_id") >= 25), path, q_triples.ORDER)
+    IO.append_triples(spark, t.where(F.col("batch_id") < 25), path, q_triples.ORDER, n_buckets=8)
+    IO.append_triples(spark, t.where(F.col("batch_id") >= 25), path, q_triples.ORDER, n_buckets=8)
     return IO.read_triples(spark, path)
 
 

@@ -53,7 +53,7 @@ def r01(spark, sf):
     _stage_in_order(spark, lines.withColumn("_batch", F.col("batch_id")), "_batch", src)
     ST.stream_triples(spark, src, f"{root}/sink", f"{root}/checkpoint",
                       "batch_id BIGINT, line_no BIGINT, line STRING", "line", q_triples.ORDER,
-                      target=q_triples.N_TARGET, files_per_trigger=5)
+                      target=q_triples.N_TARGET, files_per_trigger=5, n_buckets=8)
     return ST.read_stream_triples(spark, f"{root}/sink", q_triples.ORDER)
 
 

@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlens.operators.entities import new_keys
 from textlens.operators.prep import binarize_label, dialogue_text, safe_cast
-from textlens.operators.triples import TRIPLE_COLS, append_new_triples
+from textlens.operators.triples import TRIPLE_COLS
+from textlens.sources.keystore import KeyStore
 
 # The tokens pandas' CSV reader turns into missing values.
 PANDAS_NA = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -28,18 +27,28 @@ _CSV = {"header": "true", "quote": '"', "escape": '"',
 
 def _csv(multi_line: bool) -> dict:
     """CSV options.  Fields with line breaks need ``multi_line``, and then a
-    file is one task's work: a large one should be written in many parts (as
-    Spark's writer does) or as Parquet.  Without it files are split."""
+    file is one task's work.  Without it files are split at line ends."""
     return {**_CSV, "multiLine": str(multi_line).lower()}
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a dataset folder exists (the reader lists it eagerly)."""
-    try:
-        spark.read.format("text").load(path)
-        return True
-    except AnalysisException:
-        return False
+#: A file up to this size may be one task's work.
+MAX_ONE_TASK_BYTES = 256 << 20
+
+
+def _headered_csv(spark: SparkSession, path: str, multi_line: bool, max_file_bytes: int) -> DataFrame:
+    """The columns of a headered CSV by name, as strings.  With ``multi_line``
+    every file is one task's work, so a file beyond ``max_file_bytes`` is an
+    error that names it: such data belong in many files (as Spark's writer
+    makes them), or are read with ``multi_line=False`` if no field holds a line
+    break."""
+    if multi_line:
+        # the listing alone: lengths and no content
+        large = (spark.read.format("binaryFile").load(path).where(F.col("length") > max_file_bytes)
+                 .select("path", "length").orderBy("path").limit(3).collect())
+        if large:
+            names = ", ".join(f"{r.path} ({r.length} bytes)" for r in large)
+            raise ValueError(f"too large to be read with multi_line=True, one task a file: {names}")
+    return spark.read.options(**_csv(multi_line)).option("inferSchema", "false").csv(path)
 
 
 # ---------------------------------------------------------------- S01
@@ -82,12 +91,15 @@ def bad_dialogue_lines(spark: SparkSession, path: str) -> DataFrame:
 
 # ---------------------------------------------------------------- S03 / S05
 def read_labeled_csv(spark: SparkSession, path: str, extra_labels: Sequence[str] = (),
-                     multi_line: bool = True) -> DataFrame:
+                     multi_line: bool = True, max_file_bytes: int = MAX_ONE_TASK_BYTES) -> DataFrame:
     """Headered RFC-4180 CSV (quotes doubled, embedded newlines) ->
     ``(text, label, *extra_labels)``.  Columns are found by header name (any
     order, other columns pruned, no inference pass); labels go through the
-    guarded integer cast.  An empty field is NULL, as in pandas' reader."""
-    raw = spark.read.options(**_csv(multi_line)).option("inferSchema", "false").csv(path)
+    guarded integer cast.  An empty field is NULL, as in pandas' reader.
+
+    Fields may hold line breaks, so a file is one task's work, and one beyond
+    ``max_file_bytes`` is refused; ``multi_line=False`` splits files of any size."""
+    raw = _headered_csv(spark, path, multi_line, max_file_bytes)
     labels = ["label", *extra_labels]
     return raw.select(F.col("text"), *[safe_cast(c, "int").alias(c) for c in labels])
 
@@ -99,12 +111,13 @@ def write_labeled_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None
 
 # ---------------------------------------------------------------- S04
 def read_text_column(spark: SparkSession, path: str, col: str = "text", na: Sequence[str] = PANDAS_NA,
-                     multi_line: bool = True) -> DataFrame:
+                     multi_line: bool = True, max_file_bytes: int = MAX_ONE_TASK_BYTES) -> DataFrame:
     """Only the text column of a headered CSV; pandas missing-value tokens
-    become NULL and missing texts are dropped."""
+    become NULL and missing texts are dropped.  ``multi_line`` as in
+    :func:`read_labeled_csv`."""
     # Column chosen by header name (no inference: every column is a string),
     # and the CSV parser prunes the others.
-    raw = spark.read.options(**_csv(multi_line)).option("inferSchema", "false").csv(path).select(col)
+    raw = _headered_csv(spark, path, multi_line, max_file_bytes).select(col)
     c = F.when(F.col(col).isin(list(na)), None).otherwise(F.col(col))
     return raw.select(c.alias(col)).where(F.col(col).isNotNull())
 
@@ -145,49 +158,65 @@ def read_terms(spark: SparkSession, path: str, array_file: bool = False) -> Data
 
 # ---------------------------------------------------------------- S07
 class TermTable:
-    """Keyed term store on a parquet directory.  ``merge_ignore`` appends only
-    keys not yet stored (INSERT OR IGNORE), never rewriting existing files."""
+    """Keyed term store in hash buckets (:class:`KeyStore`).  ``merge_ignore``
+    appends only keys not yet stored (INSERT OR IGNORE); it and ``lookup`` read
+    the buckets of the given terms, ``get`` the files that can hold them."""
 
     SCHEMA = "term STRING NOT NULL, explanation STRING NOT NULL"
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, n_buckets: int = 64):
+        self.store = KeyStore(spark, path, self.SCHEMA, ["term"], n_buckets)
 
     def exists(self) -> bool:
-        return _path_exists(self.spark, self.path)
+        return bool(self.store.commits())
 
     def create_if_missing(self) -> TermTable:
         if not self.exists():
-            self.spark.createDataFrame([], self.SCHEMA).write.mode("append").parquet(self.path)
+            self.store.append(self.store.read(), ["term"], commit=0)
         return self
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        return self.store.read()
+
+    def count(self) -> int:
+        return self.store.count()
 
     def lookup(self, terms: DataFrame, col: str = "term") -> DataFrame:
-        return terms.join(self.read(), terms[col] == F.col("term"), "left")
+        """``terms`` with ``term`` and ``explanation`` of the stored term that
+        equals ``col``, null where there is none."""
+        stored = self.store.touched(terms.select(F.col(col).alias("term")))
+        return terms.join(stored, terms[col] == stored["term"], "left")
+
+    def get(self, terms: Sequence[str]) -> DataFrame:
+        return self.store.get(terms)
 
     def merge_ignore(self, new: DataFrame, order: Sequence[str]) -> None:
-        """Append the first row of each key not stored yet (one job; the
-        stored files are listed before the write, so the new files of this
-        job never see themselves)."""
-        self.create_if_missing()
-        new_keys(self.read(), new, "term", order).write.mode("append").parquet(self.path)
+        """Append the first row of each key not stored yet."""
+        self.store.append(new.where(F.col("term").isNotNull()), order)
 
 
 # ---------------------------------------------------------------- S08
-def append_triples(spark: SparkSession, batch: DataFrame, path: str, order: Sequence[str]) -> None:
-    """Append a batch of triples to a headered CSV directory, only keys not
-    stored yet (first arrival per key inside the batch)."""
-    existing = read_triples(spark, path) if _path_exists(spark, path) else None
-    new = append_new_triples(existing, batch, order)
-    new.write.mode("append").options(**_CSV).csv(path)
+_TRIPLE_DDL = "source_concept STRING, relation_type STRING, target_concept STRING, weight DOUBLE"
+
+
+def triple_store(spark: SparkSession, path: str, n_buckets: int = 64) -> KeyStore:
+    """Headered CSV files of triples in hash buckets; the first three columns are the key."""
+    return KeyStore(spark, path, _TRIPLE_DDL, TRIPLE_COLS[:3], n_buckets, "csv", _CSV)
+
+
+def append_triples(spark: SparkSession, batch: DataFrame, path: str, order: Sequence[str], n_buckets: int = 64) -> None:
+    """Append a batch of triples to a store of headered CSV files, only keys not
+    stored yet (first arrival per key inside the batch), reading only the buckets of the batch's keys."""
+    triple_store(spark, path, n_buckets).append(batch, [*order, "weight"])
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
-    ddl = "source_concept STRING, relation_type STRING, target_concept STRING, weight DOUBLE"
+    """The triples of :func:`append_triples`, or of any folder of such CSV files."""
+    store = triple_store(spark, path)
+    if store.commits():
+        return store.read().select(*TRIPLE_COLS)
     # concepts come from single lines, so no field holds a line break
-    return spark.read.options(**_csv(False)).schema(ddl).csv(path).select(*TRIPLE_COLS)
+    return spark.read.options(**_csv(False)).schema(_TRIPLE_DDL).csv(path).select(*TRIPLE_COLS)
 
 
 # ---------------------------------------------------------------- S09

@@ -2,10 +2,11 @@
 
 R01: generator responses arrive as files; each micro-batch is parsed (T01),
 reduced to the first arrival per key, stripped of keys already stored and,
-where a target is given, capped by the remaining quota; ``foreachBatch`` writes it to the folder
-``epoch=<batchId>`` with overwrite, so a replayed batch replaces its own
-output (idempotent).  The key set lives in the stored table, not in the
-state store, so state does not grow with the data.
+where a target is given, capped by the remaining quota; ``foreachBatch`` adds it to a key
+store as the commit ``batchId``, and a commit that is listed is not written
+again (idempotent).  The key set lives in the stored buckets, not in the
+state store, so state does not grow with the data, and a batch reads only the
+buckets of its own keys.
 
 R02: running per-worker request statistics as a streaming aggregation in
 ``complete`` mode; the state store holds one row per worker.
@@ -21,38 +22,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlens.operators.triples import TRIPLE_COLS, first_arrivals, parse_triples
-from textlens.sources.io import _path_exists
+from textlens.sources.keystore import KeyStore
 
 
-def _stored(spark: SparkSession, sink: str, schema: str, skip_epoch: int) -> DataFrame | None:
-    if not _path_exists(spark, sink):
-        return None
-    return spark.read.schema(schema).parquet(sink).where(F.col("epoch") != skip_epoch)
+def triple_sink(spark: SparkSession, sink_dir: str, order_cols: Sequence[str], n_buckets: int = 64) -> KeyStore:
+    """The sink of :func:`stream_triples`: triples and their arrival, by key."""
+    schema = ", ".join(["source_concept STRING", "relation_type STRING", "target_concept STRING", "weight DOUBLE",
+                        *[f"{c} BIGINT" for c in order_cols]])
+    return KeyStore(spark, sink_dir, schema, TRIPLE_COLS[:3], n_buckets)
 
 
 def stream_triples(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, source_schema: str,
                    raw_col: str, order_cols: Sequence[str], target: int | None = None,
-                   files_per_trigger: int = 1, fmt: str = "json") -> None:
+                   files_per_trigger: int = 1, fmt: str = "json", n_buckets: int = 64) -> None:
     """Run the ingestion stream until the available input is consumed.
 
     Several files may share a micro-batch: inside a batch rows are taken in
     arrival order (``order_cols``), so the result does not depend on
-    ``files_per_trigger``."""
+    ``files_per_trigger``.  A micro-batch reads the buckets that its keys fall
+    into, and the stored count from the sink's commit list."""
     keep = [c for c in order_cols if c != "line_idx"]
     order = list(order_cols)
-    sink_schema = ", ".join(["source_concept STRING", "relation_type STRING", "target_concept STRING",
-                             "weight DOUBLE", *[f"{c} BIGINT" for c in order], "epoch INT"])
+    sink = triple_sink(spark, sink_dir, order, n_buckets)
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        stored = _stored(spark, sink_dir, sink_schema, epoch)
-        out = f"{sink_dir}/epoch={epoch}"
         firsts = first_arrivals(parse_triples(batch, raw_col, keep=keep), order)
-        if stored is not None:
-            firsts = firsts.join(stored.select(*TRIPLE_COLS[:3]), TRIPLE_COLS[:3], "left_anti")
-        if target is not None:
-            have = stored.count() if stored is not None else 0  # Parquet footers only
-            firsts = firsts.orderBy(*order, *TRIPLE_COLS[:3]).limit(max(target - have, 0))
-        firsts.select(*TRIPLE_COLS, *[F.col(c).cast("long") for c in order]).write.mode("overwrite").parquet(out)
+        quota = None if target is None else target - sink.count()
+        sink.append(firsts, [*order, "weight"], commit=epoch, limit=quota)
 
     stream = (spark.readStream.schema(source_schema).option("maxFilesPerTrigger", files_per_trigger)
               .format(fmt).load(source_dir))
@@ -62,9 +58,7 @@ def stream_triples(spark: SparkSession, source_dir: str, sink_dir: str, checkpoi
 
 
 def read_stream_triples(spark: SparkSession, sink_dir: str, order_cols: Sequence[str]) -> DataFrame:
-    schema = ", ".join(["source_concept STRING", "relation_type STRING", "target_concept STRING",
-                        "weight DOUBLE", *[f"{c} BIGINT" for c in order_cols], "epoch INT"])
-    return spark.read.schema(schema).parquet(sink_dir).drop("epoch")
+    return triple_sink(spark, sink_dir, order_cols).read()
 
 
 def stream_request_stats(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str, source_schema: str,
