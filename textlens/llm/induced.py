@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import numpy as np
 
+_ZERO = np.zeros(1, np.int64)
+
 
 def _types(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next; the sentinel at the end is."""
@@ -35,33 +37,35 @@ def _scan(code: np.ndarray, sa: np.ndarray, places: np.ndarray, smaller: int) ->
     while 0 <= at < n:
         block = sa[at::step][:size]
         done = len(block)
-        rank = np.flatnonzero(block > 0)
-        left = block[rank] - 1
-        of = code[left]
-        rank = rank[(of & 1) == smaller]
-        if len(rank):
-            left = block[rank] - 1
-            bucket = code[left] >> 1
+        rank = (block > 0).nonzero()[0]
+        left = block.take(rank) - 1
+        of = code.take(left)
+        take = ((of & 1) == smaller).nonzero()[0]
+        if len(take):
+            bucket = of.take(take) >> 1
             order = bucket.argsort(kind="stable")
-            bucket = bucket[order]
-            head = np.empty(len(bucket), bool)
-            head[0] = True
-            np.not_equal(bucket[1:], bucket[:-1], out=head[1:])
-            heads = np.flatnonzero(head)
-            within = np.arange(len(bucket))
-            within -= heads[head.cumsum() - 1]
-            free = places[bucket[heads]]
+            bucket = bucket.take(order)
+            order = take.take(order)
+            left = left.take(order)
+            heads = np.concatenate([_ZERO, (bucket[1:] != bucket[:-1]).nonzero()[0] + 1])
+            symbols = bucket.take(heads)
+            free = places.take(symbols)
+            count = np.empty(len(heads), np.int64)
+            np.subtract(heads[1:], heads[:-1], out=count[:-1])
+            count[-1] = len(bucket) - heads[-1]
+            # each goes to the free place of its bucket, the next ones behind it
+            land = (free - step * heads).repeat(count)
+            land += step * np.arange(len(bucket))
             # in front of the first place that this block fills itself
             nearest = int((free.min() - at) if step > 0 else (at - free.max()))
-            land = places[bucket] + step * within
-            left = left[order]
             if nearest < done:
                 done = nearest
-                keep = rank[order] < done
+                keep = rank.take(order) < done
                 bucket, left, land = bucket[keep], left[keep], land[keep]
+                places[bucket] = land + step  # the last one placed of each bucket leaves its next free place
+            else:
+                places[symbols] = free + step * count
             sa[land] = left
-            # the last one placed of each bucket leaves its next free place
-            places[bucket] = land + step
         at += step * done
         size = max(256, size // 2) if 4 * done < size else min(2 * size, 1 << 15) if done >= size else size
 

@@ -330,7 +330,7 @@ def removed_bytes(chunk: Chunk, marked: dict[int, bytes], found: list[bytes], pa
 
 def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 20,
                    with_text: bool = True, chunk_bytes: int = 8 << 20, part_bytes: int = 64 << 20,
-                   shard_bytes: int = 16 << 20, batch_bytes: int = 8 << 20, hot_key: int = 1 << 16) -> DataFrame:
+                   shard_bytes: int = 16 << 20, batch_bytes: int = 4 << 20, hot_key: int = 1 << 16) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``n_bytes`` of the text in
     UTF-8, ``n_removed`` bytes, ``n_spans`` (maximal removed runs),
     ``kept_sha256`` of the bytes that remain and, if asked, ``spans`` (start
