@@ -55,6 +55,6 @@ def test_stages_keep_the_columns_of_odd_documents(spark):
 
 def test_registered_under_their_names():
     names = set(queries())
-    assert names <= set(entry.queries()) and set(entry.oracle_sql()) >= {n for n in ("op2_substring_dedup", "op5_mix_sources", "op7_line_dedup")}
+    assert names <= set(entry.queries()) and set(entry.oracle_sql()) >= {n for n in ("op5_mix_sources", "op7_line_dedup", "op12_bisector_clusters")}
     assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} >= {*range(1, 14)} and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "source_mixing", "byte_bpe"]

@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from textlens.llm import substrings
-from textlens.llm.queries import op2_substring_dedup, passage_dedup
+from textlens.llm.queries import op2_substring_dedup, sentence_dedup
 
 from .helpers import SF, ascii_lower, no_documents, odd_documents, same_as_sql
 
@@ -31,8 +31,8 @@ def brute(rows, unit="sentence", min_words=20):
     return out
 
 
-def test_matches_sql(spark):
-    same_as_sql(op2_substring_dedup(spark, SF), substrings.ORACLE)
+def test_sentences_match_sql(spark):
+    same_as_sql(sentence_dedup(spark, SF), substrings.ORACLE)
 
 
 def test_units_cover_the_text():
@@ -134,7 +134,7 @@ def test_passages_against_repeated_windows(spark):
 
 def test_passages_of_the_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    spans = passage_dedup(spark, SF).collect()
+    spans = op2_substring_dedup(spark, SF).collect()
     wrong, stretches, missed, _ = against_windows(rows, spans)
     assert (wrong, missed) == (0, 0) and stretches
     assert len(spans) == len({(r.doc_id, r.start) for r in spans})
@@ -148,3 +148,64 @@ def test_passages_of_odd_documents(spark):
     assert substrings.remove_spans(docs, spans).columns == docs.columns
     assert substrings.remove_spans(docs, spans).count() == docs.count()
     assert substrings.repeated_passages(no_documents(spark)).collect() == []
+
+
+def plain_passages(rows, min_words=20):
+    """The query by loops: [(id, start, end)] of the union of all later stretches; the borders are cut_passages' own."""
+    seen, out = {}, []
+    for i, t in sorted({(i, t) for i, t in rows if t}, key=lambda r: (r[0] is not None, r[0] or 0)):
+        _, first, last, word, word_end, keys = substrings.cut_passages([t.encode()], min_words)
+        later = []
+        for a, b, w, v, k in sorted(zip(first, last, word, word_end, keys, strict=True)):
+            if k not in seen:
+                seen[k] = (i, t, b, v)
+                continue
+            j, u, e, f = seen[k]
+            if (j, u) == (i, t):
+                a, w = max(a, e), max(w, f)
+            if w < v:
+                later.append((a, b, w, v))
+        spans = []
+        for a, b, w, v in sorted(later):
+            if spans and a <= spans[-1][1]:
+                s = spans[-1]
+                spans[-1] = (s[0], max(s[1], b), min(s[2], w), max(s[3], v))
+            else:
+                spans.append((a, b, w, v))
+        points = lambda k: len(t.encode()[:k].decode())
+        out += [(i, points(a), points(b)) for a, b, w, v in spans if v - w >= min_words]
+    return sorted(out)
+
+
+def test_the_whole_query_against_loops(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = sorted((r.doc_id, r.start, r.end) for r in op2_substring_dedup(spark, SF).collect())
+    assert got == plain_passages(rows) and len(got) > 50
+    rows = pasted(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.start, r.end) for r in substrings.repeated_passages(df).collect()) == plain_passages(rows)
+
+
+def test_one_document_repeated_ten_thousand_times(spark):
+    rows = pasted(5)[:30]
+    many = spark.createDataFrame(rows, "doc_id long, text string").unionByName(
+        spark.range(10_000).selectExpr("7L AS doc_id").crossJoin(spark.createDataFrame([(rows[7][1],)], "text string")))
+    for find in (substrings.repeated_passages, substrings.repeated_spans):
+        once = find(spark.createDataFrame(rows, "doc_id long, text string"))
+        df = find(many)
+        assert sorted(map(tuple, df.collect())) == sorted(map(tuple, once.collect())) != []
+        # below the exchange that brings a document together its rows are combined
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" not in plan
+        lines = find(many)._jdf.queryExecution().executedPlan().toString().split("\n")
+        sent = [i for i, x in enumerate(lines) if "Exchange hashpartitioning(id" in x]
+        assert len(sent) == 1 and "partial_collect_set" in lines[sent[0] + 1]
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(4)
+    long = " ".join(f"w{rng.randrange(10**9)}" for _ in range(2_000_000))
+    words = long.split(" ")
+    rows = [(1, "a b c " + " ".join(words[1_000_000:1_000_100]) + " d e"), (2, long), (3, long)]
+    spans = sorted((r.doc_id, r.n_words) for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [i for i, _ in spans] == [2, 3] and 70 <= spans[0][1] <= 100 and spans[1][1] == 2_000_000

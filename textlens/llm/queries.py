@@ -32,13 +32,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Removed spans; sentences as units, because passages stand in mid-line."""
-    return substrings.repeated_spans(_documents(spark, sf_dir)).drop("text_hash")
+    """Removed spans of passages, wherever they begin and end."""
+    return substrings.repeated_passages(_documents(spark, sf_dir)).drop("text_hash")
 
 
-def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Removed spans of passages that begin and end anywhere (op2's SQL is for sentences)."""
-    return substrings.repeated_passages(_documents(spark, sf_dir)).drop("text_hash")
+def sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removed spans with whole sentences as units."""
+    return substrings.repeated_spans(_documents(spark, sf_dir)).drop("text_hash")
 
 
 def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +114,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (op1_byte_bpe, op2_substring_dedup, op3_repetition_rules, op4_toxicity, op5_mix_sources,
             op6_nearest_vectors, op7_line_dedup, op8_simhash, op9_shuffle_shards, op10_quality_classifier,
-            op11_suffix_dedup, op12_bisector_clusters, op13_align_tokenizers, passage_dedup, pipeline)
+            op11_suffix_dedup, op12_bisector_clusters, op13_align_tokenizers, sentence_dedup, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -122,5 +122,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": substrings.ORACLE, "op5_mix_sources": mixing.ORACLE,
+    return {"sentence_dedup": substrings.ORACLE, "op5_mix_sources": mixing.ORACLE,
             "op7_line_dedup": line_dedup.ORACLE, "op12_bisector_clusters": bisectors.oracle()}

@@ -1,22 +1,25 @@
 """Substring de-duplication by hashing units of text.
 
-A text is cut into units, without gaps: lines, paragraphs, or sentences inside
-lines.  A unit's words, A-Z lower-cased and without sentence ends, are hashed
-(128 bits); digests are grouped globally, the earliest occurrence by (id, text,
-position) is kept, and later ones are removed where a run of neighbouring
-units, each seen before, has at least ``min_words`` words.  Runs make short
-units safe: a two-word sentence found everywhere is no passage by itself, but
-it belongs to one between its neighbours.
+Units are hashed (128 bits, of their words, A-Z lower-cased and without
+sentence ends); digests are grouped globally, the earliest occurrence by (id,
+text, position) is kept and later ones are removed, with their places in the
+original text.  There are two kinds:
+
+* :func:`repeated_passages` (the query): units are stretches of ``min_words``
+  words or a few more, from one border to another.  Borders hang on the nearby
+  words alone, so copies are cut alike whatever stands around them, and a passage
+  pasted in mid-sentence is found.  Each unit removed stands word for word at one
+  earlier place.
+* :func:`repeated_spans`: units are lines, paragraphs, or sentences inside lines,
+  which cover the text without gaps.  Such a unit may be short and found
+  everywhere, so later ones are removed only in runs of neighbouring units, each
+  seen before, with at least ``min_words`` words.  The units of a run may have
+  been seen at different places, and what is glued to a passage's edge is kept.
 
 Grouping combines before its shuffle, so a digest found in a third of all
 units is one row per task; the join that flags later occurrences splits a hot
-digest by adaptive skew handling.  What is removed is returned as spans of
-the original text.
-
-Such units miss a passage pasted in mid-sentence.  :func:`repeated_passages`
-cuts at borders that depend on the nearby words alone, so copies are cut alike
-whatever stands around them, and hashes the stretch of ``min_words`` words or
-a few more that begins at each border.
+digest by adaptive skew handling; rows repeated in id and text are combined in
+each task before a document's units are brought together.
 """
 
 from __future__ import annotations
@@ -88,6 +91,14 @@ def split_units(docs: DataFrame, unit: str, id_col: str, text_col: str) -> DataF
     return rows.mapInArrow(run, f"id {kind}, text_hash long, unit int, start int, end int, n_words int, h1 long, h2 long")
 
 
+def _once(later: DataFrame) -> DataFrame:
+    """Rows of one document (id and text), each once however often the document
+    stands in the table: every task keeps a document's rows once before they are sent
+    to one place, so a row that a third of the table repeats costs one set a task."""
+    rest = F.struct(*[c for c in later.columns if c not in _KEY])
+    return later.groupBy(*_KEY).agg(F.collect_set(rest).alias("rows")).select(*_KEY, F.inline("rows"))
+
+
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence",
                    min_words: int = 20) -> DataFrame:
     """One row per span to remove: ``id_col``, ``text_hash`` (xxhash64 of the
@@ -107,8 +118,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # written: its measured size decides the join, and a hot digest of the units can be split there
     first = staged(first, "first-occurrences")
     later = units.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    later = later.select(*_KEY, "unit", "start", "end", "n_words", F.col("first.id").alias("first")).repartition(*_KEY)
-    later = later.dropDuplicates([*_KEY, "unit"])
+    later = _once(later.select(*_KEY, "unit", "start", "end", "n_words", F.col("first.id").alias("first")))
     run = F.col("unit") - F.row_number().over(Window.partitionBy(*_KEY).orderBy("unit"))
     spans = later.withColumn("run", run).groupBy(*_KEY, "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_units"),
@@ -238,7 +248,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     later = later.select(*_KEY, F.when(own, F.greatest("start", "first.end")).otherwise(F.col("start")).alias("start"), "end",
                          F.when(own, F.greatest("word", "first.word_end")).otherwise(F.col("word")).alias("word"), "word_end",
                          F.col("first.id").alias("first"))
-    later = later.where("word < word_end").repartition(*_KEY).dropDuplicates([*_KEY, "start", "end"])
+    later = _once(later.where("word < word_end"))
     order = Window.partitionBy(*_KEY).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     apart = later.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))

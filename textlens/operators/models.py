@@ -39,7 +39,9 @@ def feature_stages(text_col: str = "text", extra_cols: Sequence[str] = (), num_f
 def train_classifier(train: DataFrame, text_col: str = "text", label_col: str = "label",
                      extra_cols: Sequence[str] = (), max_iter: int = 50, reg: float = 0.01,
                      num_features: int = NUM_FEATURES) -> PipelineModel:
-    """Fit features + binary logistic regression; save with ``model.write()``."""
+    """Fit features + binary logistic regression; kept by :func:`save_model`.
+    :func:`textlens.operators.training.train_joint` trains with evaluation
+    steps and checkpoints instead."""
     lr = LogisticRegression(featuresCol="features", labelCol=label_col, maxIter=max_iter, regParam=reg)
     data = train.where(F.col(label_col).isNotNull()).withColumn(label_col, F.col(label_col).cast("double"))
     cols = [text_col, label_col, *extra_cols]
@@ -50,6 +52,16 @@ def train_classifier(train: DataFrame, text_col: str = "text", label_col: str =
         data.unpersist()
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    """Write the fitted pipeline, all its stages, to a folder; an older one there is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    """The pipeline that :func:`save_model` wrote, ready to predict."""
+    return PipelineModel.load(path)
+
+
 def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """``keep`` columns + ``p_positive`` and ``prediction`` (0/1)."""
     out = model.transform(df)
@@ -79,10 +91,11 @@ def predict_multitask(feats: PipelineModel, heads: Mapping, df: DataFrame, label
                       id_col: str) -> DataFrame:
     """Long predictions ``(id, task, y, p, yhat)`` for the metric operators."""
     x = feats.transform(df)
-    out = None
-    for task, head in heads.items():
-        p = head.transform(x).select(
-            id_col, F.lit(task).alias("task"), F.col(label_cols[task]).cast("int").alias("y"),
-            F.get(vector_to_array("probability"), 1).alias("p"), F.col("prediction").cast("int").alias("yhat"))
-        out = p if out is None else out.unionByName(p)
-    return out
+    # one pass: every head adds its columns to the same rows
+    given = []
+    for i, (task, head) in enumerate(heads.items()):
+        head = head.copy({head.probabilityCol: f"_p{i}", head.predictionCol: f"_yhat{i}", head.rawPredictionCol: f"_raw{i}"})
+        x = head.transform(x)
+        given.append(F.struct(F.lit(task).alias("task"), F.col(label_cols[task]).cast("int").alias("y"),
+                              F.get(vector_to_array(f"_p{i}"), 1).alias("p"), F.col(f"_yhat{i}").cast("int").alias("yhat")))
+    return x.select(id_col, F.inline(F.array(*given)))
