@@ -1,3 +1,6 @@
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -55,9 +58,44 @@ def test_many_shards_and_blocks(spark):
     assert recall(got, truth) >= 0.9 and len(got) == 750
     index = neighbours.build_index(df.select(F.col("vec_id").cast("string").alias("node"), F.col("embedding").alias("vector")), shard_rows=200)
     assert index.count() == 1500  # every row is indexed
-    q = df.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
-    few, many = (sorted(map(tuple, neighbours.search_index(index, q, 3, block_rows=b).select("query", "node").collect())) for b in (1000, 20))
-    assert few == many
+    small = neighbours.nearest(df, F.col("vec_id") % 10 == 0, shard_bytes=20_000).collect()  # 10 shards by memory
+    assert recall(small, truth) >= 0.9
+
+
+def test_rows_sent_grow_in_proportion(spark):
+    """Four times the vectors: shards do not grow in number, so nodes and queries sent are four times as many."""
+    rng = np.random.default_rng(2)
+    sent = []
+    for n in (20_000, 80_000):
+        df = spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(2)]) for i in range(n)], "node long, vector array<double>")
+        shards = neighbours.shard_counts(df, 128 << 20, 4096).first().shards
+        sent.append(n + shards * (n // 50))
+    assert sent[1] == 4 * sent[0]
+    assert neighbours.shard_counts(df, 1 << 16, 4096).first().shards == -(-80_000 * 16 // (1 << 16))
+
+
+def test_large_and_tiny_components_rank_exactly(spark):
+    rows = [(2, [1e200, 2e200, 3e200]), (50, [1e200, 2e200, 3e200]), (3, [1e-200, 2e-200, 3e-200]), (4, [1e-310, 2e-310, 3.5e-310]),
+            (100, [1.0, 2.0, 3.0]), (5, [3.0, 2.0, 1.0]), (6, [1e308, -1e308, 1e308]), (7, [1e-200, 1e200, 0.0])]
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, k=7).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+
+    for q, found in got.items():
+        mine = dict(rows)[q]
+        want = sorted(((-_cosine(mine, v), i) for i, v in rows if i != q))
+        # parallel vectors tie but for the last digit of a rounding
+        assert sorted((-round(s, 12), i) for i, s in found) == sorted((round(s, 12), i) for s, i in want)
+        assert [s for _, s in found] == pytest.approx([-s for s, _ in want], abs=1e-15)
+    assert len(got) == 2 and got[50][0][1] == pytest.approx(1)
+
+
+def _cosine(a, b):
+    """In fractions up to the last root."""
+    a, b = ([Fraction(x) for x in v] for v in (a, b))
+    dot, norm = sum(x * y for x, y in zip(a, b)), sum(x * x for x in a) * sum(y * y for y in b)
+    square = dot * dot / norm
+    return (1 if dot >= 0 else -1) * math.sqrt(square)
 
 
 def test_copies_ties_and_bad_vectors(spark):

@@ -1,21 +1,29 @@
 """Approximate nearest neighbours on robust-pruned directed graphs.
 
-Equal vectors are one node.  Nodes are dealt into shards of about
-``shard_rows``; in each shard a graph is grown in batches of doubling size: a
-greedy (beam) search from the shard's centre proposes neighbours, pruning
-keeps the nearest and drops every candidate that a kept one brings
-``relax`` times closer, and the edges are added in both directions, pruned
-again where a node has too many.  The graphs are a table (one row per node).
-Every query walks every shard's graph by beam search; the best of all shards,
-rescored in double precision on the original vectors, are merged.
-
-Memory per task: one shard and one block of queries.
+Equal vectors are one node.  Nodes are dealt into shards; in each shard a
+graph is grown in batches of doubling size: a greedy (beam) search from the
+shard's centre proposes neighbours, pruning keeps the nearest and drops every
+candidate that a kept one brings ``relax`` times closer, and the edges are
+added in both directions, pruned again where a node has too many.  The graphs
+are a table (one row per node).  Every query walks every shard's graph by beam
+search; the best of all shards, rescored in double precision on the original
+vectors, are merged.
+
+A shard is as large as a task's memory allows (``shard_bytes`` of vectors), but
+there are as many as the cluster has cores while the table is small.  So the
+number of shards is constant up to cores times ``shard_bytes``, and rows sent grow in
+proportion to the table; beyond that each query goes to one more shard per
+``shard_bytes``, which a search of every shard implies.  A shard is sent once: its
+nodes come first in its partition, and the queries stream past them in
+batches.  Memory per task: one shard and one batch of queries.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,12 +139,17 @@ def _join(unit: np.ndarray, point: np.ndarray, both: np.ndarray, degree: int, re
     return out
 
 
-def _units(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    v = np.stack(vectors.to_numpy()).astype(float)
-    # scaled by the largest component first, so neither squares nor sums overflow
-    big = np.abs(v).max(1, keepdims=True)
-    w = v / big
-    return v, (w / np.linalg.norm(w, axis=1, keepdims=True)).astype(np.float32)
+def _scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows times a power of two that brings their largest component to [0.5, 1),
+    which changes no cosine and no digit, so squares neither overflow nor vanish; and unit vectors."""
+    v = vectors.astype(float)
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])
+    return v, (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(vectors), -1)
 
 
 def valid(vector: Column) -> Column:
@@ -145,70 +158,110 @@ def valid(vector: Column) -> Column:
     return vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0)
 
 
-def build_index(nodes: DataFrame, shard_rows: int = 8192, degree: int = 32, beam: int = 64, relax: float = 1.2,
-                seed: int = 6) -> DataFrame:
+def shard_counts(nodes: DataFrame, shard_bytes: int, shard_rows: int) -> DataFrame:
+    """``(dim, shards)``: into how many shards the vectors of each length go."""
+    cores = nodes.sparkSession.sparkContext.defaultParallelism
+    by_memory = F.ceil(F.col("n") * F.col("dim") * 8 / shard_bytes)
+    by_cores = F.least(F.lit(cores), F.ceil(F.col("n") / shard_rows))
+    per = nodes.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+    return per.select("dim", F.greatest(by_memory, by_cores, F.lit(1)).cast("int").alias("shards"))
+
+
+def build_index(nodes: DataFrame, shard_bytes: int = 128 << 20, shard_rows: int = 4096, degree: int = 32, beam: int = 64,
+                relax: float = 1.2, seed: int = 6) -> DataFrame:
     """``(dim, shard, place, node, vector, edges, start)`` from ``nodes(node, vector)``:
     one row per node; ``place`` counts the nodes of a shard from 0, ``edges``
     are places in the same shard, ``start`` marks where searches begin.
-    Vectors of different length never share a shard."""
-    n = nodes.count()
-    shards = max(1, -(-n // shard_rows))
-    keyed = nodes.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(shards)).cast("int")
-                         .alias("shard"), "node", "vector")
-
-    def graph(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node", ignore_index=True)
-        edges, start = build_graph(_units(rows["vector"])[1], degree, beam, relax, seed)
-        place = np.arange(len(rows))
-        return rows.assign(place=place, edges=[e[e >= 0] for e in edges], start=place == start)
+    Vectors of different length never share a shard.  While there are more
+    cores than shards, shards of down to ``shard_rows`` are made."""
+    counts = staged(shard_counts(nodes, shard_bytes, shard_rows), "shards")
+    total = counts.agg(F.sum("shards")).first()[0] or 1
+    dealt = F.pmod(F.xxhash64(F.lit(seed), "node"), F.col("shards")).cast("int")
+    keyed = nodes.withColumn("dim", F.size("vector")).join(counts, "dim").select("dim", dealt.alias("shard"), "node", "vector")
+
+    def graph(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node")
+        edges, start = build_graph(_scaled(_matrix(rows.column("vector").combine_chunks()))[1], degree, beam, relax, seed)
+        place = np.arange(len(edges))
+        kept = edges >= 0
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept.sum(1))]), pa.int32()),
+                                         pa.array(edges[kept], pa.int32()))
+        return pa.table({"dim": rows.column("dim"), "shard": rows.column("shard"), "place": pa.array(place, pa.int32()),
+                         "node": rows.column("node"), "vector": rows.column("vector"), "edges": lists, "start": pa.array(place == start)})
 
     kind = nodes.schema["node"].dataType.simpleString()
-    return staged(keyed.groupBy("dim", "shard").applyInPandas(
+    # a given number of partitions: small shards stay apart, one task each
+    return staged(keyed.repartition(4 * int(total), "dim", "shard").groupBy("dim", "shard").applyInArrow(
         graph, f"dim int, shard int, place int, node {kind}, vector array<double>, edges array<int>, start boolean"), "graph")
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = 96, block_rows: int = 4096) -> DataFrame:
+class _Shard:
+    """The graph of one shard, put together from its rows."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(parts)
+        self.names = rows.column("node").combine_chunks()
+        self.vectors, self.unit = _scaled(_matrix(rows.column("vector").combine_chunks()))
+        lists = rows.column("edges").combine_chunks()
+        count = lists.value_lengths().to_numpy()
+        self.edges = np.full((len(count), max(1, int(count.max()))), -1, np.int64)
+        self.edges[np.arange(self.edges.shape[1]) < count[:, None]] = lists.flatten().to_numpy()
+        self.start = int(np.flatnonzero(rows.column("start").to_numpy())[0])
+        self.norms = np.sqrt((self.vectors * self.vectors).sum(1))
+
+    def nearest(self, asked: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(row, place, cosine)`` of the ``k`` best found for every row."""
+        v, unit = _scaled(asked)
+        ids, _ = beam_search(self.unit, self.edges, self.start, unit, max(beam, k))
+        score = (v[:, None, :] * self.vectors[ids]).sum(2) / (np.sqrt((v * v).sum(1))[:, None] * self.norms[ids])
+        score[ids < 0] = -np.inf
+        best = np.lexsort((ids, -score))[:, :k]
+        row, ids, score = np.repeat(np.arange(len(v)), best.shape[1]), np.take_along_axis(ids, best, 1).ravel(), np.take_along_axis(score, best, 1).ravel()
+        return row[ids >= 0], ids[ids >= 0], score[ids >= 0]
+
+
+def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = 96) -> DataFrame:
     """``(query, node, score)``: of each shard the ``k`` nodes nearest to every
     row of ``queries(query, vector)`` that its beam search finds, with their
-    cosine in double precision.  One task takes one shard and one block of
-    queries."""
-    blocks = max(1, -(-queries.count() // block_rows))
-    asked = queries.select(F.size("vector").alias("dim"), "query", "vector",
-                           F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"))
-    shards = index.select(F.col("dim").alias("d"), F.col("shard").alias("s")).distinct()
-    asked = asked.join(shards, F.col("dim") == F.col("d")).select("dim", F.col("s").alias("shard"), "block", "query", "vector")
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    kind = f"query {queries.schema['query'].dataType.simpleString()}, node {index.schema['node'].dataType.simpleString()}"
-
-    def walk(graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(graph) or not len(asked):
-            return pd.DataFrame({"query": [], "node": [], "score": []})
-        graph = graph.sort_values("place", ignore_index=True)
-        names = graph["node"].to_numpy()
-        vectors, unit = _units(graph["vector"])
-        degree = max(1, int(graph["edges"].map(len).max()))
-        edges = np.full((len(graph), degree), -1, np.int64)
-        for i, e in enumerate(graph["edges"]):
-            edges[i, :len(e)] = e
-        start = int(np.flatnonzero(graph["start"].to_numpy())[0])
-        q, q_unit = _units(asked["vector"])
-        norms = np.sqrt((vectors * vectors).sum(1))
-        found = []
-        for i in range(0, len(asked), _BATCH):
-            ids, _ = beam_search(unit, edges, start, q_unit[i:i + _BATCH], max(beam, k))
-            mine = q[i:i + _BATCH]
-            score = (mine[:, None, :] * vectors[ids]).sum(2) / (
-                np.sqrt((mine * mine).sum(1))[:, None] * norms[ids])
-            score[ids < 0] = -np.inf
-            best = np.lexsort((ids, -score))[:, :k]
-            row, ids, score = np.repeat(np.arange(len(mine)), best.shape[1]), np.take_along_axis(ids, best, 1), np.take_along_axis(score, best, 1)
-            ok = ids.ravel() >= 0
-            found.append(pd.DataFrame({"query": asked["query"].to_numpy()[i + row[ok]], "node": names[ids.ravel()[ok]],
-                                       "score": score.ravel()[ok]}))
-        return pd.concat(found, ignore_index=True)
-
-    by = ["dim", "shard", "block"]
-    return held.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(walk, f"{kind}, score double")
+    cosine in double precision.  Each shard is sent to one task once, in front
+    of its queries."""
+    shards = staged(index.where("start").select(F.col("dim").alias("_dim"), "shard"), "shard-list")  # a row each
+    total = max(1, shards.count())
+    asked = queries.withColumn("dim", F.size("vector")).join(shards, F.col("dim") == F.col("_dim"))
+    query_kind, node_kind = queries.schema["query"].dataType.simpleString(), index.schema["node"].dataType.simpleString()
+    nothing = {"query": query_kind, "place": "int", "node": node_kind, "edges": "array<int>", "start": "boolean"}
+    columns = ["dim", "shard", "query", "place", "node", "vector", "edges", "start"]
+
+    def padded(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(nothing[c]).alias(c) for c in columns])
+
+    both = padded(index).union(padded(asked.select("dim", "shard", "query", "vector")))
+    # of a shard the nodes first, by place, then its queries, whose place is null
+    both = both.repartition(4 * total, "dim", "shard").sortWithinPartitions("dim", "shard", F.col("place").asc_nulls_last())
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, parts, shard = None, [], None
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "shard")])
+            is_node = batch.column("place").is_valid().to_numpy(zero_copy_only=False)
+            turn = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0) | (is_node[1:] != is_node[:-1])) + 1
+            for a, b in zip([0, *turn], [*turn, batch.num_rows]):
+                if a == b:
+                    continue
+                piece = batch.slice(a, b - a)
+                if is_node[a]:
+                    if here != tuple(key[:, a]) or shard is not None:
+                        here, parts, shard = tuple(key[:, a]), [], None
+                    parts.append(piece)
+                    continue
+                shard = shard or _Shard(parts)
+                for i in range(0, b - a, _BATCH):
+                    mine = piece.slice(i, _BATCH)
+                    row, place, score = shard.nearest(_matrix(mine.column("vector")), k, beam)
+                    yield pa.RecordBatch.from_arrays([mine.column("query").take(pa.array(row)), shard.names.take(pa.array(place)), pa.array(score)],
+                                                     ["query", "node", "score"])
+
+    return both.mapInArrow(walk, f"query {query_kind}, node {node_kind}, score double")
 
 
 def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5,
