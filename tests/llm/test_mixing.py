@@ -2,6 +2,7 @@ import random
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from textlens.llm import mixing
 from textlens.llm.queries import op5_mix_sources
@@ -77,3 +78,21 @@ def test_odd_documents(spark):
 def test_sources_without_words(spark):
     df = spark.createDataFrame([(1, "", "a"), (2, None, "b"), (3, " ", None)], "doc_id long, text string, source string")
     assert [(r.target, r.copies, r.taken) for r in mixing.plan_mix(df).collect()] == [(0.0, 0, 0)] * 3
+
+
+@pytest.mark.parametrize("cell_rows", [1, 7, 100])
+def test_cells_are_cut_as_their_counts_ask(spark, cell_rows):
+    rows = [(i, None if i % 2 else "w " * (i % 5 * 11 + i % 3), "hot" if i % 3 else f"s{i % 5}") for i in range(3000)]
+    rows += rows[:20] + [(None, "a b", "hot"), (None, "a b", "hot")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    whole, cut = (sorted(map(tuple, mixing.plan_mix(df, cell_rows=n).collect()), key=repr) for n in (1 << 17, cell_rows))
+    assert whole == cut
+
+
+def test_equal_sizes_spread_over_many_cells(spark):
+    df = spark.range(1_000_000).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.lit("s").alias("source"))
+    keyed = mixing._keyed(df, "doc_id", "text", "source", [], F.lit(0))
+    coarse = keyed.groupBy(*mixing._CELL).agg(F.count(F.lit(1)).alias("_llm_n"))
+    coarse, inner = mixing._cut_on(coarse, keyed, 5000)
+    assert coarse.count() == 16 and inner.count() == 16 * 16
+    assert keyed.join(coarse, mixing._CELL).groupBy(*mixing._CELL, *mixing._fine()).count().agg(F.max("count")).first()[0] < 5000
