@@ -72,20 +72,58 @@ def test_shuffle_is_even(spark):
     df = spark.createDataFrame([(i, "x") for i in range(40)], "doc_id long, text string")
     hits = Counter()
     for seed in range(12):
-        rows = sharding.shuffle_to_shards(df, n_shards=4, n_cells=5, n_blocks=3, seed=seed * 10).collect()
+        rows = sharding.shuffle_to_shards(df, n_shards=4, seed=seed * 10).collect()
         check_law(rows, 4)
         hits.update((r.doc_id % 4, r.shard) for r in rows)
     chi = sum((hits[a, b] - 30) ** 2 / 30 for a in range(4) for b in range(4))
     assert chi < 40  # 9 degrees of freedom
 
 
-@pytest.mark.parametrize("cells,blocks", [(1, 1), (3, 256)])
-def test_odd_documents(spark, cells, blocks):
+@pytest.mark.parametrize("cell_rows", [1, 1 << 20])
+def test_odd_documents(spark, cell_rows, monkeypatch):
+    monkeypatch.setattr(sharding, "FAN", 3)
     docs = odd_documents(spark, ["shard", "SLOT", "cell", "n"])
-    out = sharding.shuffle_to_shards(docs, n_cells=cells, n_blocks=blocks, carry=("lang", "shard", "cell"))
+    out = sharding.shuffle_to_shards(docs, cell_rows=cell_rows, carry=("lang", "shard", "cell"))
     assert out.columns == ["lang", "cell", "doc_id", "size", "text_crc32", "shard", "slot"]
     rows = out.collect()
     assert len(rows) == docs.count()
     check_law(rows)
     assert sorted(r.size for r in rows) == sorted(len((r.text or "").encode()) + 1 for r in docs.collect())
     assert sharding.shuffle_to_shards(no_documents(spark)).collect() == []
+
+
+def test_cells_of_cells_follow_the_law(spark, monkeypatch):
+    """Two and three levels: rows and columns of the matrix sum up, and counts are those of a uniform shuffle."""
+    monkeypatch.setattr(sharding, "FAN", 4)
+    cells = [(c, 1000 + 37 * c) for c in range(64) if c % 7]
+    df = spark.createDataFrame(cells, "cell int, n long")
+    total = sum(n for _, n in cells)
+    for levels in (2, 3):
+        got = {r.cell: list(r.sent) for r in sharding.communication_matrix(df, 5, 1, levels).collect()}
+        assert {c: sum(v) for c, v in got.items()} == dict(cells)
+        columns = [sum(v[j] for v in got.values()) for j in range(5)]
+        assert columns == [total // 5 + (j < total % 5) for j in range(5)]
+        off = [(v[j] - sum(v) / 5) / (sum(v) * 0.16) ** 0.5 for v in got.values() for j in range(5)]
+        assert max(map(abs, off)) < 5 and 0.7 < sum(x * x for x in off) / len(off) < 1.3
+
+
+def test_repeated_rows_are_ranked_as_one(spark):
+    df = spark.range(60_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("again").alias("text")).union(
+        spark.range(30_000).select(F.col("id") + 10, F.col("id").cast("string")))
+    out = sharding.shuffle_to_shards(df)
+    rows = out.collect()
+    check_law(rows)
+    assert Counter(r.doc_id == 7 for r in rows) == {True: 60_000, False: 30_000}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
+
+
+def test_numbers_of_cells_and_blocks_follow_the_rows(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    monkeypatch.setattr(sharding, "FAN", 8)
+    made = []
+    real = sharding.communication_matrix
+    monkeypatch.setattr(sharding, "communication_matrix", lambda cells, n, seed, levels=1: made.append(levels) or real(cells, n, seed, levels))
+    for cell_rows in (1000, 50, 6):
+        check_law(sharding.shuffle_to_shards(df, cell_rows=cell_rows).collect())
+    assert [m for m in made if m == max(made)] and sorted(set(made)) == [1, 2, 3]

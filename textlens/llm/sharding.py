@@ -7,11 +7,19 @@
    send.  It is drawn cell by cell, each shard's share a hypergeometric
    variate by inversion of its distribution function (a sum over the counts
    within 12 standard deviations; what lies beyond is below 1e-30).
+   Many rows have many cells: then cells of cells are drawn first, and each
+   splits its own row of the matrix among its cells by the same law, each in
+   a task of its own.
 3. Inside a cell rows are permuted (ranked by a keyed hash) and dealt to the
    shards by the cell's counts, then exchanged.
 4. Inside a shard rows are permuted again: ranked by a second keyed hash, in
    blocks of that hash's leading bits, so no task holds a whole shard.
 
+Rows equal in content are one row with a count until they have their slots: a
+row that a third of the table repeats is ranked, dealt and sent as one, and
+written out again in many parts.  Cells and blocks hold about a million
+different rows each, so their numbers follow from the table's.
+
 All randomness comes from hashes of (seed, content), so a recomputed task or a
 rerun on other partitions gives the same shuffle.
 """
@@ -66,17 +74,16 @@ def _hypergeometric(good: Column, total: Column, drawn: Column, u: Column) -> Co
                          lo.alias("lo"), hi.alias("hi"), u.alias("u")), draw)
 
 
-def communication_matrix(cells: DataFrame, n_shards: int, seed: int) -> DataFrame:
-    """``(cell, sent)`` from ``cells(cell, n)``: ``sent`` has the rows that the
-    cell sends to each shard.  Rows sum to the cells' sizes, columns to shard
-    sizes at most one apart (the first shards are the larger ones).  The cells
-    are folded in order in one row: as many entries as there are cells, a
-    fixed number however many documents there are."""
-    total = F.aggregate("cs", F.lit(0).cast("long"), lambda a, c: a + c["n"])
-    sizes = F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda j: (
-        F.floor(F.col("total") / n_shards) + F.when(j < F.col("total") % n_shards, 1).otherwise(0)).cast("long"))
-    one = cells.agg(F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("cs")).select("cs", total.alias("total"))
-    one = one.select("cs", sizes.alias("sizes"))
+#: Cells drawn in one row; a level of cells of cells has as many.
+FAN = 256
+#: Different rows that a cell or a block should hold.
+CELL_ROWS = 1 << 20
+_PART = 1 << 14  # equal rows written out at a time
+
+
+def _dealt(groups: DataFrame, n_shards: int, seed: int) -> DataFrame:
+    """``(cell, sent)`` for the cells of every row of ``groups(cs, sizes)``:
+    ``cs`` their numbers and sizes, in order, ``sizes`` what each shard takes of them together."""
 
     def deal(room: Column, cell: Column) -> Column:
         """The cell's counts, given what the shards still have room for."""
@@ -98,22 +105,42 @@ def communication_matrix(cells: DataFrame, n_shards: int, seed: int) -> DataFram
 
     empty = F.array().cast("array<struct<cell:int,sent:array<bigint>>>")
     rows = F.aggregate("cs", F.struct(F.col("sizes").alias("room"), empty.alias("out")), next_cell, lambda s: s["out"])
-    return one.select(F.explode(rows).alias("r")).select("r.cell", "r.sent")
+    return groups.select(F.explode(rows).alias("r")).select("r.cell", "r.sent")
+
+
+def communication_matrix(cells: DataFrame, n_shards: int, seed: int, levels: int = 1) -> DataFrame:
+    """``(cell, sent)`` from ``cells(cell, n)``: ``sent`` has the rows that the
+    cell sends to each shard.  Rows sum to the cells' sizes, columns to shard
+    sizes at most one apart (the first shards are the larger ones).  With
+    ``levels`` cells are numbered below ``FAN ** levels`` and one row draws at
+    most ``FAN`` of them, however many rows the table has."""
+    held = F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("cs")
+    if levels > 1:
+        above = cells.groupBy(F.expr(f"cell div {FAN}").cast("int").alias("cell")).agg(F.sum("n").alias("n"))
+        above = staged(communication_matrix(above, n_shards, seed, levels - 1), "matrix-above")
+        groups = cells.groupBy(F.expr(f"cell div {FAN}").cast("int").alias("above")).agg(held)
+        groups = groups.join(above.select(F.col("cell").alias("above"), F.col("sent").alias("sizes")), "above")
+        return _dealt(groups, n_shards, seed + 1_000_003 * (levels - 1))
+    total = F.aggregate("cs", F.lit(0).cast("long"), lambda a, c: a + c["n"])
+    sizes = F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda j: (
+        F.floor(F.col("total") / n_shards) + F.when(j < F.col("total") % n_shards, 1).otherwise(0)).cast("long"))
+    one = cells.agg(held).select("cs", total.alias("total"))
+    return _dealt(one.select("cs", sizes.alias("sizes")), n_shards, seed)
 
 
 def shuffle_to_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 16,
-                      n_cells: int = 256, n_blocks: int = 256, seed: int = 9, carry: tuple[str, ...] = ()) -> DataFrame:
+                      cell_rows: int = CELL_ROWS, seed: int = 9, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: ``carry`` columns, ``id_col``, ``size``
     (UTF-8 bytes of the text, null none, plus 1), ``text_crc32`` (null as
     empty), ``shard`` (0 to n_shards - 1) and ``slot`` (0, 1, ... without gaps
     in each shard): a uniform shuffle whose shard counts are at most one apart.
 
-    Null ids are ids like any other.  Rows equal in id and text are
-    interchangeable.  An empty table gives an empty result.  A carried column
-    with the name of an output column is left out.  Content hashes decide the
-    cell, so only rows equal in id and text share one by force.  ``n_cells``
-    and ``n_blocks`` bound the matrix and the parts of a shard; more rows ask
-    for more of either.  Narrow rows (id, size, crc32) are staged once.
+    Null ids are ids like any other.  Rows equal in id, text and carried
+    columns are interchangeable; their slots follow each other.  An empty table
+    gives an empty result.  Texts of any length count by their bytes.  A carried
+    column with the name of an output column is left out; carried columns must
+    be of types that can be grouped (no maps).  Narrow rows (carried columns,
+    id, size, crc32, count) are staged once; about ``cell_rows`` of them share a cell or a block.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     kept = [c for c in carry if c.lower() not in {id_col.lower(), "size", "text_crc32", "shard", "slot"}]
@@ -121,29 +148,54 @@ def shuffle_to_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in zip(kept, held)], F.col(id_col).alias("_llm_id"),
                        (F.octet_length(text) + 1).cast("long").alias("size"),
                        F.crc32(text.cast("binary")).alias("text_crc32"))
-    if not kept:  # else whole rows would be written once more
-        rows = staged(rows, "shard-rows")
-    content = [F.col("_llm_id"), F.col("size"), F.col("text_crc32")]
-    rows = rows.select("*", F.pmod(F.xxhash64(F.lit(seed), *content), n_cells).cast("int").alias("cell"))
-    matrix = staged(communication_matrix(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), n_shards, seed), "matrix")
+    names = [*held, "_llm_id", "size", "text_crc32"]
+    # equal rows are combined in each task before they meet
+    rows = staged(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_llm_n")), "shard-rows")
+    n = rows.count()  # from the files' footers
+    levels = 1
+    while FAN ** levels * cell_rows < n and levels < 3:
+        levels += 1
+    n_blocks = max(FAN, -(-n // (n_shards * cell_rows)))
+    content = [F.col(c) for c in names]
+    rows = rows.select("*", F.pmod(F.xxhash64(F.lit(seed), *content), FAN ** levels).cast("int").alias("cell"))
+    matrix = staged(communication_matrix(rows.groupBy("cell").agg(F.sum("_llm_n").alias("n")), n_shards, seed, levels), "matrix")
 
     ends = F.transform(F.sequence(F.lit(1), F.lit(n_shards)), lambda j: F.aggregate(
         F.slice("sent", F.lit(1), j), F.lit(0).cast("long"), lambda a, x: a + x))
     local = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit(seed + 1), *content), *content)
-    # at most n_cells rows of n_shards counts
-    dealt = rows.join(F.broadcast(matrix.select("cell", ends.alias("ends"))), "cell")
-    dealt = dealt.withColumn("_llm_rank", F.row_number().over(local))
-    shard = F.array_size(F.filter("ends", lambda e: e < F.col("_llm_rank")))
+    matrix = matrix.select("cell", ends.alias("ends"))
+    # FAN rows of n_shards counts; more are joined as the planner sees fit
+    dealt = rows.join(F.broadcast(matrix) if levels == 1 else matrix, "cell")
+    dealt = dealt.withColumn("_llm_last", F.sum("_llm_n").over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.col("_llm_last") - F.col("_llm_n")
+
+    def share(end: Column, j: Column) -> Column:  # of ranks first + 1 to last the shard's, which end behind the one before
+        begin = F.when(j == 0, F.lit(0).cast("long")).otherwise(F.get("ends", j - 1))
+        return F.struct(j.alias("shard"), (F.least(end, F.col("_llm_last")) - F.greatest(begin, first)).alias("n"))
+
+    shares = F.filter(F.transform("ends", share), lambda x: x["n"] > 0)
     key = F.xxhash64(F.lit(seed + 2), *content)
     # blocks in the order of the key, so that (block, key) sorts as the key does
     block = F.floor((key.cast("double") / 2.0 ** 64 + 0.5) * n_blocks).cast("int")
-    sent = staged(dealt.select(*held, *content, shard.alias("shard"),
-                               key.alias("_llm_key"), block.alias("_llm_block")), "exchange")
+    sent = staged(dealt.select(*names, key.alias("_llm_key"), block.alias("_llm_block"), F.inline(shares)), "exchange")
 
-    blocks = sent.groupBy("shard", "_llm_block").agg(F.count(F.lit(1)).alias("n"))
+    blocks = sent.groupBy("shard", "_llm_block").agg(F.sum("n").alias("_llm_rows"))
     earlier = Window.partitionBy("shard").orderBy("_llm_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("shard", "_llm_block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_llm_before"))
-    inside = Window.partitionBy("shard", "_llm_block").orderBy("_llm_key", *content)
-    placed = sent.join(F.broadcast(blocks), ["shard", "_llm_block"])  # at most n_shards * (n_blocks + 1) rows
-    return placed.select(*[F.col(h).alias(c) for c, h in zip(kept, held)], F.col("_llm_id").alias(id_col), "size", "text_crc32",
-                         "shard", (F.col("_llm_before") + F.row_number().over(inside) - 1).alias("slot"))
+    blocks = blocks.select("shard", "_llm_block", F.coalesce(F.sum("_llm_rows").over(earlier), F.lit(0)).alias("_llm_before"))
+    inside = Window.partitionBy("shard", "_llm_block").orderBy("_llm_key", *content).rowsBetween(Window.unboundedPreceding, 0)
+    placed = sent.join(F.broadcast(blocks) if n_shards * n_blocks <= 100_000 else blocks, ["shard", "_llm_block"])
+    placed = placed.withColumn("_llm_slot", F.col("_llm_before") + F.sum("n").over(inside) - F.col("n"))
+    return _written_out(placed, "n", "_llm_slot").select(
+        *[F.col(h).alias(c) for c, h in zip(kept, held)], F.col("_llm_id").alias(id_col), "size", "text_crc32", "shard", "slot")
+
+
+def _written_out(rows: DataFrame, count: str, first: str) -> DataFrame:
+    """Each row ``count`` times, with ``slot`` counting from ``first``.  Rows
+    with many copies are parted and dealt over all tasks before they are written out."""
+    last = F.col(first) + F.col(count) - 1
+    few = rows.where(F.col(count) <= _PART).withColumn("slot", F.explode(F.sequence(F.col(first), last)))
+    parts = rows.where(F.col(count) > _PART).withColumn("_llm_from", F.explode(F.sequence(F.col(first), last, F.lit(_PART).cast("long"))))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = parts.repartition(n, F.xxhash64("_llm_from", first)).withColumn(
+        "slot", F.explode(F.sequence("_llm_from", F.least(last, F.col("_llm_from") + _PART - 1)))).drop("_llm_from")
+    return few.union(many)
