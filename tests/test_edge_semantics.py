@@ -136,7 +136,7 @@ def test_top_k_over_several_blocks_equals_one(spark):
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     q = v.where("vec_id % 7 = 0")
     one = sorted(map(tuple, V.top_k_cosine(v, q, 4).select("query_id", "rank", "id").collect()))
-    many = sorted(map(tuple, V.top_k_cosine(v, q, 4, chunk_rows=9, block_rows=3).select("query_id", "rank", "id").collect()))
+    many = sorted(map(tuple, V.top_k_cosine(v, q, 4, chunk_rows=9, n_pivots=3).select("query_id", "rank", "id").collect()))
     assert one == many and len(one) == 9 * 4
 
 

@@ -265,32 +265,65 @@ def split_hash(id_col: str, seed: int) -> tuple[Column, Column]:
     return F.conv(F.substring(h, 1, 15), 16, 10).cast("long"), h
 
 
+def split_cut(ids: DataFrame, id_col: str, fraction: float, seed: int, few: int = 10_000) -> tuple[str, str] | None:
+    """The hash and id (as text) of the ``ceil(fraction * n)``-th of ``n``
+    different ids in the order of their hash; nothing if there is none.
+
+    The k-th smallest is found by refined histograms: ids are counted by the first
+    four hex digits of their hash, then, in the one bin that holds the k-th, by the next
+    four, until at most ``few`` are left to be ordered.  The driver sees at most
+    65,536 counts a pass, and no id is sorted or sent but for those few."""
+    _, full = split_hash(id_col, seed)
+    held = materialize(ids.select(F.col(id_col).cast("string").alias("id"), full.alias("h")))
+    num, den = Decimal(str(fraction)).as_integer_ratio()  # exact product, no float drift
+    k = -(-held.count() * num // den)
+    if k <= 0:
+        return None
+    prefix, left = "", held
+    while True:
+        digits = len(prefix) + 4
+        bins = left.groupBy(F.substring("h", 1, digits).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for r in sorted(bins, key=lambda r: r.bin):
+            if k <= r.n:
+                prefix = r.bin
+                break
+            k -= r.n
+        left = held.where(F.col("h").startswith(prefix))
+        if r.n <= few or digits >= 32:
+            last = left.orderBy("h", "id").limit(k).collect()[-1]
+            return last.h, last.id
+
+
 def exact_split(df: DataFrame, id_col: str, fraction: float = 0.2, seed: int = 42,
                 split_col: str = "split", by: Sequence[str] = ()) -> DataFrame:
     """Deterministic exact split: of the ``n`` different ids the
-    ``ceil(fraction * n)`` first in ``md5(id|seed)`` order are ``test``, the
-    rest ``train``; rows of one id stay together.  With ``by`` each group is
-    split on its own.
-
-    Only ids are ranked and counted: they are read once into the shared
-    checkpoint folder, ranked there (distributed, see
-    :mod:`textlens.plans.prefix`), and the split joins back to the rows, so
-    texts and other wide columns are never sorted.  Rows with a null id are
-    ``train``."""
+    ``ceil(fraction * n)`` first in the order of ``md5(id|seed)`` (then of the
+    id as text) are ``test``, the rest ``train``; rows of one id stay together.
+    Rows with a null id are ``train``.
+
+    One cut value decides, so the split is a comparison in each row: no
+    column of ``df`` but the ids is read to find it, and nothing is joined.  With
+    ``by`` each group is split on its own; the groups' cut values, one row each,
+    are joined by group."""
     by = list(by)
     key, full = split_hash(id_col, seed)
     ids = df.where(F.col(id_col).isNotNull()).select(*by, id_col).distinct()
-    ids = materialize(ids.select(*by, id_col, key.alias("_sk"), full.alias("_sh")))
-    num, den = Decimal(str(fraction)).as_integer_ratio()  # exact product, no float drift
-    ranked = global_rank(ids, "_sk", tie_cols=["_sh", id_col], by=by, name="_rank")
-    if by:
-        ranked = ranked.join(ids.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
-    else:
-        ranked = ranked.withColumn("_n", F.lit(ids.count()).cast("long"))
+    if not by:
+        cut = split_cut(ids, id_col, fraction, seed)
+        test = F.lit(False)
+        if cut is not None:
+            test = (full < cut[0]) | ((full == cut[0]) & (F.col(id_col).cast("string") <= cut[1]))
+        return df.withColumn(split_col, F.when(F.coalesce(test, F.lit(False)), "test").otherwise("train"))
+    ids = materialize(ids.select(*by, id_col, key.alias("_sk"), full.alias("_sh"), F.col(id_col).cast("string").alias("_si")))
+    num, den = Decimal(str(fraction)).as_integer_ratio()
+    ranked = global_rank(ids, "_sk", tie_cols=["_sh", "_si"], by=by, name="_rank")
+    ranked = ranked.join(ids.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
     test = (F.col("_rank") - 1) * den < F.col("_n") * num  # rank <= ceil(n * num / den), in integers
-    chosen = ranked.where(test).select(*by, id_col, F.lit("test").alias("_split"))
-    return df.join(chosen, [*by, id_col], "left").select(
-        *df.columns, F.coalesce("_split", F.lit("train")).alias(split_col))
+    cuts = ranked.where(test).groupBy(*by).agg(F.max(F.struct("_sh", "_si")).alias("_cut"))
+    mine = F.struct(full.alias("_sh"), F.col(id_col).cast("string").alias("_si"))
+    return df.join(cuts, by, "left").select(
+        *df.columns, F.when(F.coalesce(F.col(id_col).isNotNull() & (mine <= F.col("_cut")), F.lit(False)), "test")
+        .otherwise("train").alias(split_col))
 
 
 def split_frames(df: DataFrame, id_col: str, fraction: float = 0.2, seed: int = 42):

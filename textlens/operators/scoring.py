@@ -103,16 +103,15 @@ def score_texts(df: DataFrame, make_predictor: Callable[[], Predictor], text_col
     keep = list(keep)
     if dedupe:
         digest = F.sha2(F.col(text_col), 256)
-        src = df.select(*keep, text_col, digest.alias("_dg"))
-        # distinct on the text itself is a hash aggregate (a "keep one text
-        # per digest" aggregate would need a sort-based aggregate)
-        uniq = df.select(text_col).distinct().select(digest.alias("_dg"), text_col)
-        scored = score_texts(uniq, make_predictor, text_col, keep=["_dg"], batch_size=batch_size,
-                             positive=positive)
-        # null-safe: a missing text has no digest, and its error row must come back
-        scored = scored.withColumnRenamed("_dg", "_dg2").drop(text_col)
-        return src.join(scored, F.col("_dg").eqNullSafe(F.col("_dg2")), "left").select(
-            *keep, text_col, *[c for c in scored.columns if c != "_dg2"])
+        # one text per digest, combined in each task before it is sent
+        uniq = df.groupBy(digest.alias("_dg")).agg(F.first(text_col).alias(text_col))
+        scored = score_texts(uniq, make_predictor, text_col, keep=["_dg"], batch_size=batch_size, positive=positive)
+        # rows travel without their texts, which come back with the scores; null-safe: a
+        # missing text has no digest, and its error row must come back
+        src = df.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], digest.alias("_dg2"))
+        joined = src.join(scored, F.col("_dg2").eqNullSafe(F.col("_dg")), "left")
+        return joined.select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)],
+                             *[c for c in scored.columns if c != "_dg"])
     base = df.select(*keep, text_col)
     schema = T.StructType(base.schema.fields + [
         T.StructField("_logits", T.ArrayType(T.DoubleType())), T.StructField("_error", T.StringType())])
