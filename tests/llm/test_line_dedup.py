@@ -47,3 +47,12 @@ def test_odd_documents(spark):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.text, r.n_lines, r.n_dropped) for r in out.collect())
     assert got == sorted((r.doc_id is None, r.doc_id or 0, *want[r.doc_id, r.text or ""]) for r in docs.collect())
     assert line_dedup.dedup_lines(no_documents(spark)).collect() == []
+
+
+def test_a_very_long_text(spark):
+    shared = "this line of the licence stands in many documents of the corpus"
+    long = "\n".join(f"line {i} of a text of some millions of words, " + "word " * 20 for i in range(100_000))
+    rows = [(i, f"text {i}\n{shared}") for i in range(1, 6)] + [(6, long + "\n" + shared), (0, shared + "\n" + long)]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (out[0].n_lines, out[0].n_dropped, out[0].text) == (100_001, 1, long)
+    assert (out[6].n_lines, out[6].n_dropped, out[6].text) == (100_001, 0, long + "\n" + shared) and out[3].text == "text 3"

@@ -112,3 +112,15 @@ def test_readme_states_the_limits():
     limits = inspect.signature(repetition.repetition_rules).parameters
     for name in ("min_repeat", "max_covered", "max_longest"):
         assert f"`{name}={limits[name].default}`" in readme, name
+
+
+def test_a_very_long_text(spark):
+    import random
+
+    rnd = random.Random(1)
+    words = [f"w{rnd.randrange(10**9)}" for _ in range(1_000_000)]
+    passage = " ".join(words[500_000:500_080])
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words) + " " + passage)], "doc_id long, text string")
+    got = {r.doc_id: r for r in repetition.repetition_rules(docs).collect()}
+    assert (got[1].n_words, got[1].kept) == (1_000_000, True)
+    assert (got[2].n_words, got[2].kept) == (1_000_080, False)  # a repeat of 80 words is over the longest allowed

@@ -85,3 +85,29 @@ def test_repeated_rows_reach_the_driver_once(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "fit", lambda texts, labels: given.extend(zip(texts, labels)))
     toxicity.fit_on(docs, labels, max_chars=20)
     assert given == [("a vile.", 1), ("clean.", 0), ("other.", 0)]
+
+
+def test_the_fit_is_where_the_likelihood_is_flat():
+    """Numeric differences of the documents' log-likelihood, computed sentence by sentence, vanish at the fitted weights."""
+    rng = np.random.default_rng(5)
+    texts = [". ".join(" ".join(rng.choice(["a", "b", "c", "vile", "rot"], 3, p=[0.3, 0.3, 0.3, 0.06, 0.04])) for _ in range(rng.integers(1, 5))) for _ in range(300)]
+    labels = [int(("vile" in t or "rot" in t) ^ (rng.random() < 0.1)) for t in texts]
+    l2 = 1e-3
+    model = toxicity.fit(texts, labels, min_docs=3, l2=l2, steps=6000, rate=0.01)
+    names = sorted(model.weights)
+    assert {"vile", "vil*", "rot"} <= set(names)
+
+    def loss(theta):
+        m = toxicity.NoisyOr(theta[-1], dict(zip(names, theta)))
+        total = 0.0
+        for t, y in zip(texts, labels):
+            p = min(max(brute(m, t), 1e-12), 1 - 1e-12)
+            total -= math.log(p if y else 1 - p)
+        return total / len(texts) + l2 / 2 * sum(w * w for w in theta[:-1])
+
+    theta = [*[model.weights[n] for n in names], model.bias]
+    for i in range(len(theta)):
+        up, down = list(theta), list(theta)
+        up[i] += 1e-4
+        down[i] -= 1e-4
+        assert abs(loss(up) - loss(down)) / 2e-4 < 2e-3
