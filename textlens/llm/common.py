@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlens.session import scratch_dir
@@ -25,15 +25,25 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared checkpoint folder and read
-    back: computed once, pruned by column, and safe against lost executors."""
+    back: computed once, pruned by column, and safe against lost executors.
+    Its place is added to ``paths``, for :func:`released`."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession, paths: list[str]) -> None:
+    """Free the space of staged tables that nothing reads any more, by writing
+    empty ones over them."""
+    while paths:
+        spark.range(0).write.mode("overwrite").parquet(paths.pop())
+
+
 def label_of(labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:
     """``(id, label)`` with one row per labelled document: labels other than 0
     and 1 and null ids are ignored, and of differing labels the larger wins."""
