@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlens.plans.prefix import dense_ranks
+
 # Phrase filters of the span merger and the slot layout.
 MIN_MEAN_SCORE = 0.85
 MAX_PARTS = 3
@@ -69,6 +71,12 @@ def sorted_vocab(phrases: DataFrame, col: str = "phrase") -> DataFrame:
     return phrases.select(F.col(col).alias("term")).distinct().orderBy("term")
 
 
+def numbered_vocab(phrases: DataFrame, col: str = "phrase") -> DataFrame:
+    """``(id, term)``: all distinct phrases, numbered 1, 2, ... without a gap in code-point order."""
+    terms = phrases.select(F.col(col).alias("term")).where(F.col("term").isNotNull()).distinct()
+    return dense_ranks(terms, "term", "id").select("id", "term")
+
+
 # ---------------------------------------------------------------- J01
 def _term_index(terms: DataFrame, mode: str, term: str, expl: str, order_col: str | None = None) -> DataFrame:
     if mode == "casefold":

@@ -14,10 +14,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlens.functions.text import py_strip
+from textlens.session import materialize
+from textlens.sources.keystore import KeyStore
 
 SEP = " | "
 GRAM = 3
@@ -87,11 +89,7 @@ def candidate_matches(terms: DataFrame, names: DataFrame, term: str = "term", ke
     used = t.select("_n").distinct()  # at most GRAM rows
     ngrams = n.select("_key", sizes).join(F.broadcast(used), F.col("_s._n") == F.col("_n")).select(
         "_key", F.col("_s._n").alias("_n"), F.explode("_s._gs").alias("_g"))
-    freq = ngrams.groupBy("_n", "_g").agg(F.count(F.lit(1)).alias("_f"))
-    tg = t.select("term", "_lt", "_n", F.explode(_grams(F.col("_lt"), F.col("_n"))).alias("_g"))
-    tg = tg.join(freq, ["_n", "_g"], "inner")
-    w = Window.partitionBy("term").orderBy(F.col("_f").asc(), F.col("_g").asc())
-    rarest = tg.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select("term", "_lt", "_n", "_g")
+    rarest = _rarest_grams(_term_grams(t), ngrams)
     # ``rarest`` has one row per term; AQE broadcasts it at runtime when
     # small, else the skew-join split handles a common n-gram on the name side.
     keys = ngrams.join(rarest, ["_n", "_g"], "inner").select("term", "_lt", "_key").distinct()
@@ -99,6 +97,63 @@ def candidate_matches(terms: DataFrame, names: DataFrame, term: str = "term", ke
     return hits.select("term", F.col("_key").alias(key), F.col("_name").alias(name)).distinct()
 
 
+def _term_grams(t: DataFrame) -> DataFrame:
+    return t.select("term", "_lt", "_n", F.explode(_grams(F.col("_lt"), F.col("_n"))).alias("_g"))
+
+
+def _rarest_grams(term_grams: DataFrame, ngrams: DataFrame) -> DataFrame:
+    """Of every term the gram that the fewest names hold."""
+    freq = ngrams.groupBy("_n", "_g").agg(F.count(F.lit(1)).alias("_f"))
+    tg = term_grams.join(freq, ["_n", "_g"], "inner")
+    w = Window.partitionBy("term").orderBy(F.col("_f").asc(), F.col("_g").asc())
+    return tg.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select("term", "_lt", "_n", "_g")
+
+
+class NameIndex:
+    """Names by the n-grams they hold, kept on disk: built once, extended by new
+    names, read per term (:func:`candidate_matches` without exploding all names
+    at every call).
+
+    Postings ``(gram, key, name)`` lie in buckets by gram, so a search reads the
+    buckets of its terms' grams and no others.  The names themselves are a
+    key store too; a commit there, written last, is what makes its postings
+    count, so an extension that was lost half-way leaves no trace."""
+
+    def __init__(self, spark: SparkSession, path: str, n_buckets: int = 256):
+        self.spark = spark
+        self.names = KeyStore(spark, f"{path}/names", "key STRING, name STRING", ["key", "name"], n_buckets)
+        self.grams = KeyStore(spark, f"{path}/grams", "gram STRING, key STRING, name STRING", ["gram", "key", "name"], n_buckets,
+                              bucket_by=["gram"])
+
+    def extend(self, names: DataFrame, key: str = "qid", name: str = "name") -> int:
+        """Add names (null ones are left out); those already held add nothing.
+        Returns how many there are now."""
+        given = names.select(F.col(key).cast("string").alias("key"), F.col(name).alias("name")).where(F.col("name").isNotNull())
+        number = self.names.next_commit()
+        new = materialize(self.names.new_rows(given, ["name"]).select("key", "name"))
+        low = F.lower("name")
+        each = F.array_distinct(F.flatten(F.array(*[_grams(low, k) for k in range(1, GRAM + 1)])))
+        self.grams._write(new.select(F.explode(each).alias("gram"), "key", "name"), number, False, mode="overwrite")
+        self.names._write(new, number, False)
+        return self.names.count()
+
+    def postings(self, grams: DataFrame) -> DataFrame:
+        """``(gram, key, name)`` of the buckets that ``grams(gram)`` fall into."""
+        whole = {c.number for c in self.names.commits()}
+        return self.grams._read([p for p in self.grams.parts(self.grams.buckets_of(grams)) if p.commit in whole])
+
+    def search(self, terms: DataFrame, term: str = "term", key: str = "qid", name: str = "name") -> DataFrame:
+        """All ``(term, key, name)`` with ``lower(name)`` containing
+        ``lower(term)``: the postings of each term's rarest gram, verified."""
+        t = terms.select(F.col(term).alias("term")).where(F.length("term") > 0).distinct()
+        t = t.withColumn("_lt", F.lower("term")).withColumn("_n", F.least(F.length("_lt"), F.lit(GRAM)))
+        asked = materialize(_term_grams(t))
+        held = self.postings(asked.select(F.col("_g").alias("gram"))).withColumn("_n", F.length("gram")).withColumnRenamed("gram", "_g")
+        rarest = _rarest_grams(asked, held.select("_n", "_g"))
+        hits = held.join(rarest, ["_n", "_g"]).where(F.contains(F.lower("name"), "_lt"))
+        return hits.select("term", F.col("key").alias(key), F.col("name").alias(name)).distinct()
+
+
 def rank_candidates(matches: DataFrame, entities: DataFrame, key: str = "qid", label: str = "label",
                     desc: str = "description", limit: int = 10) -> DataFrame:
     """Order per term by: a name equal to the term (case-sensitive), a name

@@ -23,6 +23,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlens.session import materialize
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -95,3 +96,19 @@ def global_rank(df: DataFrame, order_col: str, tie_cols: Sequence[str] = (), by:
     ranked = running_sums(one, order_col, ["_tl_one"], by=by, descending=descending,
                           tie_cols=tie_cols, buckets=buckets, prefix="_tl_cum")
     return ranked.withColumnRenamed("_tl_cum_tl_one", name).drop("_tl_one")
+
+
+def dense_ranks(values: DataFrame, col: str, name: str = "rank") -> DataFrame:
+    """``values`` with 1, 2, ... in the order of ``col``, whose values are
+    distinct, of any ordered type; strings in code-point order.
+
+    Values are cut into ranges at sampled bounds and written with their range,
+    which holds the cut fast; each range is numbered by itself and moved
+    by the number of rows in the ranges before it (one row a range)."""
+    cut = materialize(values.repartitionByRange(F.col(col)).withColumn("_tl_range", F.spark_partition_id()))
+    sizes = cut.groupBy("_tl_range").agg(F.count(F.lit(1)).alias("_tl_n"))
+    before = Window.orderBy("_tl_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_tl_range", F.coalesce(F.sum("_tl_n").over(before), F.lit(0)).alias("_tl_before"))
+    inside = F.row_number().over(Window.partitionBy("_tl_range").orderBy(col))
+    ranked = cut.join(F.broadcast(offsets), "_tl_range")  # as many rows as there are partitions
+    return ranked.select(*values.columns, (F.col("_tl_before") + inside).alias(name))

@@ -36,6 +36,13 @@ def l01(spark, sf):
     return E.sorted_vocab(phrases(spark, sf))
 
 
+@query("l01_numbered_vocab", with_views("WITH" + _W01_CTES + """
+SELECT row_number() OVER (ORDER BY term) AS id, term FROM (SELECT DISTINCT phrase AS term FROM ph) t
+""", "v_spans"))
+def l01_numbered(spark, sf):
+    return E.numbered_vocab(phrases(spark, sf))
+
+
 @query("j01_lookup_explanations", with_views("WITH" + _W01_CTES + """,
 e AS (SELECT word AS entity FROM v_spans UNION SELECT phrase FROM ph),
 cf AS (SELECT lower(term) AS k, arg_min(explanation, term) AS explanation FROM v_terms GROUP BY 1)

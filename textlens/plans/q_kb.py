@@ -8,6 +8,7 @@ from textlens.functions.text import WS_RE2
 from textlens.operators import kb as KB
 from textlens.plans.fixtures import view, with_views
 from textlens.plans.registry import query
+from textlens.session import scratch_dir
 
 
 def _terms(spark, sf):
@@ -50,6 +51,16 @@ def _lists(src: str) -> str:
     return f"SELECT x.*, {cols} FROM {src} x {joins}"
 
 
+@query("j06_name_index", with_views("WITH" + _RANK_CTES + "\nSELECT DISTINCT term, qid, label AS name FROM m", "v_terms", "v_entities"))
+def j06_index(spark, sf):
+    """Matches from the stored index, built from some names and extended by all."""
+    names = view(spark, sf, "v_entities").select("qid", F.col("label").alias("name"))
+    index = KB.NameIndex(spark, scratch_dir(spark, "names"), n_buckets=16)
+    index.extend(names.where(F.length("name") % 2 == 0))
+    index.extend(names)
+    return index.search(_terms(spark, sf))
+
+
 @query("l02_rank_candidates", with_views("WITH" + _RANK_CTES + """
 SELECT term, qid, label, description, exact_match, label_match, desc_match, rank FROM k
 """, "v_terms", "v_entities"))

@@ -41,16 +41,17 @@ class Part:
 class KeyStore:
     """Rows of ``schema`` (DDL), unique in ``keys``, in ``n_buckets`` buckets.
 
-    ``n_buckets`` belongs to the store's layout: use the same at every call.
-    Null keys are kept as keys of their own.  ``fmt`` and ``options`` are those
+    ``n_buckets`` and ``bucket_by`` (the key columns that decide the bucket, all by
+    default) belong to the store's layout: use the same at every call.  Null keys are kept as keys of their own.  ``fmt`` and ``options`` are those
     of Spark's readers and writers.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, keys: Sequence[str], n_buckets: int = 64,
-                 fmt: str = "parquet", options: Mapping[str, str] | None = None):
+                 fmt: str = "parquet", options: Mapping[str, str] | None = None, bucket_by: Sequence[str] | None = None):
         self.spark, self.path, self.fmt = spark, path.rstrip("/"), fmt
         self.schema: T.StructType = spark.createDataFrame([], schema).schema
         self.keys, self.n_buckets, self.options = list(keys), n_buckets, dict(options or {})
+        self.bucket_by = list(bucket_by or keys)
         if fmt == "parquet":  # a few keys are found in the footers and Bloom filters of sorted files
             self.options |= {f"parquet.bloom.filter.enabled#{k}": "true" for k in self.keys}
 
@@ -82,7 +83,7 @@ class KeyStore:
     def _bucket(self) -> Column:
         # the keys as text, so that the bucket does not hang on how a reader types a column
         names = {f.name: f.dataType for f in self.schema}
-        return F.pmod(F.xxhash64(*[F.col(k).cast(names[k]).cast("string") for k in self.keys]), F.lit(self.n_buckets)).cast("int")
+        return F.pmod(F.xxhash64(*[F.col(k).cast(names[k]).cast("string") for k in self.bucket_by]), F.lit(self.n_buckets)).cast("int")
 
     def buckets_of(self, rows: DataFrame) -> set[int]:
         """Buckets that the keys of ``rows`` fall into (at most ``n_buckets`` numbers)."""
@@ -156,7 +157,7 @@ class KeyStore:
         finally:
             rows.unpersist()
 
-    def _write(self, rows: DataFrame, number: int, replaces: bool) -> int:
+    def _write(self, rows: DataFrame, number: int, replaces: bool, mode: str = "errorifexists") -> int:
         out = f"{self.path}/data/commit={number}"
         # the rows of a bucket stand together and sorted: one file a bucket, or a few of a large one
         (rows.withColumn("bucket", self._bucket()).repartition(self.n_buckets, "bucket").sortWithinPartitions("bucket", *self.keys)
@@ -167,7 +168,7 @@ class KeyStore:
         per = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows"), F.min(first).alias("low"), F.max(first).alias("high"))
         entry = per.agg(F.sort_array(F.collect_list(F.struct("bucket", "n_rows", "low", "high"))).alias("buckets"))  # n_buckets rows
         (entry.select(F.lit(number).cast("long").alias("number"), F.lit(replaces).alias("replaces"), "buckets").coalesce(1)
-         .write.mode("errorifexists").json(f"{self.path}/commits/{number}"))
+         .write.mode(mode).json(f"{self.path}/commits/{number}"))
         return number
 
     def compact(self) -> int:
