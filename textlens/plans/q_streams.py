@@ -10,38 +10,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textlens.operators import metrics as M
 from textlens.plans import q_metrics, q_triples
-from textlens.plans.fixtures import view
+from textlens.plans.fixtures import table, view
 from textlens.plans.registry import query
-from textlens.session import scratch_dir
+from textlens.session import materialize, scratch_dir
 from textlens.streaming import streams as ST
 
 
-def _stage_in_order(spark, df, part_col: str, dest: str, fmt: str = "json") -> None:
-    """Write one file per ``part_col`` value into ``dest``, with modification
-    times increasing in ``part_col`` order (the file source's arrival order).
-    Test scaffolding: only file metadata goes through the driver, via the
-    Hadoop file system of the session (rename + set times)."""
-    staging = f"{dest}-staging"
-    df.repartition(part_col).write.partitionBy(part_col).format(fmt).save(staging)
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(staging)
-    fs = root.getFileSystem(conf)
-    out = jvm.org.apache.hadoop.fs.Path(dest)
-    fs.mkdirs(out)
-    parts = []
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith(f"{part_col}="):
-            parts.append((int(name.split("=", 1)[1]), st.getPath()))
-    base = 1_600_000_000_000
-    for i, (v, p) in enumerate(sorted(parts)):
-        files = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")]
-        for j, f in enumerate(files):
-            target = jvm.org.apache.hadoop.fs.Path(out, f"part-{v:012d}-{j:04d}.{fmt}")
-            fs.rename(f, target)
-            fs.setTimes(target, base + 1000 * i, -1)
+def _arrive(df, order_col: str, n: int, dest: str, fmt: str) -> None:
+    """Write ``df`` into ``dest`` in ``n`` files, one after the other in
+    ``order_col`` order, as the file source takes files by their time."""
+    held = materialize(df)
+    ends = held.agg(F.min(order_col).alias("a"), F.max(order_col).alias("b")).first()
+    if ends.a is None:
+        held.write.format(fmt).mode("append").save(dest)
+        return
+    part = F.least(F.floor((F.col(order_col) - ends.a) * n / (ends.b - ends.a + 1)), F.lit(n - 1))
+    for k in range(n):
+        held.where(part == k).coalesce(1).write.format(fmt).mode("append").save(dest)
 
 
 @query("r01_stream_triples", q_triples.W03_ORACLE)
@@ -49,11 +36,10 @@ def r01(spark, sf):
     root = scratch_dir(spark, "r01")
     lines = view(spark, sf, "v_triple_lines")
     src = f"{root}/source"
-    # The partition column leaves the files, so each row keeps a copy of it.
-    _stage_in_order(spark, lines.withColumn("_batch", F.col("batch_id")), "_batch", src)
+    _arrive(lines.select("batch_id", "line_no", "line"), "batch_id", 5, src, "json")
     ST.stream_triples(spark, src, f"{root}/sink", f"{root}/checkpoint",
                       "batch_id BIGINT, line_no BIGINT, line STRING", "line", q_triples.ORDER,
-                      target=q_triples.N_TARGET, files_per_trigger=5, n_buckets=8)
+                      target=q_triples.N_TARGET, files_per_trigger=1, n_buckets=8)
     return ST.read_stream_triples(spark, f"{root}/sink", q_triples.ORDER)
 
 
@@ -69,3 +55,23 @@ def r02(spark, sf):
     return s.select("worker_id", "total_requests", "failed_requests",
                     F.round("avg_response_sec", 6).alias("avg_response_sec"),
                     F.round("success_rate", 6).alias("success_rate"))
+
+
+@query("r02_answer_cache", """
+WITH r AS (SELECT conv_id % 5 AS worker_id, turn % 3 <> 2 AS ok, substr(text, 1, 150) || '|' || role AS key,
+                  conv_id * 1000 + turn AS place FROM conversations),
+h AS (SELECT worker_id, coalesce(min(CASE WHEN ok THEN place END) OVER (PARTITION BY key) < place, false) AS hit FROM r)
+SELECT worker_id, count(*) AS requests, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses
+FROM h GROUP BY worker_id
+""")
+def r02_cache(spark, sf):
+    """Turns as requests, in four files; answers without expiry."""
+    root = scratch_dir(spark, "cache")
+    c = table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("at"), (F.col("conv_id") % 5).alias("worker_id"),
+        (F.col("turn") % 3 != 2).alias("ok"), "text", "role")
+    _arrive(c.withColumn("ts", F.timestamp_seconds("at")), "at", 4, f"{root}/source", "parquet")
+    ST.stream_cached_answers(spark, f"{root}/source", f"{root}/sink", f"{root}/checkpoint",
+                             "at BIGINT, worker_id BIGINT, ok BOOLEAN, text STRING, role STRING, ts TIMESTAMP",
+                             key=M.cache_key(F.col("text"), F.col("role")), id_col="at", ts_col="ts", ok_col="ok", files_per_trigger=1)
+    return ST.read_cache_stats(spark, f"{root}/sink")

@@ -11,15 +11,21 @@ buckets of its own keys.
 R02: running per-worker request statistics as a streaming aggregation in
 ``complete`` mode; the state store holds one row per worker.
 
+Answer cache: requests with the same key reuse an earlier valid answer.  The
+state store holds one time per key with a valid answer, and drops it when it
+expires; what every request was (hit or miss) goes to the sink, by micro-batch.
+
 Both use ``trigger(availableNow=True)`` so a run drains its input and stops.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from textlens.operators.triples import TRIPLE_COLS, first_arrivals, parse_triples
 from textlens.sources.keystore import KeyStore
@@ -87,3 +93,62 @@ def read_request_stats(spark: SparkSession, out_dir: str, by: Sequence[str] = ("
     return s.select(*by, "total_requests", "failed_requests",
                     F.round(F.col("sum_seconds") / F.col("n_seconds"), 2).cast("double").alias("avg_response_sec"),
                     (F.lit(1.0) - F.col("failed_requests") / F.col("total_requests")).alias("success_rate"))
+
+
+def stream_cached_answers(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, source_schema: str, *,
+                          key: Column, id_col: str, ts_col: str, ok_col: str, by: Sequence[str] = ("worker_id",),
+                          ttl_seconds: float | None = None, files_per_trigger: int = 2, fmt: str = "parquet") -> None:
+    """Whether each request finds its answer in the cache, in order of time.
+
+    A request is a hit if an answer to its key is stored and not older than
+    ``ttl_seconds``; else it is a miss, and a valid answer (``ok_col``) is
+    stored at its time.  Hits do not renew an answer.  Invalid answers are never stored.
+    Each micro-batch writes ``(id, by, hit)`` over its own folder, so a
+    replayed one changes nothing.  Requests arrive in the order of ``ts_col``;
+    inside a micro-batch they are put in that order, then by id.  With
+    ``ttl_seconds`` an answer leaves the state when the stream's time has passed its
+    end, and requests older than that time are dropped as late; without, every key with a valid answer stays."""
+    rows = (spark.readStream.schema(source_schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(source_dir)
+            .withWatermark(ts_col, "0 seconds").select(F.sha2(key, 256).alias("_key"), id_col, ts_col, ok_col, *by))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = ", ".join(f"{c} {kinds[c]}" for c in [id_col, *by]) + ", hit boolean"
+    ttl = None if ttl_seconds is None else int(ttl_seconds * 1000)
+
+    def answer(group, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames), ignore_index=True).sort_values([ts_col, id_col], ignore_index=True)
+        stored = state.get[0] if state.exists else None
+        hits = []
+        for at, ok in zip(rows[ts_col].astype("datetime64[ms]").astype("int64").tolist(), rows[ok_col].tolist()):
+            hit = stored is not None and (ttl is None or at - stored <= ttl)
+            if not hit and ok:
+                stored = at
+            hits.append(hit)
+        if stored is not None:
+            end = None if ttl is None else stored + ttl + 1
+            if end is None:
+                state.update((stored,))
+            elif end > state.getCurrentWatermarkMs():
+                state.update((stored,))
+                state.setTimeoutTimestamp(end)
+            elif state.exists:
+                state.remove()
+        yield rows[[id_col, *by]].assign(hit=hits)
+
+    timeout = GroupStateTimeout.NoTimeout if ttl is None else GroupStateTimeout.EventTimeTimeout
+    answered = rows.groupBy("_key").applyInPandasWithState(answer, out, "stored LONG", "append", timeout)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink_dir}/epoch={epoch}")
+
+    q = (answered.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def read_cache_stats(spark: SparkSession, sink_dir: str, by: Sequence[str] = ("worker_id",)) -> DataFrame:
+    """Requests, hits and misses per group so far."""
+    s = spark.read.parquet(sink_dir)
+    return s.groupBy(*by).agg(F.count(F.lit(1)).alias("requests"), F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
