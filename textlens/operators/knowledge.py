@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlens.functions.text import py_strip, ws_tokens
+from textlens.operators.phrases import expand_phrases
 
 KNOWLEDGE_DIM = 192  # fixed value: width of the knowledge feature vector
 
@@ -158,10 +159,21 @@ def slang_expand(df: DataFrame, slang: DataFrame | Mapping[str, str], id_col: st
 
 
 # ---------------------------------------------------------------- J04
+#: A table of up to so many keys becomes one pattern, a larger one an automaton or a join.
+PATTERN_MAX_KEYS = 1000
+
+
+def _is_large(emoji: DataFrame | Mapping[str, str]) -> bool:
+    return not isinstance(emoji, Mapping) and emoji.limit(PATTERN_MAX_KEYS + 1).count() > PATTERN_MAX_KEYS
+
+
 def emoji_rows(emoji: DataFrame | Mapping[str, str], key: str = "emoji", val: str = "meaning") -> list[tuple[str, str]]:
-    """The dictionary as ``(emoji, meaning)``, longest key first.  A DataFrame
-    is collected: the keys become one pattern, which is literal by nature."""
-    rows = emoji.items() if isinstance(emoji, Mapping) else [tuple(r) for r in emoji.select(key, val).collect()]
+    """The dictionary as ``(emoji, meaning)``, longest key first, for a pattern.
+    A table of more than ``PATTERN_MAX_KEYS`` rows is refused: see
+    :func:`textlens.operators.phrases.expand_phrases`."""
+    rows = emoji.items() if isinstance(emoji, Mapping) else [tuple(r) for r in emoji.select(key, val).limit(PATTERN_MAX_KEYS + 1).collect()]
+    if not isinstance(emoji, Mapping) and len(rows) > PATTERN_MAX_KEYS:
+        raise ValueError(f"more than {PATTERN_MAX_KEYS} keys: use expand_phrases")
     best: dict[str, str] = {}
     for k, v in rows:
         if k and v is not None:
@@ -206,7 +218,12 @@ def emoji_count_expr(col: Column, rows, count: str = "codepoint") -> Column:
 
 def emoji_expand(df: DataFrame, emoji: DataFrame | Mapping[str, str], text_col: str = "text", emoji_col: str = "emoji",
                  meaning_col: str = "meaning", count: str = "codepoint",
-                 out_col: str = "expanded", count_col: str = "n_emoji") -> DataFrame:
+                 out_col: str = "expanded", count_col: str = "n_emoji", id_col: str = "doc_id") -> DataFrame:
+    """Each known emoji replaced by its meaning between two blanks, the longest
+    at each place, and the different ones counted, for dictionaries of any size."""
+    if _is_large(emoji):
+        return expand_phrases(df, emoji, id_col=id_col, text_col=text_col, key_col=emoji_col, value_col=meaning_col,
+                              out_col=out_col, count_col=count_col, single=count == "codepoint")
     rows = emoji_rows(emoji, emoji_col, meaning_col)
     t = F.col(text_col)
     return df.select("*", emoji_replace_expr(t, rows).alias(out_col),
@@ -219,9 +236,14 @@ def preprocess_text(df: DataFrame, slang: DataFrame | Mapping[str, str], emoji:
     """Per row: the slang count and emoji count of the lower-cased stripped
     text, and ``processed_text`` = slang-expanded, then emoji-expanded text.
     One projection (no shuffle) with a small slang mapping."""
-    rows = emoji_rows(emoji)
     norm = df.select(F.col(id_col), normalized(text_col).alias("_t"))
     expanded = slang_expand(norm, slang, id_col=id_col, text_col="_t", out_col="_x", count_col="n_slang")
+    if _is_large(emoji):
+        given = {"id_col": id_col, "key_col": "emoji", "value_col": "meaning", "single": count == "codepoint"}
+        counted = expand_phrases(expanded, emoji, text_col="_t", out_col="_e", count_col="n_emoji", **given)
+        both = expand_phrases(counted, emoji, text_col="_x", out_col="processed_text", count_col="_k", **given)
+        return both.select(id_col, "_t", "n_slang", "n_emoji", "processed_text")
+    rows = emoji_rows(emoji)
     return expanded.select(
         id_col, "_t", "n_slang",
         emoji_count_expr(F.col("_t"), rows, count).alias("n_emoji"),
