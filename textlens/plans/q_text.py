@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textlens.functions import wordpiece as WP
 from textlens.functions.text import NOT_WS_RE2, WS_RE2
 from textlens.operators import prep as P
 from textlens.operators import scoring as S
 from textlens.plans.fixtures import fresh, table, view, with_views
+from textlens.plans.prefix import dense_ranks
 from textlens.plans.registry import query
 
 
@@ -252,6 +254,44 @@ def p14_subword(spark, sf):
                     F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"))
 
 
+# The vocabulary: words of the term table, letters and a few endings, numbered in order.
+_PIECES = """
+SELECT DISTINCT unnest(string_split(lower(term), ' ')) AS token FROM v_terms
+UNION SELECT chr(CAST(i AS INTEGER)) FROM generate_series(97, 122) t(i)
+UNION SELECT '##' || chr(CAST(i AS INTEGER)) FROM generate_series(97, 118) t(i)
+UNION SELECT unnest(['##er', '##en', '##ing', '##es', '##tion', 'th', 'the', 're', 'un', '##.', '##,'])"""
+
+
+@query("p14_word_pieces", with_views(f"""
+WITH p AS ({_PIECES}),
+v AS (SELECT token, row_number() OVER (ORDER BY token) AS id FROM p WHERE token <> ''),
+first AS (SELECT token AS t, id FROM v WHERE NOT starts_with(token, '##')),
+rest AS (SELECT substr(token, 3) AS t, id FROM v WHERE starts_with(token, '##')),
+w AS (SELECT conv_id, turn, unnest({_toks('lower(text)')}) AS word, generate_subscripts({_toks('lower(text)')}, 1) AS k FROM conversations),
+step AS (
+  SELECT word, 0 AS pos, CAST([] AS BIGINT[]) AS ids FROM (SELECT DISTINCT word FROM w WHERE length(word) <= 100) d
+  UNION ALL
+  SELECT s.word, s.pos + max(length(x.t)), list_append(any_value(s.ids), arg_max(x.id, length(x.t)))
+  FROM step s JOIN (SELECT true AS whole, t, id FROM first UNION ALL SELECT false, t, id FROM rest) x
+    ON x.whole = (s.pos = 0) AND substr(s.word, s.pos + 1, length(x.t)) = x.t AND s.pos < length(s.word)
+  GROUP BY s.word, s.pos),
+done AS (SELECT word, ids FROM step WHERE pos = length(word)),
+e AS (SELECT conv_id, turn, flatten(list(coalesce(ids, [0]) ORDER BY k)) AS ids FROM w LEFT JOIN done USING (word) GROUP BY conv_id, turn)
+SELECT c.conv_id, c.turn, array_to_string(list_resize(list_slice(coalesce(ids, []), 1, 64), 64, 0), ' ') AS input_ids,
+       least(64, len(coalesce(ids, []))) AS n_real
+FROM conversations c LEFT JOIN e USING (conv_id, turn)
+""", "v_terms").replace("WITH", "WITH RECURSIVE", 1))
+def p14_pieces(spark, sf):
+    words = view(spark, sf, "v_terms").select(F.explode(F.split(F.lower("term"), " ")).alias("token"))
+    fixed = [chr(i) for i in range(97, 123)] + [f"##{chr(i)}" for i in range(97, 119)]
+    fixed += ["##er", "##en", "##ing", "##es", "##tion", "th", "the", "re", "un", "##.", "##,"]
+    tokens = words.union(spark.createDataFrame([(t,) for t in fixed], "token string")).where("token <> ''").distinct()
+    vocab = WP.vocabulary(dense_ranks(tokens, "token", "id")) | {"[UNK]": 0}
+    e = S.encode_texts(table(spark, sf, "conversations"), WP.word_pieces(vocab), keep=["conv_id", "turn"], max_length=64)
+    return e.select("conv_id", "turn", F.array_join("input_ids", " ").alias("input_ids"),
+                    F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"))
+
+
 # ---------------------------------------------------------------- M08
 _M08 = """
 WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || '|42'), doc_id) AS rk,
