@@ -7,7 +7,7 @@ from textlens.plans.fixtures import TABLES
 from textlens.plans.registry import oracles, queries
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"m04_train_classifier", "m05_train_multitask", "m05_joint_multitask", "m06_checkpointed_training"}
+SLOW = {"m05_train_multitask", "m05_joint_multitask"}
 
 
 def _canon(v):
