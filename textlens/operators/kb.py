@@ -2,9 +2,9 @@
 
 Candidate search (J06) matches a term against entity names by
 case-insensitive substring.  Instead of a nested loop it uses an exact
-n-gram index: every name containing the term contains each of the term's
-character n-grams, so joining on the term's *rarest* n-gram (n = 3, or the
-term length when shorter) and verifying with ``contains`` finds all matches
+n-gram index of the different names: every name containing the term contains
+each of the term's character n-grams, so joining on the term's *rarest* n-gram
+(n = 3, or the term length when shorter) and verifying with ``contains`` finds all matches
 with equi-joins only.  Ranking keeps the best ``limit`` per term through a
 WindowGroupLimit, and property lists are aggregated per ``(entity, prop)``
 for the kept candidates only, before any join.
@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlens.functions.text import py_strip
-from textlens.session import materialize
+from textlens.plans.sizing import tasks_for
+from textlens.session import materialize, scratch_dir
 from textlens.sources.keystore import KeyStore
 
 SEP = " | "
@@ -81,20 +82,23 @@ def candidate_matches(terms: DataFrame, names: DataFrame, term: str = "term", ke
     t = terms.select(F.col(term).alias("term")).where(F.length("term") > 0).distinct()
     t = t.withColumn("_lt", F.lower("term")).withColumn("_n", F.least(F.length("_lt"), F.lit(GRAM)))
     n = names.select(F.col(key).alias("_key"), F.col(name).alias("_name")).where(F.col("_name").isNotNull())
-    n = n.withColumn("_ln", F.lower("_name"))
-    # Gram sizes are 1..GRAM whatever the terms; only (key, size, gram) is
-    # exploded, the few keys that share a rare gram meet their names again.
+    n = n.where(F.col("_key").isNotNull()).repartition(tasks_for(names), "_key").distinct().withColumn("_ln", F.lower("_name"))
+    n = n.withColumn("_h", F.xxhash64("_ln"))
+    # Gram sizes are 1..GRAM whatever the terms; only (hash, size, gram) of the
+    # different names is exploded, the few that share a rare gram meet all rows
+    # of their name again (names of equal hash are told apart by ``contains``).
     sizes = F.explode(F.array(*[F.struct(F.lit(k).alias("_n"), _grams(F.col("_ln"), k).alias("_gs"))
                                 for k in range(1, GRAM + 1)])).alias("_s")
     used = t.select("_n").distinct()  # at most GRAM rows
-    ngrams = n.select("_key", sizes).join(F.broadcast(used), F.col("_s._n") == F.col("_n")).select(
-        "_key", F.col("_s._n").alias("_n"), F.explode("_s._gs").alias("_g"))
+    ngrams = n.select("_h", "_ln").distinct().select("_h", sizes).join(F.broadcast(used), F.col("_s._n") == F.col("_n")).select(
+        "_h", F.col("_s._n").alias("_n"), F.explode("_s._gs").alias("_g"))
     rarest = _rarest_grams(_term_grams(t), ngrams)
-    # ``rarest`` has one row per term; AQE broadcasts it at runtime when
-    # small, else the skew-join split handles a common n-gram on the name side.
-    keys = ngrams.join(rarest, ["_n", "_g"], "inner").select("term", "_lt", "_key").distinct()
-    hits = keys.join(n, "_key").where(F.contains("_ln", "_lt"))
-    return hits.select("term", F.col("_key").alias(key), F.col("_name").alias(name)).distinct()
+    # Names repeat and compress well, so a file's size says little of its rows,
+    # and a broadcast by that size could be of millions of grams: both joins are
+    # merge joins, where the skew-join split handles a common n-gram or name.
+    keys = ngrams.join(rarest.hint("merge"), ["_n", "_g"], "inner").select("term", "_lt", "_h").distinct()
+    hits = n.join(keys.hint("merge"), "_h").where(F.contains("_ln", "_lt"))
+    return hits.select("term", F.col("_key").alias(key), F.col("_name").alias(name))
 
 
 def _term_grams(t: DataFrame) -> DataFrame:
@@ -104,7 +108,7 @@ def _term_grams(t: DataFrame) -> DataFrame:
 def _rarest_grams(term_grams: DataFrame, ngrams: DataFrame) -> DataFrame:
     """Of every term the gram that the fewest names hold."""
     freq = ngrams.groupBy("_n", "_g").agg(F.count(F.lit(1)).alias("_f"))
-    tg = term_grams.join(freq, ["_n", "_g"], "inner")
+    tg = term_grams.join(freq.hint("merge"), ["_n", "_g"], "inner")
     w = Window.partitionBy("term").orderBy(F.col("_f").asc(), F.col("_g").asc())
     return tg.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select("term", "_lt", "_n", "_g")
 
@@ -158,13 +162,17 @@ def rank_candidates(matches: DataFrame, entities: DataFrame, key: str = "qid", l
                     desc: str = "description", limit: int = 10) -> DataFrame:
     """Order per term by: a name equal to the term (case-sensitive), a name
     containing it, the description containing it (all case-insensitive,
-    descending), then qid; keep the first ``limit``."""
-    tests = matches.groupBy("term", key).agg(
+    descending), then qid; keep the first ``limit``.
+
+    Matches are dealt by entity, into tasks that follow the number of
+    entities: one shuffle serves the grouping and the join, and each task sends
+    its first ``limit`` of every term."""
+    tests = matches.repartition(tasks_for(entities), key).groupBy("term", key).agg(
         F.max((F.col("name") == F.col("term")).cast("int")).alias("exact_match"),
         F.max(F.contains(F.lower("name"), F.lower("term")).cast("int")).alias("label_match"),
     )
     ent = entities.select(key, label, F.coalesce(F.col(desc), F.lit("")).alias(desc))
-    j = tests.join(ent, key, "inner").withColumn(
+    j = tests.join(ent.hint("merge"), key, "inner").withColumn(
         "desc_match", F.contains(F.lower(desc), F.lower("term")).cast("int"))
     w = Window.partitionBy("term").orderBy(F.col("exact_match").desc(), F.col("label_match").desc(),
                                            F.col("desc_match").desc(), F.col(key).asc())
@@ -180,6 +188,9 @@ def entity_candidates(terms: DataFrame, entities: DataFrame, props: DataFrame, a
     if aliases is not None:
         names = names.unionByName(aliases.select(key, F.col(aliases.columns[1]).alias("name")))
     ranked = rank_candidates(candidate_matches(terms, names, key=key), entities, key, label, desc, limit)
+    path = scratch_dir(terms.sparkSession, "candidates")  # written: two joins read the few rows kept
+    ranked.write.parquet(path)
+    ranked = terms.sparkSession.read.schema(ranked.schema).parquet(path)
     kept = ranked.select(key).distinct()
     out = ranked.join(property_lists(props.join(kept, key, "left_semi"), config, key), key, "left")
     cols = [f"{p.lower()}s" for p, _, _ in config]

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame
 # An input of at most so many splits is small enough to be dealt anew.
 FEW_SPLITS = 16
 
+# Rows of a table whose fan-out (a few matches a row) one task takes.
+TASK_ROWS = 25_000
+
 
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows round-robin over the cluster's cores when the input has
@@ -28,3 +31,10 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else df
+
+
+def tasks_for(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """How many tasks of about ``rows`` rows ``df`` makes, by a count of its
+    rows.  For work that fans out: neither a file's size nor the bytes of a
+    shuffle tell the rows of a table that compresses well."""
+    return max(1, -(-df.count() // rows))
