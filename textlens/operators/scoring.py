@@ -9,15 +9,18 @@ probability and argmax are column expressions on the JVM side.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import compress
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textlens.functions.text import ws_tokens
+from textlens.plans.sizing import tasks_for
 
 Predictor = Callable[[list], "np.ndarray"]
 
@@ -235,35 +238,47 @@ def loo_attribution(df: DataFrame, make_predictor, id_cols: Sequence[str], text_
     return toks.mapInPandas(_loo_batches(make_predictor, ids, k, batch_size, positive), schema)
 
 
-def _fit_surrogate(ids: Sequence[str], k: int, kernel_width: float, alpha: float):
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        X = np.vstack(pdf["_mask"].to_numpy()).astype(float)
-        y = pdf["p_positive"].to_numpy(dtype=float)
-        ok = ~np.isnan(y)
-        X, y = X[ok], y[ok]
-        carried = pdf["_toks"].dropna()
-        toks = list(carried.iloc[0]) if len(carried) else []
-        if X.size == 0 or len(toks) == 0:
-            return pd.DataFrame(columns=[*ids, "rank", "pos", "token", "weight"])
-        # Cosine distance of each mask to the full text, exponential kernel.
-        norms = np.sqrt(X.sum(axis=1)) * np.sqrt(X.shape[1])
-        cos = np.divide(X.sum(axis=1), norms, out=np.zeros_like(norms), where=norms > 0)
-        d = (1.0 - cos) * 100.0
-        sw = np.sqrt(np.exp(-(d ** 2) / kernel_width ** 2))
-        total = sw.sum()
-        # Weighted ridge with a free intercept, solved in its dual form: one
-        # system of the number of samples, so the cost is linear in the tokens.
-        sw = sw / sw.sum()
-        Xm, ym = sw @ X, sw @ y
-        Z, t = (X - Xm) * np.sqrt(sw)[:, None], (y - ym) * np.sqrt(sw)
-        coef = Z.T @ np.linalg.solve(Z @ Z.T + alpha / total * np.eye(len(Z)), t)
-        order = np.lexsort((np.arange(len(coef)), -np.abs(np.round(coef, 12))))[:k]
-        out = pd.DataFrame({"rank": np.arange(1, len(order) + 1), "pos": order,
-                            "token": [toks[i] for i in order], "weight": coef[order]})
-        for c in ids:
-            out.insert(0, c, pdf[c].iloc[0])
-        return out
-    return fit
+def _xxh64_ints(values: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """XXH64 of each (non-negative, 4-byte) value under each seed, as ``xxhash64`` takes an int column."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
+                                                 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    h = (seeds + (p5 + np.uint64(4))) ^ (values.astype(np.uint64) * p1)
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * p2 + p3
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+def _masks(key_hash: int, n_tokens: int, n_samples: int, seed: int) -> np.ndarray:
+    """Which tokens each sample keeps: the last bit of ``xxhash64(key, sample,
+    position, seed)``, given ``xxhash64(key)``; sample 0 keeps all."""
+    per_sample = _xxh64_ints(np.arange(n_samples), np.array([key_hash], np.int64).view(np.uint64))
+    h = _xxh64_ints(np.arange(n_tokens)[None], per_sample[:, None])
+    keep = (_xxh64_ints(np.array([seed], np.int64) & 0xFFFFFFFF, h) & np.uint64(1)).astype(bool)
+    keep[0] = True
+    return keep
+
+
+def _fit_surrogate(X: np.ndarray, y: np.ndarray, k: int, kernel_width: float, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places and weights of the ``k`` largest weights of a text's samples."""
+    ok = ~np.isnan(y)
+    X, y = X[ok].astype(float), y[ok]
+    if X.size == 0:
+        return np.zeros(0, int), np.zeros(0)
+    # Cosine distance of each mask to the full text, exponential kernel.
+    norms = np.sqrt(X.sum(axis=1)) * np.sqrt(X.shape[1])
+    cos = np.divide(X.sum(axis=1), norms, out=np.zeros_like(norms), where=norms > 0)
+    d = (1.0 - cos) * 100.0
+    sw = np.sqrt(np.exp(-(d ** 2) / kernel_width ** 2))
+    total = sw.sum()
+    # Weighted ridge with a free intercept, solved in its dual form: one
+    # system of the number of samples, so the cost is linear in the tokens.
+    sw = sw / sw.sum()
+    Xm, ym = sw @ X, sw @ y
+    Z, t = (X - Xm) * np.sqrt(sw)[:, None], (y - ym) * np.sqrt(sw)
+    coef = Z.T @ np.linalg.solve(Z @ Z.T + alpha / total * np.eye(len(Z)), t)
+    order = np.lexsort((np.arange(len(coef)), -np.abs(np.round(coef, 12))))[:k]
+    return order, coef[order]
 
 
 def sampled_attribution(df: DataFrame, make_predictor, id_cols: Sequence[str], text_col: str = "text",
@@ -271,29 +286,44 @@ def sampled_attribution(df: DataFrame, make_predictor, id_cols: Sequence[str], t
                         alpha: float = 1.0, batch_size: int = 64) -> DataFrame:
     """Perturbation attribution: ``n_samples`` variants per text keep each
     token with probability 1/2 (a seeded hash of id, sample and position;
-    sample 0 keeps all), all variants are scored in one job, and a
-    proximity-weighted ridge surrogate is fitted per text
-    (``applyInPandas``, one group = one text's samples); top ``k`` by
-    ``|weight|``.  Kernel, sample count and ridge strength are parameters.
-    Time and memory are linear in the text's length."""
+    sample 0 keeps all), all variants are scored, and a proximity-weighted
+    ridge surrogate is fitted per text; top ``k`` by ``|weight|``.  Kernel,
+    sample count and ridge strength are parameters.  Time and memory are
+    linear in the text's length.
+
+    A text travels once, to the task that makes its variants, scores them and
+    fits; tasks follow the number of texts.  Rows of one id are one fit."""
     ids = list(id_cols)
-    toks = df.select(*ids, ws_tokens(text_col).alias("_toks"))
+    toks = df.select(*ids, ws_tokens(text_col).alias("_toks")).repartition(tasks_for(df, 2_000), *ids)
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in ids])
-    samples = toks.select(*ids, "_toks", key.alias("_key"),
-                          F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("_s"))
-    mask = F.transform("_toks", lambda t, j: F.when(
-        F.col("_s") == 0, 1).otherwise((F.abs(F.xxhash64(F.col("_key"), F.col("_s"), j, F.lit(seed))) % 2).cast("int")))
-    samples = samples.withColumn("_mask", mask)
-    samples = samples.withColumn("_variant", F.array_join(F.filter("_toks", lambda t, j: F.get("_mask", j) == 1), " "))
-    # Only sample 0 carries the token array to the per-text fit; the other
-    # samples carry their mask alone, so the shuffle moves one copy per text.
-    samples = samples.withColumn("_toks", F.when(F.col("_s") == 0, F.col("_toks")))
-    scored = score_texts(samples, make_predictor, "_variant", keep=[*ids, "_toks", "_mask"], batch_size=batch_size)
+    texts = toks.groupBy(*ids).agg(F.collect_list("_toks").alias("_all")).withColumn("_hash", F.xxhash64(key))
     schema = T.StructType([*[f for f in df.schema.fields if f.name in ids],
                            T.StructField("rank", T.IntegerType()), T.StructField("pos", T.IntegerType()),
                            T.StructField("token", T.StringType()), T.StructField("weight", T.DoubleType())])
-    return scored.select(*ids, "_toks", "_mask", "p_positive").groupBy(*ids).applyInPandas(
-        _fit_surrogate(ids, k, kernel_width, alpha), schema)
+
+    def attribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predictor = make_predictor()
+        for batch in batches:
+            row, rank, pos, token, weight = [], [], [], [], []
+            for i, (copies, hashed) in enumerate(zip(batch.column("_all"), batch.column("_hash").to_pylist())):
+                copies = [c for c in copies.as_py() if c]
+                if not copies:
+                    continue
+                keep = _masks(hashed, len(copies[0]), n_samples, seed)
+                variants = [" ".join(compress(c, m)) for c in copies for m in keep.tolist()]
+                y = _probabilities(predictor, variants, batch_size, 1)
+                order, found = _fit_surrogate(np.concatenate([keep] * len(copies)), y, k, kernel_width, alpha)
+                row += [i] * len(order)
+                rank += range(1, len(order) + 1)
+                pos += order.tolist()
+                token += [copies[0][j] for j in order]
+                weight += found.tolist()
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(f.name).take(at) for f in schema.fields[:-4]], pa.array(rank, pa.int32()), pa.array(pos, pa.int32()),
+                 pa.array(token, pa.string()), pa.array(weight, pa.float64())], schema.names)
+
+    return texts.mapInArrow(attribute, schema)
 
 
 def token_attribution(df: DataFrame, make_predictor, id_cols: Sequence[str], text_col: str = "text",
