@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from textlens.session import scratch_dir
 
+_BLOCK = 1 << 20  # numbers of one matrix in a task's Python
+
 
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
@@ -125,7 +127,8 @@ def top_k_cosine(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
 
     def plan(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
         """The cells that each query visits first, or those left for it given its bound."""
-        for batch in batches:
+        rows = max(1, _BLOCK // max(1, len(pivots) * dim))  # a query may visit every cell, each time with its vector
+        for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
             far = _angles(_units(batch.column("u"), dim), pivots)
             order = np.argsort(far, axis=1, kind="stable")
             before = np.cumsum(size[order], 1) - size[order]
@@ -167,9 +170,24 @@ def top_k_cosine(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "cosine")
 
 
-def _best_of_chunks(batches: Iterator[pa.RecordBatch], dim: int, k: int, block: int = 1024) -> Iterator[pa.RecordBatch]:
+def _nearest(sim: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Per row the places of its ``k`` largest values to 9 decimals, equal ones by smaller id."""
+    grade = np.where(np.isnan(sim), -np.inf, np.round(sim, 9))
+    if len(ids) > k:
+        # all at or above the k-th largest, which ties may make more than k
+        row, at = np.nonzero(grade >= np.partition(grade, -k, axis=1)[:, -k][:, None])
+    else:
+        row, at = (a.ravel() for a in np.indices(grade.shape))
+    order = np.lexsort((ids[at], -grade[row, at], row))
+    row, at = row[order], at[order]
+    start = np.searchsorted(row, np.arange(len(sim)))
+    return at[start[:, None] + np.arange(min(k, len(ids)))]
+
+
+def _best_of_chunks(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
     """Of rows in the order (cell, chunk, turn), vectors before queries: every
-    query's ``k`` nearest vectors of other ids in the chunk."""
+    query's ``k`` nearest vectors of other ids in the chunk.  Queries are taken
+    in blocks of at most ``_BLOCK`` similarities, so memory is that of the chunk."""
     here, parts, ids, units = None, [], None, None
     for batch in batches:
         key = np.stack([batch.column(c).to_numpy() for c in ("cell", "chunk", "turn")])
@@ -189,12 +207,13 @@ def _best_of_chunks(batches: Iterator[pa.RecordBatch], dim: int, k: int, block:
             if units is None:
                 held = pa.Table.from_batches(parts)
                 ids, units = held.column("id").to_numpy(), _units(held.column("u").combine_chunks(), dim)
+            block = max(1, _BLOCK // max(1, len(ids)))
             for i in range(0, b - a, block):
                 mine = piece.slice(i, block)
                 own = mine.column("query_id").to_numpy(zero_copy_only=False)
                 sim = _units(mine.column("u"), dim) @ units.T
                 sim[own[:, None] == ids[None]] = -np.inf
-                order = np.lexsort((np.broadcast_to(ids, sim.shape), -np.round(sim, 9)))[:, :k]
+                order = _nearest(sim, ids, k)
                 near = np.take_along_axis(sim, order, 1)
                 keep = near > -np.inf
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, keep.sum(1)), batch.column("query_id").type),
