@@ -30,7 +30,9 @@ def _labelled(spark, sf):
     split = P.exact_split(v.select("doc_id"), "doc_id", 0.2, 42)
     kf = K.knowledge_features(v, view(spark, sf, "v_lexicon"), dict(K.SLANG), dict(K.EMOJI)).select(
         "doc_id", *[F.col(c).cast("double").alias(c) for c in KNOWLEDGE])
-    return v.join(kf, "doc_id").join(split, "doc_id")
+    path = scratch_dir(spark, "labelled")  # written once: fitting, features and prediction each read it
+    v.join(kf, "doc_id").join(split, "doc_id").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _accurate(pred, y: str, yhat: str, by=()):
@@ -92,7 +94,7 @@ def m05_joint(spark, sf):
     """Heads on one projection, fitted under the combined loss: held-out labels,
     whether they are met, and whether the combined loss (A12) is at or below
     that of separate heads."""
-    data = materialize(_labelled(spark, sf))
+    data = _labelled(spark, sf)
     labels = {x: f"is_{x}" for x in LANGUAGES}
     train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
     net = _joint_run(spark, train, test, scratch_dir(spark, "joint")).best()
@@ -113,7 +115,7 @@ WITH {_HELD_OUT}
 def m06_training(spark, sf):
     """A run that is lost behind its second checkpoint and goes on from there
     predicts, reloaded, what a run that was never stopped predicts."""
-    data = materialize(_labelled(spark, sf))
+    data = _labelled(spark, sf)
     train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
     whole = _joint_run(spark, train, test, scratch_dir(spark, "whole"), 15).best()
     folder = scratch_dir(spark, "resumed")
