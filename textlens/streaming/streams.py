@@ -118,10 +118,13 @@ def stream_cached_answers(spark: SparkSession, source_dir: str, sink_dir: str, c
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames), ignore_index=True).sort_values([ts_col, id_col], ignore_index=True)
+        parts = list(frames)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        if len(rows) > 1:  # most keys have one request, whose cost is that of these calls
+            rows = rows.sort_values([ts_col, id_col], ignore_index=True)
         stored = state.get[0] if state.exists else None
         hits = []
-        for at, ok in zip(rows[ts_col].astype("datetime64[ms]").astype("int64").tolist(), rows[ok_col].tolist()):
+        for at, ok in zip(rows[ts_col].to_numpy().astype("datetime64[ms]").astype("int64").tolist(), rows[ok_col].tolist()):
             hit = stored is not None and (ttl is None or at - stored <= ttl)
             if not hit and ok:
                 stored = at
@@ -135,7 +138,7 @@ def stream_cached_answers(spark: SparkSession, source_dir: str, sink_dir: str, c
                 state.setTimeoutTimestamp(end)
             elif state.exists:
                 state.remove()
-        yield rows[[id_col, *by]].assign(hit=hits)
+        yield pd.DataFrame({**{c: rows[c].array for c in (id_col, *by)}, "hit": hits})
 
     timeout = GroupStateTimeout.NoTimeout if ttl is None else GroupStateTimeout.EventTimeTimeout
     answered = rows.groupBy("_key").applyInPandasWithState(answer, out, "stored LONG", "append", timeout)
