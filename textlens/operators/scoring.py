@@ -259,7 +259,7 @@ def _masks(key_hash: int, n_tokens: int, n_samples: int, seed: int) -> np.ndarra
     return keep
 
 
-def _fit_surrogate(X: np.ndarray, y: np.ndarray, k: int, kernel_width: float, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+def _fit(X: np.ndarray, y: np.ndarray, k: int, kernel_width: float, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """Places and weights of the ``k`` largest weights of a text's samples."""
     ok = ~np.isnan(y)
     X, y = X[ok].astype(float), y[ok]
@@ -281,6 +281,21 @@ def _fit_surrogate(X: np.ndarray, y: np.ndarray, k: int, kernel_width: float, al
     return order, coef[order]
 
 
+def _fit_surrogate(ids: Sequence[str], k: int, kernel_width: float, alpha: float):
+    """:func:`_fit` of a frame with one row per sample, the text's tokens in one of them."""
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        carried = pdf["_toks"].dropna()
+        toks = list(carried.iloc[0]) if len(carried) else []
+        if not toks:
+            return pd.DataFrame(columns=[*ids, "rank", "pos", "token", "weight"])
+        order, weight = _fit(np.vstack(pdf["_mask"].to_numpy()), pdf["p_positive"].to_numpy(dtype=float), k, kernel_width, alpha)
+        out = pd.DataFrame({"rank": np.arange(1, len(order) + 1), "pos": order, "token": [toks[i] for i in order], "weight": weight})
+        for c in ids:
+            out.insert(0, c, pdf[c].iloc[0])
+        return out
+    return fit
+
+
 def sampled_attribution(df: DataFrame, make_predictor, id_cols: Sequence[str], text_col: str = "text",
                         n_samples: int = 64, k: int = 10, seed: int = 42, kernel_width: float = 25.0,
                         alpha: float = 1.0, batch_size: int = 64) -> DataFrame:
@@ -312,7 +327,7 @@ def sampled_attribution(df: DataFrame, make_predictor, id_cols: Sequence[str], t
                 keep = _masks(hashed, len(copies[0]), n_samples, seed)
                 variants = [" ".join(compress(c, m)) for c in copies for m in keep.tolist()]
                 y = _probabilities(predictor, variants, batch_size, 1)
-                order, found = _fit_surrogate(np.concatenate([keep] * len(copies)), y, k, kernel_width, alpha)
+                order, found = _fit(np.concatenate([keep] * len(copies)), y, k, kernel_width, alpha)
                 row += [i] * len(order)
                 rank += range(1, len(order) + 1)
                 pos += order.tolist()
