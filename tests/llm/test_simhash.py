@@ -5,6 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from textlens.llm import simhash
+from textlens.llm.common import staged
 from textlens.llm.components import connected_components
 from textlens.llm.queries import op8_simhash
 
@@ -85,6 +86,16 @@ def test_links_of_crowded_and_empty_cells(spark, hot, bits):
         assert len(set(map(frozenset, links))) == sum((a ^ b).bit_count() <= bits for i, a in enumerate(p) for b in p[:i])
 
 
+@pytest.mark.parametrize("hot,joins", [(1024, 1), (0, 2)])
+def test_exploded_rows_are_not_broadcast(spark, capsys, hot, joins):
+    """34 grid rows and 65 ball rows of a fingerprint are estimated as its one."""
+    points = staged(spark.range(3000).select(F.xxhash64("id").alias("fp")), "test-points")
+    simhash.near_links(points, 3, hot).explain()
+    plan = capsys.readouterr().out.splitlines()
+    assert not [p for p in plan if "BroadcastHashJoin" in p and "Inner" in p]
+    assert sum("SortMergeJoin" in p and "Inner" in p for p in plan) == joins
+
+
 def test_bits_beyond_the_grid_are_refused(spark):
     with pytest.raises(ValueError, match="0 to 3"):
         simhash.near_links(spark.range(1).select(F.col("id").alias("fp")), 4)

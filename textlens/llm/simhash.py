@@ -16,7 +16,9 @@ within 1 bit of z.  That gives the same components from at most 2146 rows per
 fingerprint, however full the cell is.
 
 Bounds: 28 rows per distinct fingerprint into the grid join, at most
-``hot_cell`` candidates per probe.
+``hot_cell`` candidates per probe.  Both joins are sort-merge joins by hint:
+the planner takes exploded rows for no more than the table they come from, and
+would broadcast them through the driver.
 """
 
 from __future__ import annotations
@@ -106,7 +108,7 @@ def _ball_links(points: DataFrame, max_bits: int) -> DataFrame:
         return out.select("z", "fp")
 
     centre = ball(near).groupBy("z").agg(F.min("fp").alias("a"))
-    return ball(far).join(centre, "z").where("fp <> a").select("a", F.col("fp").alias("b"))
+    return ball(far).hint("merge").join(centre.hint("merge"), "z").where("fp <> a").select("a", F.col("fp").alias("b"))
 
 
 def near_links(points: DataFrame, max_bits: int = 3, hot_cell: int = 1024) -> DataFrame:
@@ -118,7 +120,8 @@ def near_links(points: DataFrame, max_bits: int = 3, hot_cell: int = 1024) -> Da
     home, probe = _grid(points)
     hot = home.groupBy("cell").count().where(F.col("count") > hot_cell).select("cell")
     hot = staged(hot, "hot-cells")
-    met = (probe.join(home.join(hot, "cell", "left_anti").withColumnRenamed("fp", "other"), "cell")
+    cool = home.join(hot, "cell", "left_anti").withColumnRenamed("fp", "other")
+    met = (probe.hint("merge").join(cool.hint("merge"), "cell")
            .where((F.col("up") & (F.col("fp") != F.col("other"))) | (F.col("fp") < F.col("other")))
            .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= max_bits)
            .select(F.col("fp").alias("a"), F.col("other").alias("b")))
